@@ -100,7 +100,7 @@ def jeonse_ratio(leases: DataFrame, sales: DataFrame, as_of: str, days: int = 18
     price = quantiles(
         recent(sales).where((F.col("price") > 0) & ~F.col("cancelled")), ["key"], "price",
         {"sale_median": Quantile(0.5, min_weight=3)},
-    ).select("key", "sale_median")
+    ).select("key", "sale_median").where(F.col("sale_median").isNotNull())
     joined = counts.join(deposit, "key", "left").join(price, "key", "full_outer")
     return joined.fillna(0, subset=["new_jeonse_count", "renewal_count", "unknown_contract_type_count"]).withColumn(
         "new_jeonse_ratio", F.try_divide("new_jeonse_median", "sale_median")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
 from pricetide.operators.stats import Quantile, leave_one_out_median, median, quantiles
+from pricetide.session import durable
 
 MIN_TRADES = 3
 MIN_OTHER_COMPLEXES = 5
@@ -33,7 +34,7 @@ def lookback(trades: DataFrame, law: str | None, first: str, last: str, every: i
         every,
         phase,
     )
-    rows = trades.withColumn("origin", cal.month_start(F.explode(months)))
+    rows = trades.withColumn("origin", F.explode(months)).withColumn("origin", cal.month_start(F.col("origin")))
     rows = rows.withColumn("cutoff", F.date_sub("origin", cal.origin_lag(F.col("origin"), law)))
     rows = rows.withColumn("back", F.datediff("cutoff", "date"))
     return rows.where((F.col("back") >= 0) & (F.col("back") <= 364))
@@ -82,7 +83,8 @@ def price_snapshot(trades: DataFrame, law: str | None, first: str, last: str, re
         )
         .drop("_half", "_prior", "_last")
     )
-    return peer_relative(snap)
+    # One row per origin and type, read several times below and by callers.
+    return peer_relative(durable(snap))
 
 
 def peer_relative(snap: DataFrame, scope: Sequence[str] = ("origin", "peer")) -> DataFrame:
@@ -164,7 +166,7 @@ def _outcomes(trades, snap, horizons, window_months, start_inclusive, law, first
     panel = snap.withColumn("horizon_months", F.explode(F.array(*[F.lit(h) for h in horizons])))
     panel = panel.join(values, keys, "left").fillna(0, subset=["exit_n"])
     panel = panel.withColumn("growth", F.when(F.col("exit_n") >= MIN_TRADES, F.col("exit") - F.col("entry")))
-    panel = loo_benchmark(panel).withColumn("target", F.col("growth") - F.col("benchmark"))
+    panel = loo_benchmark(durable(panel)).withColumn("target", F.col("growth") - F.col("benchmark"))
     end = F.add_months("origin", F.col("horizon_months"))
     start = F.add_months(end, -window_months)
     opening = start if start_inclusive else F.date_add(start, 1)

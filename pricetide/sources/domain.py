@@ -105,3 +105,77 @@ def with_trades(body: str) -> str:
     """Prefix a SELECT (or further CTEs starting with a comma) with the views."""
     body = body.strip()
     return "WITH " + TRADES_SQL.strip() + ("" if body.startswith(",") else "\n") + body
+
+
+# --- Text exports derived from the transactions.  Each SELECT is valid in both
+# --- dialects and reads the relation named in braces, so it is written once.
+
+SALE_EXPORT = """
+SELECT CAST(orderkey AS STRING) AS no,
+  gu || ' ' || dong || ' DONG' || CAST(partkey % 7 AS STRING) AS address_text,
+  CASE WHEN linenumber = 7 THEN CAST(partkey AS STRING) WHEN linenumber = 6 THEN '산' || CAST(built AS STRING)
+    WHEN linenumber = 5 THEN '-' ELSE CAST(built AS STRING) || '-' || CAST(partkey % 3 AS STRING) END AS lot,
+  lpad(CAST(built AS STRING), 6, '0') AS main, lpad(CAST(partkey % 3 AS STRING), 4, '0') AS sub,
+  CASE WHEN tax = 0.0 THEN '-' ELSE building_name END AS building,
+  CASE WHEN linenumber = 4 THEN CAST(area AS STRING) || '.9100' ELSE CAST(area AS STRING) || '.50' END AS area,
+  CASE WHEN linenumber = 1 AND tax = 0.01 THEN 'NaN' WHEN linenumber = 2 AND tax = 0.01 THEN '-'
+    WHEN linenumber = 3 AND tax = 0.01 THEN '0' WHEN linenumber = 4 AND tax = 0.01 THEN '-1'
+    ELSE CAST(CAST(floor(price / 1000) AS INT) AS STRING) || ',' || right(CAST(CAST(price AS DECIMAL(18,2)) AS STRING), 6) END AS amount,
+  replace(substr(CAST(date AS STRING), 1, 7), '-', '') AS contract_month,
+  CASE WHEN discount = 0.08 THEN '31' ELSE CAST(CAST(substr(CAST(date AS STRING), 9, 2) AS INT) AS STRING) END AS contract_day,
+  CAST(CAST(floor AS INT) AS STRING) AS floor, CAST(built AS STRING) AS built,
+  CASE WHEN cancelled THEN CAST(date AS STRING) WHEN linenumber = 2 THEN '-' ELSE '' END AS cancelled_on,
+  CASE WHEN direct THEN '직거래' WHEN priority = '1-URGENT' THEN '-' WHEN priority = '2-HIGH' THEN '교환'
+    ELSE '중개거래' END AS deal_type,
+  dong AS agent, gu AS source_id, orderkey AS row_number, '2002-01-01' AS observed_at,
+  CASE WHEN partkey % 50 = 0 THEN 'ASIA' ELSE gu END AS source_sido,
+  CAST('1995-06-01' AS DATE) AS source_start, CAST('2001-06-30' AS DATE) AS source_end
+FROM {trades}
+"""
+
+LEASE_EXPORT = """
+SELECT address_text, lot, main, sub, building, area, contract_month, contract_day, floor, built, source_id, row_number,
+  observed_at, source_sido, source_start, source_end, amount AS deposit,
+  CASE WHEN linestatus = 'F' THEN '0' ELSE CAST(CAST(tax * 100 AS INT) AS STRING) END AS monthly_rent,
+  CASE WHEN linenumber = 1 THEN '월세' WHEN linenumber = 2 THEN '' ELSE '전세' END AS lease_type,
+  CASE WHEN linestatus = 'F' THEN '신규' WHEN direct THEN '갱신' ELSE '-' END AS contract_type,
+  CASE WHEN direct THEN '1,000' ELSE '-' END AS previous_deposit, '' AS previous_monthly_rent,
+  CASE WHEN linenumber = 7 THEN '연립' ELSE '아파트' END AS property_type
+FROM ({sales})
+"""
+
+REGISTRY = """
+SELECT CAST(n_nationkey AS STRING) AS code, r_name AS sido, n_name AS district
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey <> 9
+UNION ALL SELECT 'L' || CAST(n_nationkey AS STRING), r_name, n_name || ' DONG3' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT 'D' || CAST(n_nationkey AS STRING), r_name, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+WHERE n_nationkey = 7
+"""
+
+
+def _with_extra(text: str, *columns: str) -> str:
+    return text.replace("FROM {trades}", "".join(f", {c}" for c in columns) + " FROM {trades}", 1)
+
+
+def sale_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SALE_EXPORT, trades=trades(spark, sf_dir))
+
+
+_SALES_FOR_LEASES = _with_extra(SALE_EXPORT, "linestatus", "linenumber", "tax", "direct")
+
+
+def lease_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LEASE_EXPORT.replace("{sales}", _SALES_FOR_LEASES), trades=trades(spark, sf_dir))
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REGISTRY, nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+
+
+EXPORT_SQL = f"""
+, sales AS ({SALE_EXPORT.format(trades='trades')}),
+registry AS ({REGISTRY.format(nation='nation', region='region')})
+"""
+LEASE_SQL = f"""
+, leases AS ({LEASE_EXPORT.replace('{sales}', _SALES_FOR_LEASES).replace('{trades}', 'trades')})
+"""

@@ -94,7 +94,7 @@ def main(argv):
             if problem is None and not rows:
                 problem = "empty result on both sides"
         except Exception as exc:  # noqa: BLE001 - report and go on
-            problem, spent, rows = f"{type(exc).__name__}: {str(exc)[:1500]}", time.time() - start, []
+            problem, spent, rows = f"{type(exc).__name__}: {str(exc)[:400]}", time.time() - start, []
         print(f"{'ok   ' if problem is None else 'FAIL '} {name:38s} {len(rows):7d} rows {spent:6.2f}s", flush=True)
         if problem:
             failed.append(name)
