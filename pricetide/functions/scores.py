@@ -32,7 +32,8 @@ def with_score(df: DataFrame, neutral: Column, price: Column, scale: Column) ->
     return canonical.withColumns(
         {
             "score": score_between(F.col("neutral"), F.col("price"), F.col("_scale")),
-            "discount_pct": F.round((1 - F.col("price") / F.col("neutral")) * 100, 2),
+            # Unrounded; two decimals are applied where results are exported.
+            "discount_pct": (1 - F.col("price") / F.col("neutral")) * 100,
         }
     ).drop("_scale")
 

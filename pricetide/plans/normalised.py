@@ -591,13 +591,13 @@ def d_canonical(c):
     with_trades(
         f""", n AS (SELECT *, {d_canonical('floor * area / 250.0')} AS f, {d_canonical('price_oku')} AS p FROM trades)
 SELECT orderkey, linenumber, f AS neutral, p AS price, CASE WHEN f = p THEN 50.0 ELSE
-  floor((50 + 40 * tanh(ln(f / p) / 0.2)) * 10 + 0.5) / 10 END AS score, round((1 - p / f) * 100, 2) + 0.0 AS discount_pct FROM n"""
+  floor((50 + 40 * tanh(ln(f / p) / 0.2)) * 10 + 0.5) / 10 END AS score, round((1 - p / f) * 100, 6) + 0.0 AS discount_pct FROM n"""
     ),
 )
 def score(spark, sf_dir):
     rows = trades(spark, sf_dir).select("orderkey", "linenumber", "floor", "area", "price_oku")
     out = scores.with_score(rows, F.col("floor") * F.col("area") / 250.0, F.col("price_oku"), F.lit(0.2))
-    return out.select("orderkey", "linenumber", "neutral", "price", "score", "discount_pct")
+    return tidy(out.select("orderkey", "linenumber", "neutral", "price", "score", "discount_pct"))
 
 
 @query(

@@ -56,8 +56,9 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
     right = sorted(tuple(canonical(r[i]) for i in d_order) for r in duck_rows)
     if left == right:
         return None
-    only_l = [r for r in left if r not in set(right)]
-    only_r = [r for r in right if r not in set(left)]
+    in_left, in_right = set(left), set(right)
+    only_l = [r for r in left if r not in in_right]
+    only_r = [r for r in right if r not in in_left]
     names = sorted(spark_cols)
     return (
         f"rows {len(left)} vs {len(right)}; {len(only_l)} only in spark, {len(only_r)} only in duckdb\n  {names}"
