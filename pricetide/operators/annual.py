@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators.stats import median, order_statistics
+from pricetide.session import durable
 
 MAX_GAP = 3
 
@@ -22,6 +23,8 @@ def annual_panel(types: DataFrame) -> DataFrame:
         F.max_by(F.struct("sido", "gu", "complex", "built", "area", "price", "n"), F.struct("n", "price")).alias("_b")
     )
     base = best.select("dong", "key", "year", "_b.*").where((F.col("price") > 0) & (F.col("area") > 0))
+    # One row per type and year: small against the trades, and read five times below.
+    base = durable(base)
     peers = median(base, ["dong", "year"], "price", "_peer").drop("n")
     volume = base.groupBy("dong", "year").agg(F.sum("n").alias("_peer_n"))
     around = peers.join(volume, ["dong", "year"]).select(
@@ -104,7 +107,7 @@ def sibling_anchor(panel: DataFrame) -> DataFrame:
     )
     # Several types can share an exact area only across complexes; keep the strongest per area.
     offers = offers.groupBy(*identity, "_at", "_from", F.col("_offer.area").alias("area")).agg(
-        F.max_by("_offer", F.struct(F.col("_offer.n"), F.col("_offer.key"))).alias("_offer")
+        F.min_by("_offer", F.struct((-F.col("_offer.n")).alias("n"), F.col("_offer.key"))).alias("_offer")
     )
     asks = known.select(*identity, F.col("year").alias("_at"), "key", "area").withColumn(
         "_from", F.explode(F.array(*[F.col("_at") - k for k in range(1, MAX_GAP + 1)]))
@@ -115,10 +118,9 @@ def sibling_anchor(panel: DataFrame) -> DataFrame:
     )
     scope = Window.partitionBy(*identity, "_at", "_from")
     # Range frames leave out the row's own area: a sibling has a different one.
-    smaller = F.last("_offer", ignorenulls=True).over(scope.orderBy("area").rangeBetween(Window.unboundedPreceding, -1e-6))
-    larger = F.last("_offer", ignorenulls=True).over(
-        scope.orderBy(F.col("area").desc()).rangeBetween(Window.unboundedPreceding, -1e-6)
-    )
+    micro = F.round(F.col("area") * 1000000).cast("long")
+    smaller = F.last("_offer", ignorenulls=True).over(scope.orderBy(micro).rangeBetween(Window.unboundedPreceding, -1))
+    larger = F.last("_offer", ignorenulls=True).over(scope.orderBy(micro.desc()).rangeBetween(Window.unboundedPreceding, -1))
     looked = stream.withColumns({"_smaller": smaller, "_larger": larger}).where(F.col("key").isNotNull())
     options = looked.select(
         *identity, "_at", "_from", "key", "area", F.explode(F.array_compact(F.array("_smaller", "_larger"))).alias("_s")
@@ -155,7 +157,8 @@ def reference_anchor(panel: DataFrame, fallback: float | Column | None = None) -
 
 def reference_frame(types: DataFrame) -> DataFrame:
     """Panel with every prior-only anchor candidate and the coalesced anchor."""
-    return reference_anchor(sibling_anchor(matched_peer(last_price_asof(annual_panel(types)))))
+    panel = durable(last_price_asof(annual_panel(types)))
+    return reference_anchor(sibling_anchor(durable(matched_peer(panel))))
 
 
 def sample_scale(n: Column) -> Column:
