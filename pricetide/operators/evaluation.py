@@ -44,7 +44,8 @@ def transaction_replay(features: DataFrame, neutral: Column, price: Column, scal
     """(medians per key and month, latest ``n`` scored contracts per key).
 
     Needs key, month, contract_date, floor and n90.  Only rows with a positive
-    neutral and observed price are valued.
+    neutral and observed price are valued.  Medians stay unrounded; whole 만원
+    are applied where results are exported.
     """
     rows = scores.with_score(features, neutral, price, F.lit(scale)).where("score IS NOT NULL")
     what = {"median_score": "score", "median_discount_pct": "discount_pct", "median_price_billion": "price",
@@ -54,9 +55,6 @@ def transaction_replay(features: DataFrame, neutral: Column, price: Column, scal
     monthly = mids.groupBy("key", "month").agg(
         F.max("n").alias("trade_count"), *[F.max(F.when(F.col("what") == k, F.col("m"))).alias(k) for k in what]
     )
-    monthly = monthly.withColumns(
-        {c: scores.canonical_price(F.col(c)) for c in ("median_price_billion", "median_neutral_price_billion")}
-    )
     return monthly, latest_per_key(rows, n, ["contract_date", "floor", "price"])
 
 
