@@ -95,16 +95,16 @@ def ordered(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str])
 def numbered(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str], out: str = "position") -> DataFrame:
     """The position each row takes under :func:`ordered`."""
     columns = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in keys]
-    return ranked(df, [*columns, *[F.col(t).asc_nulls_last() for t in tie]], out, "_total")
+    return ranked(df, [*columns, *[F.col(t).asc_nulls_last() for t in tie]], out, "total")
 
 
 def paginate(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str], page: int = 1, size: int = 50) -> DataFrame:
     """Rows of one page with page, page_count and total; the page number is clamped into range."""
     rows = numbered(df, keys, tie)
-    count = F.greatest(F.lit(1), F.ceil(F.col("_total") / size))
+    count = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
     rows = rows.withColumns({"page_count": count, "page": F.greatest(F.lit(1), F.least(count, F.lit(page)))})
     inside = (F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size)
-    return rows.where(inside).withColumnRenamed("_total", "total")
+    return rows.where(inside)
 
 
 def page_after(df: DataFrame, after: int, limit: int, budget_bytes: int | None = None, row_no: str = "row_no",

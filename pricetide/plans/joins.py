@@ -14,7 +14,7 @@ from pricetide.sources.domain import clean, table, trades, with_trades
 
 LEGAL = """
 SELECT CAST(s_suppkey AS STRING) AS legal_code, 'A' || CAST(s_suppkey % 30 AS STRING) AS admin_code, r_name AS district_name, n_name AS dong_name
-FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE s_suppkey % 3 <> 0
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE s_acctbal > 2000
 """
 TABLES = ("supplier", "nation", "region", "part", "customer", "events")
 
@@ -201,7 +201,7 @@ def fill_amenities(spark, sf_dir):
 
 
 HOUSEHOLD_TYPES = "SELECT p_partkey, p_type AS gu_code, p_brand AS dong_name, CAST(p_partkey AS STRING) AS complex_key, p_name AS building_name, p_size AS households FROM {part}"
-HOUSEHOLD_REGISTER = "SELECT CAST(p_partkey AS STRING) AS official_id, p_brand || p_type AS road_address, CASE WHEN p_size > 40 THEN NULL ELSE p_size * 100 END AS whole_complex_households FROM {part} WHERE p_partkey % 2 = 0"
+HOUSEHOLD_REGISTER = "SELECT CAST(p_partkey AS STRING) AS official_id, p_brand || p_type AS road_address, CASE WHEN p_size > 40 THEN NULL ELSE p_size * 100 END AS whole_complex_households FROM {part} WHERE p_retailprice > 920"
 CROSSWALK = "SELECT CAST(p_partkey AS STRING) AS official_id, p_type AS gu_code, p_brand AS dong_name, CAST(p_partkey AS STRING) AS complex_key, p_name AS building_name, p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS road_address, p_partkey % 5 <> 0 AS approved FROM {part}"
 
 

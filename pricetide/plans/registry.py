@@ -32,4 +32,4 @@ def load_all() -> None:
         import_module(f"pricetide.plans.{module}")
 
 
-MODULES: list[str] = ["summaries", "history", "snapshots", "normalised", "quality", "joins", "evaluation", "dashboard"]
+MODULES: list[str] = ["summaries", "history", "snapshots", "normalised", "quality", "joins", "evaluation", "dashboard", "streams", "models"]
