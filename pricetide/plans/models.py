@@ -36,8 +36,8 @@ def fit_residual(spark, sf_dir):
 @query("ml2_walk_forward")
 def walk_forward(spark, sf_dir):
     rows = frame(spark, sf_dir)
-    out = durable(ops.walk_forward(rows, [1999, 2000, 2001], {"price": INPUTS[:8], "full": INPUTS}))
-    scored = [evaluation.metric(out, m, ["year"]).withColumn("method", F.lit(m)) for m in ("anchor", "price", "full")]
+    out = durable(ops.walk_forward(rows, [1999, 2000, 2001], {"price_inputs": INPUTS[:8], "all_inputs": INPUTS}))
+    scored = [evaluation.metric(out, m, ["year"]).withColumn("method", F.lit(m)) for m in ("anchor", "price_inputs", "all_inputs")]
     return tidy(scored[0].unionByName(scored[1]).unionByName(scored[2]))
 
 

@@ -195,15 +195,14 @@ CHUNK = 1_000_000
 def counts_as_observed(changes: DataFrame, polls: DataFrame, as_of: str) -> DataFrame:
     """Last known count of every row at ``as_of``; a partition not yet polled then raises."""
     at = F.lit(as_of).cast("timestamp")
-    baseline = polls.groupBy("partition").agg(F.min("observed_at").alias("_baseline"))
-    checked = F.when(F.col("_baseline") <= at, F.lit(True)).otherwise(
-        F.raise_error(F.lit("no archived observation exists at this time")).cast("boolean")
-    )
+    baseline = polls.groupBy("partition").agg(F.min("observed_at").alias("baseline"))
+    # Checked on its own: a lazy check would vanish together with an empty result.
+    if baseline.where(F.col("baseline") > at).limit(1).count():
+        raise ValueError("no archived observation exists at this time")
     known = changes.where(F.col("observed_at") <= at).groupBy("partition", "row_hash").agg(
         F.max_by(F.struct("row", "count"), "observed_at").alias("_l")
     )
-    rows = known.select("partition", "row_hash", "_l.*").where(F.col("count") > 0)
-    return rows.join(baseline.where(checked), "partition").drop("_baseline")
+    return known.select("partition", "row_hash", "_l.*").where(F.col("count") > 0)
 
 
 def rows_as_observed(changes: DataFrame, polls: DataFrame, as_of: str) -> DataFrame:
