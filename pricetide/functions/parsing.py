@@ -17,6 +17,15 @@ def is_missing(c: Column) -> Column:
     return cleaned(c).isin(*MISSING)
 
 
+def present(*flags: Column) -> Column:
+    """Array of the flags that are set, in order.
+
+    Spelled with ``array_remove``: dropping nulls with a lambda would take the
+    whole flag computation out of generated code.
+    """
+    return F.array_remove(F.array(*[F.coalesce(f, F.lit("")) for f in flags]), "")
+
+
 def strip_zeros(c: Column) -> Column:
     """Digits without leading zeros; a bare zero stays."""
     return F.regexp_replace(c, r"^0+(?=\d)", "")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.functions.parsing import present
 from pricetide.operators.stats import median, order_statistics
 from pricetide.session import durable
 
@@ -216,12 +217,10 @@ def annual_review(df: DataFrame) -> DataFrame:
     width = F.col("radius") * sample_scale(n)
     gap = F.ln(F.col("fair") / F.col("price"))
     score = 50 + 40 * F.tanh(gap / F.greatest(F.col("radius"), F.lit(0.05))) * confidence
-    flags = F.array_compact(
-        F.array(
-            F.when(F.col("n") < 3, "fewer_than_3_trades"),
-            F.when(F.col("prior_price").isNull(), "no_prior_year_of_type"),
-            F.when(F.abs(gap) > 2 * F.col("radius"), "large_price_gap"),
-        )
+    flags = present(
+        F.when(F.col("n") < 3, "fewer_than_3_trades"),
+        F.when(F.col("prior_price").isNull(), "no_prior_year_of_type"),
+        F.when(F.abs(gap) > 2 * F.col("radius"), "large_price_gap"),
     )
     basis = (
         F.when(F.col("prior_price").isNotNull(), "exact_prior")

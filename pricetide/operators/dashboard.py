@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.functions.parsing import present
 from pricetide.operators import summary
 from pricetide.operators.stats import Quantile, quantiles, ranked
 
@@ -124,7 +125,7 @@ def hot_cold(groups: DataFrame, value: str, tie: str, share: float = 0.3) -> Dat
     """First and last ⌈30 %⌉ of the groups with a value, marked hot and cold (a row can be both)."""
     rows = ranked(groups.where(F.col(value).isNotNull()), [F.col(value).desc(), F.col(tie).asc()], "rank", "_n")
     cut = F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
-    marks = F.array_compact(F.array(F.when(F.col("rank") <= cut, "hot"), F.when(F.col("rank") > F.col("_n") - cut, "cold")))
+    marks = present(F.when(F.col("rank") <= cut, "hot"), F.when(F.col("rank") > F.col("_n") - cut, "cold"))
     return rows.withColumn("list", F.explode(marks)).drop("_n")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
 from pricetide.functions import scores
+from pricetide.functions.parsing import present
 from pricetide.operators.stats import Quantile, average_rank, median, quantiles, ranked_within
 
 LEVELS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -138,7 +139,7 @@ def metric(df: DataFrame, prediction: str, groups: Sequence[str] = (), actual: s
 
 def segment_rows(df: DataFrame, segments: Mapping[str, Column]) -> DataFrame:
     """Each row once per segment it belongs to; segments may overlap."""
-    names = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in segments.items()]))
+    names = present(*[F.when(c, F.lit(name)) for name, c in segments.items()])
     return df.withColumn("segment", F.explode(names))
 
 

@@ -165,7 +165,7 @@ def normalize_sale(df: DataFrame, registry: DataFrame) -> DataFrame:
         F.when(unknown_deal, "deal_type_unknown").when(~deal.isin(BROKERED, DIRECT), "deal_type_unrecognized"),
         amount_flag,
     ]
-    out = out.withColumn("_flags", F.array_compact(F.array(*flags)))
+    out = out.withColumn("_flags", P.present(*flags))
     out = out.withColumns(
         {
             "property_type": F.lit(APARTMENT),
@@ -218,7 +218,7 @@ def normalize_lease(df: DataFrame, registry: DataFrame) -> DataFrame:
         "is_pure_jeonse": pure,
     }
     # Flags read the published text, so they are fixed before columns take its names.
-    out = out.withColumn("_flags", F.array_compact(F.array(*flags)))
+    out = out.withColumn("_flags", P.present(*flags))
     out = out.withColumns({**measures, "property_type": property_type})
     return _canonical(out, F.col("_flags"), list(measures))
 

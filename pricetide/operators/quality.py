@@ -188,7 +188,7 @@ def boundary_flags(trades: DataFrame, rules: Mapping[str, tuple[Sequence[str], s
         if last:
             hit = hit & (F.col("date") <= cal.as_date(last))
         tests.append(F.when(hit, F.lit(issue)))
-    flagged = trades.select("key", F.explode(F.array_compact(F.array(*tests))).alias("issue"))
+    flagged = trades.select("key", F.explode(P.present(*tests)).alias("issue"))
     per_type = flagged.groupBy("issue", "key").agg(F.count("*").alias("_n"))
     return per_type.groupBy("issue").agg(F.sum("_n").alias("rows"), F.count("*").alias("exact_types"))
 

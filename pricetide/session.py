@@ -25,6 +25,8 @@ def build_session(app: str = "pricetide", cores: str | int = "*", **conf: str) -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
+        # Small local files: let every core get a share of the scan.
+        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

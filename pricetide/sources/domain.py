@@ -15,6 +15,7 @@ LAW_CHANGE = "1998-01-01"
 
 
 _SCHEMAS: dict[str, StructType] = {}
+ONE_TASK_BYTES, ONE_SPLIT_BYTES = 4 * 1024**2, 128 * 1024**2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if ONE_TASK_BYTES < size < ONE_SPLIT_BYTES:
+        # A file below one scan split may be a single row group, i.e. one task for
+        # all row-level work behind it; spreading that little data costs nothing.
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
