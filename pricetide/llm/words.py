@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SPACES = np.zeros(256, bool)
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) ->
     """The same rows in batches of about `most` bytes of text; a longer text comes alone."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) ->
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each text starts in them (with the end)."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
