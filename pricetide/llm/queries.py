@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import crf, pieces
+from pricetide.llm import bagminhash, crf, pieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -15,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each document: exact copies, and texts that share 0.8 of their runs of five words."""
+    return bagminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents of four folds."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -33,5 +38,5 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op7_languages, op8_pieces)}
+QUERIES = {f.__name__: f for f in (op6_near_duplicates, op7_languages, op8_pieces)}
 ORACLES: dict[str, str] = {}

@@ -93,18 +93,18 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def runs(words: np.ndarray, k: int, salt: int = 0x2545F4914F6CDD1D) -> np.ndarray:
     """A hash of the k words from each position (positions too near the end hold runs that are cut off; callers mask them)."""
     out = np.zeros(len(words), np.uint64)
-    block, size, factor, done = words.copy(), 1, U(salt | 1), 0
+    block, size, done = words.copy(), 1, 0
     while size <= k:
         if k & size:
             shifted = np.zeros_like(out)
             if done < len(words):
                 shifted[: len(words) - done] = block[done:]
-            out += shifted * U(pow(int(salt | 1), done, 1 << 64))
+            out += shifted * U(pow(salt | 1, done, 1 << 64))
             done += size
         nxt = block.copy()
         if size < len(words):
-            nxt[: len(words) - size] += block[size:] * factor
-        block, size, factor = nxt, size * 2, factor * factor
+            nxt[: len(words) - size] += block[size:] * U(pow(salt | 1, size, 1 << 64))
+        block, size = nxt, size * 2
     return mix(out + U(k))
 
 
