@@ -7,8 +7,8 @@ two texts agree in a component with the probability of their weighted Jaccard si
 at which all components of the text are filled, so a text costs its runs plus m log m points, however many components there are.
 
 Exact copies collapse first.  Signatures go into bands; texts of a bucket are compared with one of them, and by the triangle inequality of the
-Jaccard distance only those that may still link with a text of another class are compared further, in small buckets pair by pair.  All
-comparisons are exact, on the bags.  A text of one to four words is one run; texts without words (also null) link with nothing, not even each other.
+Jaccard distance only those that may still link with a text of another class are compared further: after two such rounds, with the texts
+that share one of their rarest runs.  All comparisons are exact, on the bags.  A text of one to four words is one run; texts without words (also null) link with nothing, not even each other.
 Repeated rows are copies; null ids are allowed.
 """
 
@@ -18,16 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.llm.components import components
+from pricetide.llm.tables import discard, settled
 from pricetide.llm.words import U, mix, positions, runs, signed, slices, text_words
-from pricetide.session import durable
 
 GOLD = U(0x9E3779B97F4A7C15)
-#: Buckets up to this size are compared pair by pair after the first round.
-SMALL = 32
+#: Rounds in which the texts of a bucket are compared with one of them.
+STARS = 2
 
 
 def bags(text: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,63 +141,72 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("n") / (F.col("all") - F.col("n"))).alias("similarity"))
 
 
+def _with_class(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    return nodes.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _fresh(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Distinct pairs between classes, smaller node first, without those compared before."""
+    pairs = pairs.filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of nodes that can reach the similarity: such bags share one of their (1 - similarity) * size + 1 rarest items, so a passage that
+    many of them hold makes no pairs."""
+    items = settled(nodes.join(sets, "node").select("node", "weight", "c", F.explode("items").alias("e")))
+    often = settled(items.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranked = items.join(often, "e", "left").withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "e")))
+    rare = settled(ranked.filter((F.col("n") > 1) & (F.col("k") <= F.col("weight") - F.ceil(similarity * F.col("weight") - 1e-9) + 1)).select("e", "node", "weight", "c", "k"))
+    left = rare.select("e", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("c").alias("ca"), (F.col("weight") - F.col("k")).alias("ra"))
+    right = rare.select("e", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("c").alias("cb"), (F.col("weight") - F.col("k")).alias("rb"))
+    # From the first item that two bags share, no more than what remains of either can be shared.
+    enough = F.least("ra", "rb") + 1 >= similarity / (1 + similarity) * (F.col("wa") + F.col("wb")) - 1e-9
+    return left.join(right, "e").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough)
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """docs: doc_id, text.  One row per row of docs: doc_id, class_id (smallest id among exact copies), component_id (smallest id among all
     texts reached by links of at least `similarity`), kept (one row of each component).  A pair at exactly the limit shares no band with
     probability (1 - similarity ** rows) ** bands, 3e-6 as given, and less above it."""
     docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
-    base = durable(_signed(docs, words, bands, rows))
+    base = settled(_signed(docs, words, bands, rows))
     of_text = base.filter("weight > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
-    texts = durable(of_text).withColumn("node", F.monotonically_increasing_id())
+    texts = settled(of_text.withColumn("node", F.monotonically_increasing_id()))
     buckets = texts.select("node", "weight", F.explode("bands").alias("bucket"))
-    shared = durable(buckets.groupBy("bucket").count().filter("count > 1"))
-    active = durable(buckets.join(shared.select("bucket"), "bucket").select("bucket", "node", "weight"))
+    shared = settled(buckets.groupBy("bucket").count().filter("count > 1"))
+    active = settled(buckets.join(shared.select("bucket"), "bucket").select("bucket", "node", "weight"))
     wanted = texts.join(active.select("node").distinct(), "node").select("node", "digest", F.col("doc_id").alias("own"))
     found = docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["own"])).select("node", "text")
-    sets = durable(_sets(found, words).dropDuplicates(["node"]))
-    compared, links, label = None, None, None
-    first = True
+    sets = settled(_sets(found, words).dropDuplicates(["node"]))
+    none = active.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    compared, links, label = none.withColumn("similarity", F.lit(0.0)), none, active.select("node", F.col("node").alias("component")).limit(0)
     ratio = F.least("wa", "wb") / F.greatest("wa", "wb")
-    while True:
-        # Every text of a bucket is compared with one of them; in small buckets all pairs are, but in the first round, which settles most.
-        here = active if label is None else active.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        here = here if label is not None else here.withColumn("c", F.col("node"))
-        lead = here.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.col("node"), F.col("weight"), F.col("c"))).alias("lead"))
-        lead = durable(lead.select("bucket", "n", F.col("lead.node").alias("a"), F.col("lead.weight").alias("wa"), F.col("lead.c").alias("ca")))
+    for turn in range(STARS):
+        here = _with_class(active, label)
+        lead = here.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("weight"), F.col("c"))).alias("lead"))
+        lead = settled(lead.select("bucket", F.col("lead.node").alias("a"), F.col("lead.weight").alias("wa"), F.col("lead.c").alias("ca")))
         star = here.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("c").alias("cb")).join(lead, "bucket").filter("a <> b")
-        pairs = star.select("a", "wa", "ca", "b", "wb", "cb")
-        if not first:
-            few = here.join(lead.filter(f"n <= {SMALL}").select("bucket"), "bucket")
-            left = few.select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("c").alias("ca"))
-            right = few.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "bucket").filter("a < b").select(*pairs.columns).unionAll(star.filter(f"n > {SMALL}").select(*pairs.columns))
-            pairs = pairs.filter("ca <> cb")
-        pairs = pairs.filter(ratio >= similarity).select("a", "b").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        new = durable(_overlap(pairs, sets))
-        compared = new if compared is None else durable(compared.unionAll(new))
-        linked = new.filter(F.col("similarity") >= similarity).select("a", "b")
-        if links is None or not linked.isEmpty():
-            links = linked if links is None else links.unionAll(linked)
-            label = durable(components(links))
-        # What is left of the buckets that were compared with one text only: texts outside its class, and those of its class that the
+        new = settled(_overlap(_fresh(star.filter(ratio >= similarity), compared), sets))
+        compared = new if turn == 0 else settled(compared.unionAll(new))
+        links = settled(links.unionAll(new.filter(F.col("similarity") >= similarity).select("a", "b")))
+        label = components(links)
+        # What is left of each bucket: texts outside the class of the one they were compared with, and those of its class that the
         # triangle inequality doesn't keep from linking with them.
-        star = star if first else star.filter(f"n > {SMALL}")
-        of_b = label.select(F.col("node").alias("b"), F.col("component").alias("kb"))
-        of_a = label.select(F.col("node").alias("a"), F.col("component").alias("ka"))
-        known = star.join(compared, ["a", "b"], "left").join(of_b, "b", "left").join(of_a, "a", "left")
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        known = star.select("bucket", F.col("a").alias("lead"), F.col("b").alias("node"), "wa", "wb", *pair).join(compared, ["a", "b"], "left")
+        known = known.join(label, "node", "left").withColumnRenamed("component", "kb").join(label.select(F.col("node").alias("lead"), F.col("component").alias("ka")), "lead", "left")
         least_far, most_far = F.coalesce(1 - F.col("similarity"), 1 - ratio), F.coalesce(1 - F.col("similarity"), F.lit(1.0))
-        known = durable(known.select("bucket", "b", "wb", least_far.alias("least_far"), most_far.alias("far"), (F.coalesce("kb", "b") != F.coalesce("ka", "a")).alias("other")))
-        least = durable(known.filter("other").groupBy("bucket").agg(F.min("least_far").alias("least")))
-        active = durable(known.join(least, "bucket").filter(F.col("other") | (F.col("far") >= F.col("least") - (1 - similarity) - 1e-9)).select("bucket", F.col("b").alias("node"), F.col("wb").alias("weight")))
-        first = False
-        if active.isEmpty():
-            break
+        known = settled(known.select("bucket", "node", F.col("wb").alias("weight"), least_far.alias("least_far"), most_far.alias("far"), (F.coalesce("kb", "node") != F.coalesce("ka", "lead")).alias("other")))
+        least = settled(known.filter("other").groupBy("bucket").agg(F.min("least_far").alias("least")))
+        active = settled(known.join(least, "bucket").filter(F.col("other") | (F.col("far") >= F.col("least") - (1 - similarity) - 1e-9)).select("bucket", "node", "weight"))
+    rest = _fresh(_prefix_pairs(_with_class(active.select("node", "weight").distinct(), label), sets, similarity), compared)
+    label = components(settled(links.unionAll(settled(_overlap(rest, sets)).filter(F.col("similarity") >= similarity).select("a", "b"))))
     named = texts.select("digest", "node", F.col("doc_id").alias("class_id")).join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    named = durable(named.select("digest", "class_id", "c"))
+    named = settled(named.select("digest", "class_id", "c"))
+    discard(sets, compared, links, label, active, shared, texts)
     least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
-    named = durable(named.join(least, "c").select("digest", "class_id", "component_id"))
+    named = settled(named.join(least, "c").select("digest", "class_id", "component_id"))
     out = base.select("doc_id", "digest", "weight").join(named, "digest", "left")
     alone = F.col("class_id").isNull() & (F.col("weight") == 0)
     out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.session import durable
+from pricetide.llm.tables import discard, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,16 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     halve their distance to the smallest node, so rounds grow with the logarithm of the longest chain.  Minima are taken before the shuffle,
     so a node with very many links costs no more than its links.
     """
-    both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = settled(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
         apart = seen.filter("la <> lb")
         sent = apart.select(F.col("a").alias("node"), F.col("lb").alias("to")).unionAll(apart.select(F.col("la").alias("node"), F.col("lb").alias("to")))
         least = sent.groupBy("node").agg(F.min("to").alias("to"))
         hooked = labels.join(least, "node", "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), F.col("to").isNotNull().alias("apart"))
-        hooked = durable(hooked)
+        hooked = settled(hooked)
         if hooked.filter("apart").isEmpty():
+            discard(both, hooked)
             return labels.select("node", F.col("label").alias("component"))
         follow = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = durable(hooked.join(follow, "label").select("node", F.col("further").alias("label")))
+        old, labels = labels, settled(hooked.join(follow, "label").select("node", F.col("further").alias("label")))
+        discard(old, hooked)
