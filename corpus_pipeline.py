@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import crf, pieces
+from pricetide.llm import bagminhash, crf, mixing, pieces, suffixes
 from pricetide.llm.queries import PIECES
+from pricetide.llm.tables import settled
 from pricetide.session import scratch_path
 
 
@@ -18,19 +19,53 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.4)).select("doc.*")
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
+def _matching(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs whose id and text are among wanted's (doc_id, digest, any more as _ columns), once each, with these columns."""
+    there = wanted.withColumnsRenamed({"doc_id": "_id", "digest": "_d"})
+    both = docs.withColumn("_digest", _digest()).join(there, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_d")))
+    return both.dropDuplicates(["doc_id", "_digest"]).drop("_id", "_d", "_digest")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    found = settled(bagminhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id", "digest").distinct())
+    return _matching(docs, found)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more stay where they come first; documents of which nothing is left go."""
+    cut = suffixes.without_spans(docs, suffixes.repeated_spans(docs.select("doc_id", "text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.filter(F.col("text").rlike(mixing.WORD))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights: a document comes as often as the mixture takes it, to the nearest whole time."""
+    size = mixing.size_of(F.col("text"))
+    sized = settled(docs.select("doc_id", _digest().alias("digest"), "source", size.alias("size"), mixing.quality_of(F.col("text"), size).alias("quality")))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    mixed = mixing.mix(sized).filter("size > 0").groupBy("doc_id", "digest").agg(F.sum(times).alias("_times")).filter("_times > 0")
+    return _matching(docs, mixed).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its piece ids and the text they decode to."""
     return pieces.encode(docs, PIECES)
 
 
-STAGES = [("languages", languages), ("encoding", encoding)]
+STAGES = [("languages", languages), ("near duplicates", near_duplicates), ("repeats", repeats), ("mixture", mixture), ("pieces", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written, and read as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -166,7 +166,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
-    """docs: doc_id, text.  One row per row of docs: doc_id, class_id (smallest id among exact copies), component_id (smallest id among all
+    """docs: doc_id, text.  One row per row of docs: doc_id, digest (of the text), class_id (smallest id among exact copies), component_id (smallest id among all
     texts reached by links of at least `similarity`), kept (one row of each component).  A pair at exactly the limit shares no band with
     probability (1 - similarity ** rows) ** bands, 3e-6 as given, and less above it."""
     docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     found = docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["own"])).select("node", "text")
     sets = settled(_sets(found, words).dropDuplicates(["node"]))
     none = active.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    compared, links, label = none.withColumn("similarity", F.lit(0.0)), none, active.select("node", F.col("node").alias("component")).limit(0)
+    compared, label = none.withColumn("similarity", F.lit(0.0)), active.select("node", F.col("node").alias("component")).limit(0)
     ratio = F.least("wa", "wb") / F.greatest("wa", "wb")
     for turn in range(STARS):
         here = _with_class(active, label)
@@ -189,8 +189,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         star = here.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("c").alias("cb")).join(lead, "bucket").filter("a <> b")
         new = settled(_overlap(_fresh(star.filter(ratio >= similarity), compared), sets))
         compared = new if turn == 0 else settled(compared.unionAll(new))
-        links = settled(links.unionAll(new.filter(F.col("similarity") >= similarity).select("a", "b")))
-        label = components(links)
+        links = new.filter(F.col("similarity") >= similarity).select("a", "b")
+        label = components(label.selectExpr("node AS a", "component AS b").unionAll(links))
         # What is left of each bucket: texts outside the class of the one they were compared with, and those of its class that the
         # triangle inequality doesn't keep from linking with them.
         pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -201,13 +201,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         least = settled(known.filter("other").groupBy("bucket").agg(F.min("least_far").alias("least")))
         active = settled(known.join(least, "bucket").filter(F.col("other") | (F.col("far") >= F.col("least") - (1 - similarity) - 1e-9)).select("bucket", "node", "weight"))
     rest = _fresh(_prefix_pairs(_with_class(active.select("node", "weight").distinct(), label), sets, similarity), compared)
-    label = components(settled(links.unionAll(settled(_overlap(rest, sets)).filter(F.col("similarity") >= similarity).select("a", "b"))))
+    links = settled(_overlap(rest, sets)).filter(F.col("similarity") >= similarity).select("a", "b")
+    label = components(label.selectExpr("node AS a", "component AS b").unionAll(links))
     named = texts.select("digest", "node", F.col("doc_id").alias("class_id")).join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
     named = settled(named.select("digest", "class_id", "c"))
-    discard(sets, compared, links, label, active, shared, texts)
+    discard(sets, compared, label, active, shared, texts)
     least = named.groupBy("c").agg(F.min("class_id").alias("component_id"))
     named = settled(named.join(least, "c").select("digest", "class_id", "component_id"))
     out = base.select("doc_id", "digest", "weight").join(named, "digest", "left")
     alone = F.col("class_id").isNull() & (F.col("weight") == 0)
-    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

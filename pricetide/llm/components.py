@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by rounds of joins; nothing but counts reaches the driver."""
+"""Connected components of a table of links, by rounds of contraction; nothing but counts reaches the driver."""
 
 from __future__ import annotations
 
@@ -11,22 +11,22 @@ from pricetide.llm.tables import discard, settled
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long).  Returns node, component for every linked node; component is the smallest node that can be reached.
 
-    Each round, a node and the node its label names take the smallest label across every link, then labels are followed one step; labels
-    halve their distance to the smallest node, so rounds grow with the logarithm of the longest chain.  Minima are taken before the shuffle,
-    so a node with very many links costs no more than its links.
+    Each round, a node joins the smallest of its neighbours (followed one step further), and the links are drawn anew between what remains.
+    Nodes only ever join smaller ones, so the smallest of a component is what is left of it.  Minima are taken before the shuffle, so a node
+    with very many links costs no more than its links.
     """
-    both = settled(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        apart = seen.filter("la <> lb")
-        sent = apart.select(F.col("a").alias("node"), F.col("lb").alias("to")).unionAll(apart.select(F.col("la").alias("node"), F.col("lb").alias("to")))
-        least = sent.groupBy("node").agg(F.min("to").alias("to"))
-        hooked = labels.join(least, "node", "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), F.col("to").isNotNull().alias("apart"))
-        hooked = settled(hooked)
-        if hooked.filter("apart").isEmpty():
-            discard(both, hooked)
-            return labels.select("node", F.col("label").alias("component"))
-        follow = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        old, labels = labels, settled(hooked.join(follow, "label").select("node", F.col("further").alias("label")))
-        discard(old, hooked)
+    edges = settled(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = edges.selectExpr("a AS node", "a AS component").limit(0)
+    while not edges.isEmpty():
+        ends = edges.selectExpr("b AS node", "a AS to").unionAll(edges.selectExpr("a AS node", "a AS to"))
+        parent = settled(ends.groupBy("node").agg(F.min("to").alias("to")))
+        up = parent.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        joined = settled(parent.join(up, "to").select("node", F.col("further").alias("to")))
+        moved = edges.join(joined.selectExpr("node AS a", "to AS x"), "a").join(joined.selectExpr("node AS b", "to AS y"), "b").filter("x <> y")
+        rest = settled(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        followed = labels.join(joined.selectExpr("node AS component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        new = joined.join(labels.select("node"), "node", "left_anti").selectExpr("node", "to AS component")
+        old, labels = labels, settled(followed.unionAll(new))
+        discard(edges, parent, joined, old)
+        edges = rest
+    return labels

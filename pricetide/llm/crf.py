@@ -188,14 +188,15 @@ def train(texts: list[str], labels: list[str], *, lexicon: int = 20_000, epochs:
 
 def sample(labelled: DataFrame, per_language: int, most_chars: int) -> tuple[list[str], list[str]]:
     """Texts and labels to learn from; at most per_language * most_chars characters of each language reach the driver."""
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    texts, labels = [], []
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars)).select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    wanted = F.lit(False)
     for lang in sorted(r[0] for r in known.select("lang").distinct().collect()):
-        own = known.filter((F.col("lang") == lang) & (F.length("text") <= most_chars)).select("text", F.xxhash64("doc_id").alias("h"))
-        got = own.orderBy("h", "text").limit(per_language).collect()
-        texts += [r[0] for r in got]
-        labels += [lang] * len(got)
-    return texts, labels
+        last = known.filter(F.col("lang") == lang).select("h").orderBy("h").limit(per_language).agg(F.max("h")).first()[0]
+        wanted |= (F.col("lang") == lang) & (F.col("h") <= last)
+    # Repeated ids could make more rows than asked for.
+    got = known.filter(wanted).orderBy("lang", "h", "text").limit(per_language * 1000).collect()
+    kept = [r for k, r in enumerate(got) if k < per_language or got[k - per_language]["lang"] != r["lang"]]
+    return [r["text"] for r in kept], [r["lang"] for r in kept]
 
 
 def fit(labelled: DataFrame, *, per_language: int = 250, most_chars: int = 4000, **options) -> Model:
