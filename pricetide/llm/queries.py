@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bagminhash, crf, mixing, pieces, rollups, suffixes, wrappers
+from pricetide.llm import bagminhash, crf, itq, mixing, nndescent, pieces, rollups, suffixes, wrappers
 from pricetide.llm.tables import settled
 from pricetide.session import scratch_path
 
@@ -49,6 +49,11 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9."""
+    return itq.links(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after five batches over all documents: all come in; some are deleted; some are counted anew; another tokenizer version comes in;
     the second batch is sent again."""
@@ -106,6 +111,11 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100."""
+    return nndescent.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of words that repeat an earlier passage of fifty words or more."""
     found = suffixes.repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -113,5 +123,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("words").alias("n_words"), removed.alias("n_removed"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op3_main_text, op5_token_totals, op6_near_duplicates, op7_languages, op8_pieces, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op3_main_text, op4_linked_vectors, op5_token_totals, op6_near_duplicates, op7_languages, op8_pieces, op9_neighbours, op10_repeats)}
 ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op5_token_totals": OP5_SQL}
