@@ -15,8 +15,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without letters, or with no language above the threshold, go."""
     test = crf.held_out(F.col("doc_id"), 5)
     model = crf.fit(docs.filter(~test).select("doc_id", "text", "lang"))
-    found = crf.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text")), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.4)).select("doc.*")
+    lang, score = _unused(docs, "lang_pred"), _unused(docs, "lang_score")
+    found = crf.identify(docs, model, lang=lang, score=score)
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= 0.4)).select(*docs.columns)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 def _digest() -> Column:

@@ -29,7 +29,7 @@ from pricetide.llm.words import U, flat, hashes, positions, slices, spans
 
 #: Size of the table that n-grams and affixes are hashed into.
 TABLE = 1 << 16
-SLICE = 3 << 20
+SLICE = 3 << 19
 
 
 @dataclass
