@@ -267,7 +267,7 @@ def _trained(docs: DataFrame, v: Vocabulary, net: Network, pick: Column) -> Netw
 
 def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: int = 2048, width: int = 32, hidden: int = 24, rounds: int = 3, share: float = 1 / 32) -> DataFrame:
     """docs: doc_id, text.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = docs.filter("NOT held_out")
     counts = settled(_counted(train).groupBy("word").agg(F.sum("n").alias("c")))
     v = vocabulary(counts, held, modelled)
