@@ -8,28 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Reporting-law change date used with the driver tables (day / ISO text).
 LAW_CHANGE = "1998-01-01"
 
 
-_SCHEMAS: dict[str, StructType] = {}
-ONE_TASK_BYTES, ONE_SPLIT_BYTES = 4 * 1024**2, 128 * 1024**2
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its schema is read from the footer once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if ONE_TASK_BYTES < size < ONE_SPLIT_BYTES:
-        # A file below one scan split may be a single row group, i.e. one task for
-        # all row-level work behind it; spreading that little data costs nothing.
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
