@@ -7,13 +7,17 @@ in one aggregation buffer; here the group is cut into value bins instead:
 1. rows are counted per (group, bin, value), so copies collapse map-side;
 2. a small histogram per group gives each bin the weight that lies below it
    and names the few bins that hold a wanted statistic;
-3. inside those bins cumulative weights are taken and shifted by the offset;
-4. each statistic is the smallest value whose cumulative weight reaches its
+3. the values of such a bin, often a few per cent of a hot group, are cut
+   again into parts of equal width between its smallest and largest value, and
+   a second histogram names the parts that hold a wanted statistic;
+4. inside those parts cumulative weights are taken and shifted by the offset;
+5. each statistic is the smallest value whose cumulative weight reaches its
    target, which is a map-side combinable ``min``.
 
 The bin is a fixed order-preserving function of the value, so a group has at
-most about 26,000 bins whatever its row count.  The same pass serves any
-number of statistics and weightings over one value column.
+most about 26,000 bins, and a bin at most 4,096 parts, whatever its row count.
+The same pass serves any number of statistics and weightings over one value
+column.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from pricetide.session import durable
 
 BINS_PER_E_FOLD = 256
+PARTS_PER_BIN = 4096
 
 
 def value_bin(value: Column) -> Column:
@@ -34,6 +39,12 @@ def value_bin(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1e4) * BINS_PER_E_FOLD)
 
 
+def value_part(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving part of a bin whose values lie between low and high."""
+    at = F.floor((value - low) / (high - low) * PARTS_PER_BIN)
+    return F.when(high > low, F.least(at, F.lit(PARTS_PER_BIN - 1))).otherwise(F.lit(0).cast("long"))
+
+
 @dataclass(frozen=True)
 class Quantile:
     """One requested statistic.
@@ -53,6 +64,16 @@ class Quantile:
 Target = Callable[[Column], Column]
 
 
+def _holds(picks: Mapping[str, tuple[str, Target]]) -> Column:
+    """Whether a slice of weight _h after an offset of _o holds a wanted statistic."""
+    found = F.lit(False)
+    for w, target in picks.values():
+        total, low = F.col(f"_t_{w}"), F.col(f"_o_{w}")
+        wanted = target(total)
+        found = found | ((total > 0) & (low < wanted) & (low + F.col(f"_h_{w}") >= wanted))
+    return found
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
@@ -87,27 +108,35 @@ def order_statistics(
     counted = base.groupBy(*groups, "_bin", "_v").agg(
         *[F.sum(f"_w_{w}").alias(f"_w_{w}") for w in used]
     )
-    histogram = counted.groupBy(*groups, "_bin").agg(*[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used])
+    histogram = counted.groupBy(*groups, "_bin").agg(
+        *[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used], F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
     below = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    offsets = histogram.select(
+    bins = histogram.select(
         *groups,
         "_bin",
+        "_low",
+        "_high",
         *[F.coalesce(F.sum(f"_h_{w}").over(below), F.lit(0.0)).alias(f"_o_{w}") for w in used],
         *[F.sum(f"_h_{w}").over(whole).alias(f"_t_{w}") for w in used],
         *[f"_h_{w}" for w in used],
     )
-    holds_target = F.lit(False)
-    for w, target in picks.values():
-        total, low = F.col(f"_t_{w}"), F.col(f"_o_{w}")
-        wanted = target(total)
-        holds_target = holds_target | ((total > 0) & (low < wanted) & (low + F.col(f"_h_{w}") >= wanted))
-    offsets = offsets.where(holds_target).drop(*[f"_h_{w}" for w in used])
-    inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cumulative = counted.join(offsets, [*groups, "_bin"]).select(
+    bins = bins.where(_holds(picks)).drop(*[f"_h_{w}" for w in used])
+    inside = counted.join(bins, [*groups, "_bin"]).withColumn("_part", value_part(F.col("_v"), F.col("_low"), F.col("_high")))
+    slim = inside.groupBy(*groups, "_bin", "_part").agg(
+        *[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used],
+        *[F.max(f"_{x}_{w}").alias(f"_{x}_{w}") for w in used for x in "ot"],
+    )
+    before = Window.partitionBy(*groups, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = slim.withColumns({f"_o_{w}": F.col(f"_o_{w}") + F.coalesce(F.sum(f"_h_{w}").over(before), F.lit(0.0)) for w in used})
+    parts = parts.where(_holds(picks)).drop(*[f"_h_{w}" for w in used])
+    last = Window.partitionBy(*groups, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = inside.select(*groups, "_bin", "_part", "_v", *[f"_w_{w}" for w in used]).join(parts, [*groups, "_bin", "_part"])
+    cumulative = chosen.select(
         *groups,
         "_v",
-        *[(F.col(f"_o_{w}") + F.sum(f"_w_{w}").over(inside)).alias(f"_c_{w}") for w in used],
+        *[(F.col(f"_o_{w}") + F.sum(f"_w_{w}").over(last)).alias(f"_c_{w}") for w in used],
         *[f"_t_{w}" for w in used],
     )
     found = []
@@ -242,19 +271,31 @@ def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) ->
         .groupBy(*groups, value_bin(F.col(value)).alias("_bin"), F.col(value))
         .agg(F.count("*").alias("_c"))
     )
-    histogram = counted.groupBy(*groups, "_bin").agg(F.sum("_c").alias("_h"))
+    v = F.col(value)
+    histogram = counted.groupBy(*groups, "_bin").agg(F.sum("_c").alias("_h"), F.min(v).alias("_low"), F.max(v).alias("_high"))
     below = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = histogram.select(
+    bins = histogram.select(
         *groups,
         "_bin",
+        "_low",
+        "_high",
         F.coalesce(F.sum("_h").over(below), F.lit(0)).alias("_o"),
         F.sum("_h").over(Window.partitionBy(*groups)).alias(f"{out}_n"),
     )
-    inside = Window.partitionBy(*groups, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counted.join(offsets, [*groups, "_bin"]).select(
+    inside = counted.join(bins, [*groups, "_bin"]).withColumn("_part", value_part(v, F.col("_low"), F.col("_high")))
+    slim = inside.groupBy(*groups, "_bin", "_part").agg(
+        F.sum("_c").alias("_h"), F.max("_o").alias("_o"), F.max(f"{out}_n").alias(f"{out}_n")
+    )
+    before = Window.partitionBy(*groups, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = slim.select(
+        *groups, "_bin", "_part", f"{out}_n", (F.col("_o") + F.coalesce(F.sum("_h").over(before), F.lit(0))).alias("_o")
+    )
+    last = Window.partitionBy(*groups, "_bin", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.select(*groups, "_bin", "_part", value, "_c").join(parts, [*groups, "_bin", "_part"])
+    ranks = placed.select(
         *groups,
         value,
-        (F.col("_o") + F.sum("_c").over(inside) - (F.col("_c") - 1) / 2).alias(out),
+        (F.col("_o") + F.sum("_c").over(last) - (F.col("_c") - 1) / 2).alias(out),
         f"{out}_n",
     )
     return df.join(ranks, [*groups, value], "left")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import stats
@@ -85,3 +86,17 @@ def test_bins_keep_order_over_the_whole_double_range(spark):
     bins = [r["b"] for r in df.select("v", stats.value_bin(F.col("v")).alias("b")).orderBy("v").collect()]
     assert bins == sorted(bins)
     assert max(bins) - min(bins) < 27000
+
+
+def test_hot_bin_is_cut_into_small_parts(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("all").alias("g"), (F.lit(7.0) + F.col("id") / n * 0.07).alias("v"))
+    at = df.withColumn("b", stats.value_bin(F.col("v")))
+    edges = at.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("in_bin"))
+    assert edges.agg(F.max("in_bin")).first()[0] > n / 10
+    parts = at.join(edges, "b").groupBy("b", stats.value_part(F.col("v"), F.col("lo"), F.col("hi")).alias("p")).count()
+    assert parts.agg(F.max("count")).first()[0] < n / 1000
+    got = stats.quantiles(df, ["g"], "v", {"m": stats.Quantile(0.5), "p": stats.Quantile(0.9, linear=False)}).first()
+    assert abs(got["m"] - (7.0 + (n - 1) / 2 / n * 0.07)) < 1e-12 and got["p"] == 7.0 + (n * 0.9 - 1) / n * 0.07
+    ranks = stats.average_rank(df, ["g"], "v", "r").select("r", F.row_number().over(Window.orderBy("v")).alias("k"))
+    assert ranks.where("r <> k").count() == 0
