@@ -33,7 +33,7 @@ def write_polls(rows: DataFrame, path: str) -> None:
     """Rows (partition, observed_at, row) as poll files; all records of a poll land in one file."""
     sizes = rows.groupBy("partition", "observed_at").agg(F.count("row").alias("poll_rows"))
     complete = rows.join(sizes, ["partition", "observed_at"]).select(*POLL_SCHEMA.fieldNames())
-    complete.repartition("observed_at").write.mode("append").json(path)
+    complete.repartition("partition", "observed_at").write.mode("append").json(path)
 
 
 def read_polls(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -101,6 +101,13 @@ def ledger_changes(polls: DataFrame, counts: DataFrame, last_polls: DataFrame |
     )
 
 
+def with_content(polls: DataFrame, counts: DataFrame) -> DataFrame:
+    """Polls with a digest of their rows and counts, in any order; 0 for an empty poll."""
+    digest = F.sum(F.xxhash64("row_hash", "count").cast("decimal(38,0)"))
+    known = counts.groupBy("partition", "observed_at").agg(digest.alias("content"))
+    return polls.join(known, ["partition", "observed_at"], "left").withColumn("content", F.coalesce("content", F.lit(0).cast("decimal(38,0)")))
+
+
 def current_counts(changes: DataFrame) -> DataFrame:
     """Latest count of every row signature."""
     return changes.groupBy("partition", "row_hash").agg(
@@ -109,16 +116,23 @@ def current_counts(changes: DataFrame) -> DataFrame:
 
 
 def guard_time(polls: DataFrame, last_polls: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(polls that advance time, rejected polls with a reason).  Late polls are set aside, never merged."""
+    """(polls that advance time, rejected polls with a reason).
+
+    A poll older than the latest one, or of the same instant with other
+    content, is set aside, never merged.  The latest poll delivered once more
+    with the same content is a retry: it is in neither result.
+    """
     if last_polls is None:
-        return polls, polls.limit(0).withColumn("reason", F.lit(None).cast("string"))
-    latest = last_polls.groupBy("partition").agg(F.max("observed_at").alias("_latest"))
-    judged = polls.join(latest, "partition", "left")
-    late = F.when(F.col("observed_at") < F.col("_latest"), "older_than_latest").when(
-        F.col("observed_at") == F.col("_latest"), "repeated_instant"
+        return polls.drop("content"), polls.limit(0).drop("content").withColumn("reason", F.lit(None).cast("string"))
+    latest = last_polls.groupBy("partition").agg(
+        F.max("observed_at").alias("_latest"), F.max_by("content", "observed_at").alias("_content")
     )
-    judged = judged.withColumn("reason", late)
-    return judged.where(F.col("reason").isNull()).drop("reason", "_latest"), judged.where(F.col("reason").isNotNull()).drop("_latest")
+    judged = polls.join(latest, "partition", "left")
+    repeated = F.col("observed_at") == F.col("_latest")
+    late = F.when(F.col("observed_at") < F.col("_latest"), "older_than_latest").when(repeated, "repeated_instant")
+    retry = F.coalesce(repeated & (F.col("content") == F.col("_content")), F.lit(False))
+    judged = judged.where(~retry).withColumn("reason", late).drop("_latest", "_content", "content")
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
 class Ledger:
@@ -142,7 +156,7 @@ class Ledger:
         return self._read("changes", "partition string, row_hash string, row string, observed_at timestamp, count long", before)
 
     def polls(self, before: int | None = None) -> DataFrame | None:
-        return self._read("polls", "partition string, observed_at timestamp", before)
+        return self._read("polls", "partition string, observed_at timestamp, content decimal(38,0)", before)
 
     def rejected(self) -> DataFrame | None:
         return self._read("rejected", "partition string, observed_at timestamp, reason string")
@@ -156,6 +170,7 @@ class Ledger:
         try:
             known_polls, known_changes = self.polls(batch_id), self.changes(batch_id)
             polls, counts = row_counts(records)
+            polls = with_content(polls, counts)
             accepted, rejected = guard_time(polls, known_polls)
             counts = counts.join(accepted, ["partition", "observed_at"], "left_semi")
             last_polls = last_counts = None
@@ -168,7 +183,7 @@ class Ledger:
             self._write(ledger_changes(accepted, counts, last_polls, last_counts).select(*CHANGE_COLUMNS), "changes", batch_id)
             self._write(rejected, "rejected", batch_id)
             # Poll times last: a batch without them is not part of the known state.
-            self._write(accepted, "polls", batch_id)
+            self._write(polls.join(accepted, ["partition", "observed_at"], "left_semi"), "polls", batch_id)
         finally:
             records.unpersist()
 

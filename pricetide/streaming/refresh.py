@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators.quality import partition_digest
+from pricetide.session import durable, scratch_path
 
 NORMALISER = "pricetide-rows-v1"
 EPOCH_ORDINAL = 719163  # proleptic day number of 1970-01-01
@@ -40,21 +41,31 @@ def refresh_plan(scopes: DataFrame, recent: int = 3) -> DataFrame:
 
 
 def write_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
-    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    # Rebalanced, not repartitioned: a partition value with many rows is split among tasks and files.
+    df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
-def apply_refresh(spark: SparkSession, path: str, refreshed: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace only the partitions present in ``refreshed``; the rest stay as they are.
+def apply_refresh(spark: SparkSession, path: str, refreshed: DataFrame, keys: list[str], delivered: DataFrame | None = None) -> DataFrame:
+    """Replace only the partitions present in ``refreshed``, and only if all of them reconcile.
 
-    Returns the reconciliation: every refreshed partition's written rows
-    against its delivered rows.  A difference is the caller's signal not to publish.
+    The new partitions are written to a staging folder in the shared folder, and their rows are counted there against ``delivered`` (keys and
+    ``delivered_rows``; by default counted from ``refreshed``).  The live table is touched after that, and not at all where a count differs.
+    Returns the reconciliation, one row per partition, in which a null key is a partition like any other.
     """
-    (
-        refreshed.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    staged = scratch_path(spark, "staged")
+    write_partitions(refreshed, staged, keys)
+    kept = spark.read.schema(refreshed.schema).parquet(staged)
+    if delivered is None:
+        delivered = refreshed.groupBy(*keys).agg(F.count("*").alias("delivered_rows"))
+    written = kept.groupBy(*keys).agg(F.count("*").alias("written_rows"))
+    both = delivered.select(*keys, "delivered_rows", F.lit(0).cast("long").alias("written_rows")).unionByName(
+        written.select(*keys, F.lit(0).cast("long").alias("delivered_rows"), "written_rows")
     )
-    written = spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("written_rows"))
-    expected = refreshed.groupBy(*keys).agg(F.count("*").alias("delivered_rows"))
-    return expected.join(written, keys, "left").withColumn("matches", F.col("written_rows") == F.col("delivered_rows"))
+    sums = both.groupBy(*keys).agg(F.sum("delivered_rows").alias("delivered_rows"), F.sum("written_rows").alias("written_rows"))
+    report = durable(sums.withColumn("matches", F.col("written_rows") == F.col("delivered_rows")))
+    if report.where(~F.col("matches")).isEmpty():
+        kept.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return report
 
 
 class VersionedStore:

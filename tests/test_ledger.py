@@ -125,3 +125,29 @@ def test_refresh_plan_merges_adjacent_months(spark):
     spans = sorted((str(r["first_day"]), str(r["last_day"]), r["months"]) for r in refresh.refresh_plan(scopes).collect())
     assert ("2024-01-01", "2024-02-10", 2) in spans
     assert sum(s[2] for s in spans) == 4
+
+
+def test_repeated_poll_with_the_same_rows_is_no_fault(spark):
+    root = scratch_path(spark, "test-again")
+    book = ledger.Ledger(spark, f"{root}/ledger")
+    for rows in ([("a", at(5), "x"), ("b", at(5), "x")], [("a", at(5), "x"), ("b", at(5), "x"), ("b", at(5), "x")], [("a", at(6), "z")]):
+        ledger.write_polls(polls(spark, rows), f"{root}/polls")
+        book.run(ledger.read_polls(spark, f"{root}/polls"), f"{root}/cp")
+    assert [(r["partition"], r["reason"]) for r in book.rejected().collect()] == [("b", "repeated_instant")]
+    assert changes_of(book) == [("a", "x", at(5), 1), ("a", "x", at(6), 0), ("a", "z", at(6), 1), ("b", "x", at(5), 1)]
+
+
+def test_refresh_that_does_not_reconcile_leaves_the_table(spark):
+    path = scratch_path(spark, "test-reconcile")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
+    refresh.write_partitions(df, path, ["k"])
+    rows = lambda: sorted((r["k"] or "", r["v"]) for r in spark.read.schema("v int, k string").parquet(path).collect())
+    before = rows()
+    new = spark.createDataFrame([("a", 9), (None, 8)], "k string, v int")
+    told = spark.createDataFrame([("a", 2), (None, 1)], "k string, delivered_rows long")
+    report = refresh.apply_refresh(spark, path, new, ["k"], told)
+    assert {r["k"]: r["matches"] for r in report.collect()} == {"a": False, None: True}
+    assert rows() == before
+    assert all(r["matches"] for r in refresh.apply_refresh(spark, path, new, ["k"]).collect())
+    spark.catalog.clearCache()
+    assert rows() == [("", 8), ("a", 9), ("b", 3)]
