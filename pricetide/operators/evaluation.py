@@ -247,7 +247,7 @@ def poisson_weight(cluster: Column, draw: Column) -> Column:
     return sum((F.when(u >= b, 1).otherwise(0) for b in POISSON_CDF), F.lit(0))
 
 
-def cluster_gain(df: DataFrame, first: str, second: str, groups: Sequence[str] = (), draws: int = 200, cluster: str = "complex",
+def cluster_gain(df: DataFrame, first: str, second: str, groups: Sequence[str] = (), draws: int = 1000, cluster: str = "complex",
                  price: str = "price_oku") -> DataFrame:
     """Mean error gain of ``second`` over ``first`` in 억 with a cluster-bootstrap 95 % interval.
 

@@ -417,10 +417,10 @@ def document_delta(spark, sf_dir):
 
 @query(
     "se6_shared",
-    with_trades("SELECT DISTINCT key FROM clean WHERE year = 1996 AND floor > 40 AND key IN (SELECT key FROM clean WHERE year = 2000 AND floor > 40)"),
+    with_trades("SELECT DISTINCT key FROM clean WHERE year = 1996 AND key IN (SELECT key FROM clean WHERE year = 2000)"),
 )
 def shared(spark, sf_dir):
-    rows = clean(spark, sf_dir).where("floor > 40")
+    rows = clean(spark, sf_dir)
     return sets.shared(rows.where("year = 1996"), rows.where("year = 2000"), ["key"])
 
 

@@ -246,7 +246,7 @@ D_K = " + ".join(f"CASE WHEN u >= {b} THEN 1 ELSE 0 END" for b in ops.POISSON_CD
         PRED
         + f""", g AS (SELECT complex, (abs(exp(base - actual) - 1) - abs(exp(candidate - actual) - 1)) * price_oku AS g FROM pred),
 c AS (SELECT complex, sum(g) AS s, count(*) AS n FROM g GROUP BY complex),
-d AS (SELECT *, CAST(CAST('0x' || substr(md5(complex || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM c CROSS JOIN range(1, 201) t(draw)),
+d AS (SELECT *, CAST(CAST('0x' || substr(md5(complex || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM c CROSS JOIN range(1, 1001) t(draw)),
 m AS (SELECT draw, sum(({D_K}) * s) / sum(({D_K}) * n) AS m FROM d GROUP BY draw)
 SELECT round((SELECT sum(s) / sum(n) FROM c), 6) AS mean_gain_oku, (SELECT count(*) FROM c) AS clusters, CAST((SELECT sum(n) FROM c) AS BIGINT) AS transactions,
   round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
@@ -420,7 +420,7 @@ SELECT month AS origin, CASE priority WHEN '1-URGENT' THEN 'learned_price' WHEN
   CASE WHEN linestatus = 'F' THEN 24 ELSE 60 END AS horizon_months, CASE WHEN linenumber % 2 = 0 THEN 'uniform61' ELSE 'historical_policy' END AS availability_regime,
   count(*) AS selected, count(CASE WHEN NOT cancelled THEN 1 END) AS observed, count(DISTINCT CASE WHEN NOT cancelled THEN complex END) AS observed_complexes,
   avg(tax - discount * 0.8) * 100 AS complex_median_excess_pct, avg(discount - 0.05) AS spearman
-FROM {trades} WHERE priority <> '5-LOW' GROUP BY month, priority, linestatus, linenumber % 2
+FROM {trades} GROUP BY ALL
 """
 RS = f", results AS ({RESULTS.format(trades='trades')})"
 

@@ -219,19 +219,17 @@ def monthly_features(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    """Monthly median price per district (``sale``) and of one thin slice of it (``rent``)."""
+    """Monthly median price per district (``sale``) and per unit of area (``rent``)."""
     rows = clean(spark, sf_dir).withColumn("period", F.trunc("date", "MM"))
     sale = median(rows, ["gu", "period"], "price", "value").withColumn("kind", F.lit("sale"))
-    thin = rows.where((F.col("priority") == "1-URGENT") & (F.col("floor") >= 46))
-    rent = median(thin, ["gu", "period"], "price", "value").withColumn("kind", F.lit("rent"))
+    rent = median(rows, ["gu", "period"], F.col("price") / F.col("area"), "value").withColumn("kind", F.lit("rent"))
     return sale.unionByName(rent).select("gu", "kind", "period", "value")
 
 
 INDEX = """
 , idx AS (
   SELECT gu, 'sale' AS kind, CAST(date_trunc('month', date) AS DATE) AS period, median(price) AS value FROM clean GROUP BY ALL
-  UNION ALL SELECT gu, 'rent', CAST(date_trunc('month', date) AS DATE), median(price) FROM clean
-  WHERE priority = '1-URGENT' AND floor >= 46 GROUP BY ALL)
+  UNION ALL SELECT gu, 'rent', CAST(date_trunc('month', date) AS DATE), median(price / area) FROM clean GROUP BY ALL)
 """
 _CHANGES = ", ".join(
     f"CASE WHEN b{n}.value IS NOT NULL THEN round(ln(i.value / b{n}.value), 6) END AS change_{n}m" for n in (1, 3, 6, 12)
@@ -286,15 +284,15 @@ def lagged_index(spark, sf_dir):
     "ag43_market_context",
     with_trades(
         INDEX
-        + """, l AS (SELECT max(period) AS p FROM idx WHERE kind = 'sale')
+        + """, l AS (SELECT max(period) AS p FROM idx)
 SELECT i.gu, i.kind, strftime(i.period, '%Y-%m') AS period, CAST(n AS BIGINT) AS months,
   round((i.value / b.value - 1) * 100, 6) AS change_pct
 FROM idx i JOIN l ON i.period = l.p CROSS JOIN (VALUES (1), (3), (6), (12)) t(n)
-JOIN idx b ON b.gu = i.gu AND b.kind = i.kind AND b.period = i.period - to_months(n) WHERE i.kind = 'sale'"""
+JOIN idx b ON b.gu = i.gu AND b.kind = i.kind AND b.period = i.period - to_months(n)"""
     ),
 )
 def market_context(spark, sf_dir):
-    return tidy(summary.market_context(_index(spark, sf_dir).where(F.col("kind") == "sale")))
+    return tidy(summary.market_context(_index(spark, sf_dir)))
 
 
 @query(

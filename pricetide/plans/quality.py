@@ -128,13 +128,13 @@ def overlapping_sources(spark, sf_dir):
 @query(
     "dq5_missing_partitions",
     with_trades(
-        """, p AS (SELECT month, dong AS region, count(*) AS copies FROM (SELECT DISTINCT month, dong, linestatus FROM clean WHERE floor > 40) GROUP BY ALL),
+        """, p AS (SELECT month, dong AS region, count(*) AS copies FROM (SELECT DISTINCT month, dong, linestatus FROM clean) GROUP BY ALL),
 g AS (SELECT n_name AS region, strftime(m, '%Y-%m') AS month FROM nation CROSS JOIN range(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH) t(m))
 SELECT month, region, coalesce(copies, 0) AS copies FROM g LEFT JOIN p USING (month, region) WHERE coalesce(copies, 0) <> 1"""
     ),
 )
 def missing_partitions(spark, sf_dir):
-    cells = clean(spark, sf_dir).where(F.col("floor") > 40).select("month", F.col("dong").alias("region"), "linestatus").distinct()
+    cells = clean(spark, sf_dir).select("month", F.col("dong").alias("region"), "linestatus").distinct()
     regions = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"))
     return ops.missing_partitions(cells, regions, "1995-01-01", "2001-11-01")
 

@@ -10,7 +10,7 @@ from pricetide.plans.history import tidy
 from pricetide.plans.registry import query
 from pricetide.sources.domain import LAW_CHANGE, clean, table, with_trades
 
-FIRST, LAST = "1996-01-01", "2000-01-01"
+FIRST, LAST = "1996-01-01", "2001-07-01"
 HORIZONS = (12, 24)
 PATH = (24, 36, 48, 60)
 LAW = f"DATE '{LAW_CHANGE}'"
