@@ -7,7 +7,7 @@ two texts agree in a component with the probability of their weighted Jaccard si
 at which all components of the text are filled, so a text costs its runs plus m log m points, however many components there are.
 
 Exact copies collapse first.  Signatures go into bands; texts of a bucket are compared with one of them, and by the triangle inequality of the
-Jaccard distance only those that may still link with a text of another class are compared further: after two such rounds, with the texts
+Jaccard distance only those that may still link with a text of another class are compared further: after four such rounds, with the texts
 that share one of their rarest runs.  All comparisons are exact, on the bags.  A text of one to four words is one run; texts without words (also null) link with nothing, not even each other.
 Repeated rows are copies; null ids are allowed.
 """
@@ -27,7 +27,7 @@ from pricetide.llm.words import U, mix, positions, runs, signed, slices, text_wo
 
 GOLD = U(0x9E3779B97F4A7C15)
 #: Rounds in which the texts of a bucket are compared with one of them.
-STARS = 2
+STARS = 4
 
 
 def bags(text: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
