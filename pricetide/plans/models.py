@@ -92,7 +92,7 @@ def permutation_importance(spark, sf_dir):
     model = ops.fit_residual(rows.where("year < 2000"), INPUTS)
     groups = {"price_history": ["prior_price", "prior_peer", "last_price"], "area": ["area"], "counts": ["prior_count", "peer_count"]}
     error = F.abs(F.exp("actual") - F.exp("prediction"))
-    return tidy(ops.permutation_importance(model.transform, rows.where("year = 2000"), groups, ["dong", "key"], error, repeats=2))
+    return tidy(ops.permutation_importance(model.transform, rows.where("year = 2000"), groups, ["dong", "key"], error))
 
 
 @query("ml10_predict_current")
