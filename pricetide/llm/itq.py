@@ -2,8 +2,9 @@
 
 Rotations are learned (on a bounded sample) so that the signs of the rotated vectors are balanced bits that lose little: each round takes the signs
 and then the rotation that brings the vectors nearest to them.  Codes are cut into substrings of about log2(rows) bits; vectors meet if a
-substring of theirs differs in at most one bit, which needs one key for each bit left out.  What meets is compared by Hamming distance, then by
-the cosine of the original vectors, in double precision.
+substring of theirs differs in at most one bit, which needs one key for each bit left out.  The longer the substrings, the more of them there are:
+pairs at the linking cosine are planted around the sample, and rotations are added until no more than the share `miss` of them goes unmet.  What
+meets is compared by Hamming distance, then by the cosine of the original vectors, in double precision.
 
 Groups of near copies don't make pairs: vectors within half the linking angle of a leader form a ball, in which by the triangle inequality all are
 linked, and balls meet as one.  Two balls are linked throughout, or not at all, if the leaders' angle and the radii say so; only what is left
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from pricetide.llm.components import components
 from pricetide.llm.tables import discard, settled
-from pricetide.llm.vectors import dot, matrix, usable
+from pricetide.llm.vectors import dot, lists, matrix, usable
+from pricetide.llm.words import mix
 
 BITS = 64
 
@@ -55,33 +57,89 @@ def _coded(df: DataFrame, models: list[tuple[np.ndarray, np.ndarray]]) -> DataFr
             x = matrix(part.column("unit"))
             codes = np.zeros((len(x), len(models)), np.uint64)
             for k, (mean, turn) in enumerate(models if len(x) else []):
-                codes[:, k] = (((x - mean) @ turn >= 0) * place[: turn.shape[1]]).sum(1, dtype=np.uint64)
+                codes[:, k] = (_signs(x, (mean, turn)) * place[: turn.shape[1]]).sum(1, dtype=np.uint64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(models), pa.int32()), pa.array(codes.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns, flat], names=[*part.schema.names, "codes"])
 
     return df.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, codes array<long>")
 
 
-def _keyed(df: DataFrame, bits: int, rotations: int) -> DataFrame:
-    """A row for each table and bit left out: df's columns and key."""
-    keys = []
-    for r in range(rotations):
-        for t in range(BITS // bits):
-            part = F.shiftrightunsigned(F.col("codes")[r], t * bits).bitwiseAND((1 << bits) - 1)
-            for b in range(bits):
-                keys.append(F.xxhash64(F.lit(r * 1000 + t), F.lit(b), part.bitwiseAND(~(1 << b) & ((1 << bits) - 1))))
-    return df.withColumn("key", F.explode(F.array(*keys)))
+def _signs(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (x - model[0]) @ model[1] >= 0
+
+
+def planted(sample: np.ndarray, cosine: float, pairs: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the cosine: one is of the sample, the other lies off it, half of them towards a vector of the sample and half anywhere."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(0, len(sample), pairs)]
+    off = rng.normal(size=x.shape)
+    off[::2] = sample[rng.integers(0, len(sample), len(off[::2]))] * rng.choice([-1, 1], (len(off[::2]), 1))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off += rng.normal(size=x.shape) * 1e-6  # for a vector drawn with itself
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+    return x, cosine * x + (1 - cosine * cosine) ** 0.5 * off
+
+
+def unmet(differ: np.ndarray, bits: int) -> np.ndarray:
+    """Share of the pairs (rows: which bits differ) that meet in none of the first 1, 2, 3 ... substrings."""
+    tables = differ.shape[1] // bits
+    met = differ[:, : tables * bits].reshape(len(differ), tables, bits).sum(2) <= 1
+    return 1 - np.logical_or.accumulate(met, axis=1).mean(0)
+
+
+def learned(sample: np.ndarray, bits: int, cosine: float, least: int, rounds: int, miss: float, most: int = 32, pairs: int = 8000) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int, int]:
+    """Rotations (at least `least`), bits of a substring, how many substrings leave at most the share `miss` of planted pairs unmet, and in how many bits of
+    the first `least` codes the pairs differ, but for a tenth of `miss`.  If `most` rotations don't do, substrings get shorter, which costs pairs, not links."""
+    x, y = planted(sample, cosine, pairs)
+    models, differ = [], np.zeros((len(x), 0), bool)
+    while True:
+        if len(models) >= least and len(enough := np.flatnonzero(unmet(differ, bits) <= miss)):
+            return models, bits, int(enough[0]) + 1, int(np.quantile(differ[:, : least * BITS].sum(1), 1 - miss / 10))
+        if len(models) < most:
+            models.append(rotation(sample, BITS, rounds, len(models)))
+            differ = np.concatenate([differ, _signs(x, models[-1]) != _signs(y, models[-1])], 1)
+        else:
+            bits -= 1
+
+
+def _keyed(df: DataFrame, bits: int, tables: int, rotations: int) -> DataFrame:
+    """A row for each table and bit left out: df's columns, with the codes of the first rotations, and key."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = np.uint64((1 << bits) - 1)
+        left = ones & ~(np.uint64(1) << np.arange(bits, dtype=np.uint64))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                n = part.num_rows
+                codes = part.column("codes").flatten().to_numpy().view(np.uint64).reshape(n, -1)
+                keys = np.empty((n, tables, bits), np.uint64)
+                for t in range(tables):
+                    word, shift = divmod(t * bits, BITS)
+                    code = codes[:, word] >> np.uint64(shift)
+                    if shift + bits > BITS:  # the substring goes on in the next code
+                        code = code | codes[:, word + 1] << np.uint64(BITS - shift)
+                    keys[:, t] = mix(code[:, None] & left ^ mix(np.arange(t * bits + 1, (t + 1) * bits + 1, dtype=np.uint64)))
+                short = lists(codes[:, :rotations].ravel().view(np.int64), np.arange(1, n + 1) * rotations, pa.int64())
+                columns = [short if c == "codes" else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, lists(keys.ravel().view(np.int64), np.arange(1, n + 1) * tables * bits, pa.int64())], names=[*names, "keys"])
+
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, keys array<long>"
+    return df.mapInArrow(run, schema).select(*names, F.explode("keys").alias("key"))
 
 
 def _apart(x: str, y: str, rotations: int):
     return sum((F.bit_count(F.col(x)[r].bitwiseXOR(F.col(y)[r])) for r in range(rotations)), F.lit(0))
 
 
-def links(vectors: DataFrame, *, vector: str = "embedding", name: str = "vec_id", cosine: float = 0.9, rotations: int = 2, sample: int = 20_000, rounds: int = 40, hamming: float = 0.32) -> DataFrame:
+def links(vectors: DataFrame, *, vector: str = "embedding", name: str = "vec_id", cosine: float = 0.9, rotations: int = 2, sample: int = 20_000, rounds: int = 40, hamming: float = 0.32, miss: float = 0.01, bits: int | None = None) -> DataFrame:
     """One row per vector: name, n_links, component_id (smallest name reachable by links), kept.
 
-    sample bounds the vectors that rotations are learned from; pairs whose codes differ in more than the share `hamming` of bits are not compared
-    (links at the limit differ in 0.14 of them, unrelated vectors in 0.5)."""
+    sample bounds the vectors that rotations are learned from; pairs whose first `rotations` codes differ in more than the share `hamming` of bits, and in
+    more than planted links do, are not compared (links at the limit differ in 0.14 of them, unrelated vectors in 0.5).  At most the share `miss` of
+    planted pairs at the cosine shares no key, whatever the number of rows; above it fewer.  bits: of a substring, log2(rows) if not given."""
     angle = acos(cosine)
     rows = settled(vectors.select(F.col(name).alias("name"), F.col(vector).alias("v")).withColumn("node", F.monotonically_increasing_id()))
     good = usable(rows, "v")
@@ -94,10 +152,10 @@ def links(vectors: DataFrame, *, vector: str = "embedding", name: str = "vec_id"
         return none.select(F.col("name").alias(name), F.col("n").alias("n_links"), "component_id", F.lit(True).alias("kept"))
     # About `sample` vectors, by hash; fewer rows are all used.
     picked = unit.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)) + 1).select("unit").toArrow()
-    learned = matrix(picked.column(0).combine_chunks()) if picked.num_rows > 1 else matrix(unit.limit(2).select("unit").toArrow().column(0).combine_chunks())
-    coded = settled(_coded(unit, [rotation(learned, BITS, rounds, seed) for seed in range(rotations)]))
-    bits = min(BITS, max(8, ceil(log2(n))))
-    limit = int(hamming * BITS * rotations)
+    picked = matrix(picked.column(0).combine_chunks()) if picked.num_rows > 1 else matrix(unit.limit(2).select("unit").toArrow().column(0).combine_chunks())
+    models, bits, tables, far = learned(picked, bits or min(BITS, max(8, ceil(log2(n)))), cosine, rotations, rounds, miss)
+    coded = settled(_coded(unit, models))
+    limit = max(int(hamming * BITS * rotations), far)
     turned = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot("x", "y"))))
     half = angle / 2 - 1e-6
 
@@ -107,7 +165,7 @@ def links(vectors: DataFrame, *, vector: str = "embedding", name: str = "vec_id"
     near = coded.join(lead, F.col("codes")[0] == F.col("c")).select("node", "codes", F.col("unit").alias("x"), "leader", "y").withColumn("r", turned)
     ball = settled(near.select("node", "codes", F.col("x").alias("unit"), F.when(F.col("r") <= half, F.col("leader")).otherwise(F.col("node")).alias("leader")))
     heads = settled(ball.filter("node = leader").select("node", "codes", "unit"))
-    keyed = settled(_keyed(heads.select("node", "codes"), bits, rotations))
+    keyed = settled(_keyed(heads.select("node", "codes"), bits, tables, rotations))
     least = settled(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("node"), F.col("codes"))).alias("m")).filter("n > 1").select("key", F.col("m.node").alias("to"), F.col("m.codes").alias("toc")))
     tries = keyed.join(least, "key").filter((F.col("to") < F.col("node")) & (_apart("codes", "toc", rotations) <= limit)).select("node", "to").distinct()
     tries = settled(tries)
@@ -123,7 +181,7 @@ def links(vectors: DataFrame, *, vector: str = "embedding", name: str = "vec_id"
     balls = settled(sized.join(heads, "leader"))
 
     # Balls that meet in a key.
-    met = _keyed(ball.select("leader", "codes"), bits, rotations).groupBy("key", "leader").agg(F.min("codes").alias("codes"))
+    met = _keyed(ball.select("leader", "codes"), bits, tables, rotations).groupBy("key", "leader").agg(F.min("codes").alias("codes"))
     met = settled(met)
     a, b = met.select("key", F.col("leader").alias("a"), F.col("codes").alias("ca")), met.select("key", F.col("leader").alias("b"), F.col("codes").alias("cb"))
     pairs = settled(a.join(b, "key").filter((F.col("a") < F.col("b")) & (_apart("ca", "cb", rotations) <= limit)).select("a", "b").distinct())

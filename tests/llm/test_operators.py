@@ -170,6 +170,19 @@ def test_linked_vectors_equal_brute_force(vectors):
     assert itq.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [17, 22, 24])
+def test_links_are_found_with_the_substrings_of_large_tables(spark, bits):
+    rng = np.random.default_rng(bits)
+    x, off = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off -= (off * x).sum(1, keepdims=True) * x
+    c = rng.uniform(0.9001, 0.92, (1000, 1))
+    y = c * x + np.sqrt(1 - c * c) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    got = itq.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bits=bits).collect()
+    assert sum(r["component_id"] == r["vec_id"] % 1000 for r in got) >= 2000 - 15
+
+
 def test_nearest_vectors_are_found(vectors):
     df, x = vectors
     got = nndescent.nearest(df, F.col("vec_id") % 100 == 0).collect()
