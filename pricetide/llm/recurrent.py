@@ -5,8 +5,8 @@ words have vectors and outputs of their own; the output is factored: first a cla
 words are one more class, inside which a word has its share of the counts, add-one smoothed, with one place for words never seen.
 
 The network starts at the counts' unigram distribution and is trained in rounds: in each, every task runs truncated backpropagation over its part
-of that round's share of the training texts, and the weights are averaged, weighted by tokens.  The share is a fraction, so what is
-learned from grows with the corpus.  Scoring runs over all texts of a slice in step and carries each text's state from window to window, so the
+of that round's share of the training texts, and the weights are averaged, weighted by tokens.  The rounds share out all training texts, each to one
+round, by a hash of id and text.  Scoring runs over all texts of a slice in step and carries each text's state from window to window, so the
 log-likelihood is that of the whole text.  Counts of words too many for a task's table are joined by hash.
 
 Defined results: null and empty texts are the end token alone; repeated rows are scored each; with no training texts every token has count 0 and the
@@ -265,14 +265,16 @@ def _trained(docs: DataFrame, v: Vocabulary, net: Network, pick: Column) -> Netw
     return net
 
 
-def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: int = 2048, width: int = 32, hidden: int = 24, rounds: int = 3, share: float = 1 / 32) -> DataFrame:
-    """docs: doc_id, text.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: int = 2048, width: int = 32, hidden: int = 24, rounds: int = 3, share: float | None = None) -> DataFrame:
+    """docs: doc_id, text.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    share: of the training texts in each round; all texts are in one of the rounds if it isn't given."""
+    share = 1 / rounds if share is None else share
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = docs.filter("NOT held_out")
     counts = settled(_counted(train).groupBy("word").agg(F.sum("n").alias("c")))
     v = vocabulary(counts, held, modelled)
     net = Network(v, hidden, width)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     for k in range(rounds if v.tokens else 0):
         net = _trained(train, v, net, (place >= k * share) & (place < (k + 1) * share))
     shared = docs.sparkSession.sparkContext.broadcast((v, net))

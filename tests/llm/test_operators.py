@@ -210,3 +210,19 @@ def test_likelihood(docs):
         if r["doc_id"] is not None:
             assert r["held_out"] == (r["doc_id"] == 3) and abs(r["base_score"] - sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in text)) < 1e-6
     assert recurrent.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_likelihood_learns_from_all_training_texts(spark, monkeypatch):
+    rows = [(None if k % 2 else k, f"text {k} of {k % 7} words") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real, rounds = recurrent._trained, []
+
+    def spied(train, v, net, pick):
+        rounds.append([r["text"] for r in train.filter(pick).collect()])
+        return real(train, v, net, pick)
+
+    monkeypatch.setattr(recurrent, "_trained", spied)
+    got = recurrent.score(docs, F.coalesce("doc_id", F.lit(1)) % 10 == 0).collect()
+    assert sorted(sum(rounds, [])) == sorted(t for k, t in rows if k is None or k % 10)
+    # Texts without an id are in all rounds.
+    assert all(any(int(t.split()[1]) % 2 for t in r) for r in rounds) and all(np.isfinite(r["score"]) for r in got)
