@@ -125,7 +125,7 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
         for part in slices(batches, "text"):
             owner, code, weight = bags(part.column("text"), words)
             copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-            items = np.repeat(code, weight) + (copy.astype(np.uint64) << U(52))
+            items = mix(np.repeat(code, weight) * GOLD + copy.astype(np.uint64))
             off = np.r_[0, np.cumsum(np.bincount(owner, weight, part.num_rows))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(off), pa.array(signed(mix(items))))], names=["node", "items"])
 

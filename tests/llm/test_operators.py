@@ -92,6 +92,12 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert bagminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_a_run_above_4096_times(spark):
+    texts = ["again " * 10_000, "again " * 9_994, "line " * 5_004, "line  " * 5_004, "again " * 5_000]
+    got = bagminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(got)] == [0, 0, 2, 2, 4]
+
+
 def test_signatures_are_unbiased_for_weights():
     texts = [" ".join(BASE + BASE[: 5 * k]) for k in range(40)]
     owner, code, weight = bagminhash.bags(pa.array(texts))
