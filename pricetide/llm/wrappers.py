@@ -1,9 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 The pages of a host are folded into one template: page trees are aligned with it by simple tree matching (the largest common top-down match that
-keeps the order of children), matched nodes merge, unmatched ones are inserted, and each slot counts the texts it saw.  A text that at least
+keeps the order of children), matched nodes merge, unmatched ones are inserted.  Each page is then aligned with its host's template, which names
+the slots of its texts, and the pages of each slot and text are counted.  A text that at least
 half of a host's pages hold in the same slot is template; what varies is content.  Partial templates are made where the pages lie and merged in
-two steps, so a host with very many pages is no single task's work.  Slots are then read by role: menus, headers, footers, sidebars, notices,
+two steps, and counts are sums, so a host with very many pages is no single task's work.  What a template has no room for is counted by its path.
+Slots are then read by role: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, told by element, role or class, hold no main text; if a page marks its article, only that does.
 A page whose content would all be template (copies of one article) keeps it.
 
@@ -42,17 +44,17 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 NAMES = re.compile(r"^(?:ads?|advert.*|adsense|adbox|banner|sponsor.*|promo.*|sidebar|side|aside|menu|navbar|nav|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend.*|comments?|commentlist|disqus|replies|reply|respond|footer|foot|masthead|widget|toolbar|pagination|pager|hidden|copyright|legal|disclaimer|login|signup|search|searchbox)$")
 HEADERS = re.compile(r"^(?:header|head|topbar|masthead)$")
 REGIONS = {"article", "main"}
-#: Bounds of a template: nodes, and texts counted in a slot.
-NODES, TEXTS = 400, 8
+#: Bound of a template's nodes.
+NODES = 400
 
 
 class Node:
-    """An element: label (element and class), children, texts of its blocks, pages that have it."""
+    """An element: label (element and class), children, hashes of its blocks' texts, pages that have it."""
 
     __slots__ = ("label", "tag", "drop", "children", "texts", "pages")
 
     def __init__(self, label: str, tag: str, drop: bool):
-        self.label, self.tag, self.drop, self.children, self.texts, self.pages = label, tag, drop, [], {}, 1
+        self.label, self.tag, self.drop, self.children, self.texts, self.pages = label, tag, drop, [], set(), 1
 
 
 def _told(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
@@ -199,11 +201,7 @@ def aligned(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
 def merge(into: Node, other: Node, room: int) -> int:
     """Fold another tree of the same label into a template; returns how many more nodes there is room for."""
     into.pages += other.pages
-    for text, n in other.texts.items():
-        into.texts[text] = into.texts.get(text, 0) + n
-    if len(into.texts) > TEXTS:  # the most frequent stay, less what the first left out counts
-        least = sorted(into.texts.values(), reverse=True)[TEXTS]
-        into.texts = {k: n - least for k, n in into.texts.items() if n > least}
+    into.texts |= other.texts
     pairs = aligned(into.children, other.children)
     mate = {j: i for i, j in pairs}
     children, at = [], 0
@@ -231,7 +229,6 @@ def folded(n: Node) -> Node:
             last = children[-1]
             merge(last, c, NODES)
             last.pages = 1
-            last.texts = dict.fromkeys(last.texts, 1)
         else:
             children.append(c)
     n.children = children
@@ -243,37 +240,21 @@ def _hash(text: str) -> int:
 
 
 def template_of(page: str) -> Node:
-    root, blocks = parse(page)
-    for node, text, _, main in blocks:
-        if main:
-            node.texts[_hash(text)] = 1
-    return folded(root)
+    return folded(parse(page)[0])
 
 
 def _dump(n: Node) -> list:
-    return [n.label, n.pages, list(n.texts.items()), [_dump(c) for c in n.children]]
+    return [n.label, n.pages, [_dump(c) for c in n.children]]
 
 
 def _load(x: list) -> Node:
     n = Node(x[0], "", False)
-    n.pages, n.texts, n.children = x[1], {k: v for k, v in x[2]}, [_load(c) for c in x[3]]
+    n.pages, n.children = x[1], [_load(c) for c in x[2]]
     return n
 
 
-def _constant(n: Node, pages: int, path: str, out: list[str]) -> list[str]:
-    """The template texts: slot path and text."""
-    here = f"{path}/{n.label}"
-    out += [f"{here} {text}" for text, k in n.texts.items() if 2 * k >= pages]
-    for c in n.children:
-        _constant(c, pages, here, out)
-    return out
-
-
-def extract(page: str | None, template: set[str]) -> str:
-    """The page's main text."""
-    if not page:
-        return ""
-    root, blocks = parse(page)
+def _paths(root: Node) -> dict[int, str]:
+    """Labels from the root down to each node, by the node's id()."""
     path: dict[int, str] = {}
 
     def walk(n: Node, above: str) -> None:
@@ -281,10 +262,44 @@ def extract(page: str | None, template: set[str]) -> str:
         for c in n.children:
             walk(c, here)
 
+    walk(root, "")
+    return path
+
+
+def slots(page: str, template: Node) -> set[tuple[str, str]]:
+    """Path and text, and the template's slot, of all texts of a page; no slot for what the template doesn't have."""
+    root, blocks = parse(page)
+    path = _paths(root)
+    every = set()
+    for node, text, _, main in blocks:
+        if main and id(node) in path:
+            node.texts.add(_hash(text))
+            every.add(f"{path[id(node)]} {_hash(text)}")
+    found: set[tuple[str, str]] = set()
+
+    def walk(n: Node, like: Node | None, above: str, slot: str) -> None:
+        here = f"{above}/{n.label}"
+        found.update((f"{here} {text}", slot) for text in n.texts)
+        mate = {j: i for i, j in aligned(like.children, n.children)} if like else {}
+        for j, c in enumerate(n.children):
+            if j in mate:
+                walk(c, like.children[mate[j]], here, f"{slot}.{mate[j]}")
+            else:
+                walk(c, None, here, "")
+
+    walk(folded(root), template, "", "0")
+    return found | {(x, "") for x in every - {x for x, _ in found}}
+
+
+def extract(page: str | None, template: set[str]) -> str:
+    """The page's main text."""
+    if not page:
+        return ""
+    root, blocks = parse(page)
     marked = any(inside and main for _, _, inside, main in blocks)
     kept = [(n, text) for n, text, inside, main in blocks if main and (inside or not marked)]
     if template:
-        walk(root, "")
+        path = _paths(root)
         varying = [(n, text) for n, text in kept if f"{path.get(id(n), '')} {_hash(text)}" not in template]
         kept = varying or kept
     return "\n\n".join(text for _, text in kept)
@@ -302,7 +317,7 @@ def templates(pages: DataFrame, least: int = 8, salts: int = 64) -> DataFrame:
         trees: dict[str, Node] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(h, TaskContext.get().partitionId() % salts, json.dumps(_dump(t))) for h, t in trees.items()]
+            rows = [(h, TaskContext.get().partitionId() % salts, json.dumps(_dump(t), separators=(",", ":"))) for h, t in trees.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["host", "salt", "tree"])
 
         for batch in batches:
@@ -322,16 +337,28 @@ def templates(pages: DataFrame, least: int = 8, salts: int = 64) -> DataFrame:
         trees = [_load(json.loads(x)) for x in group["tree"].sort_values()]
         for t in trees[1:]:
             merge(trees[0], t, NODES - _nodes(trees[0]))
-        return pd.DataFrame({"host": [key[0]], "salt": [0], "tree": [json.dumps(_dump(trees[0]))]})
+        return pd.DataFrame({"host": [key[0]], "salt": [0], "tree": [json.dumps(_dump(trees[0]), separators=(",", ":"))]})
 
     def finish(key, group: pd.DataFrame) -> pd.DataFrame:
-        tree = _load(json.loads(join(key, group)["tree"][0]))
-        found = _constant(tree, tree.pages, "", []) if tree.pages >= least else []
-        return pd.DataFrame({"host": [key[0]], "template": [found]})
+        tree = join(key, group)["tree"][0]
+        return pd.DataFrame({"host": [key[0]], "pages": [_load(json.loads(tree)).pages], "tree": [tree]})
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, tree = None, None
+        for batch in batches:
+            out = []
+            for host, n, page, own in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "html", "tree")), strict=True):
+                if own != text:
+                    text, tree = own, _load(json.loads(own))
+                out += [(host, n, *x) for x in slots(page, tree)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["host", "pages", "item", "slot"])
 
     first = pages.mapInArrow(learn, partial)
     second = first.groupBy("host", "salt").applyInPandas(join, partial)
-    return second.groupBy("host").applyInPandas(finish, "host string, template array<string>")
+    trees = settled(second.groupBy("host").applyInPandas(finish, "host string, pages long, tree string").filter(F.col("pages") >= least))
+    held = pages.filter("html <> ''").join(trees, "host").select("host", "pages", "html", "tree").mapInArrow(named, "host string, pages long, item string, slot string")
+    constant = held.groupBy("host", "pages", "item", "slot").count().filter(2 * F.col("count") >= F.col("pages"))
+    return constant.groupBy("host").agg(F.collect_set("item").alias("template"))
 
 
 def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", text: str = "text", least: int = 8) -> DataFrame:

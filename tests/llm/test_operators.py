@@ -156,6 +156,15 @@ def test_main_text(spark):
     assert got[3] == "T & 3\n\nOwn text 3" and got[50] == got[51] == got[53] == "" and got[52] == "plain < text it"
 
 
+def test_main_text_without_long_lists_and_notices(spark):
+    menu = "".join(f"<li>Entry {k}</li>" for k in range(12))
+    page = "<body><div><ul>{}</ul></div><div>{}<p>Sign up now</p>{}</div></body>"
+    own = lambda k, some: "".join(f"<p>Own {k} {j}</p>" for j in some)
+    rows = [(k, "http://j.example/x", page.format(menu, own(k, range(k)), own(k, range(k, 30)))) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n\n".join(f"Own {k} {j}" for j in range(30)) for k in range(12)}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     x = RNG.normal(size=(300, 16))
