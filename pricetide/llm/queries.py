@@ -1,4 +1,4 @@
-"""The registered queries op1_ to op10_ over the given tables, and the SQL of those that SQL can express."""
+"""The registered queries op1_ to op13_ over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bagminhash, crf, itq, mixing, nndescent, pieces, recurrent, rollups, suffixes, wrappers
+from pricetide.llm import bagminhash, crf, idblocks, itq, lemp, mixing, nndescent, pieces, recurrent, rollups, suffixes, whitening, wrappers
 from pricetide.llm.tables import settled
 from pricetide.session import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -129,5 +130,43 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("words").alias("n_words"), removed.alias("n_removed"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_likelihood, op3_main_text, op4_linked_vectors, op5_token_totals, op6_near_duplicates, op7_languages, op8_pieces, op9_neighbours, op10_repeats)}
-ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op5_token_totals": OP5_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hardest rows of other labels, by inner product, for each anchor and each of its five nearest rows of the same label."""
+    table = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return lemp.mine(table, F.col("vec_id") % 100 == 0, label=label)
+
+
+OP11_SQL = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum(list_transform(list_zip(a.x, r.x), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+near AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM near p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    parts = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "of"), "identity_error")
+    return parts.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, read back from files of patched frames."""
+    path = scratch_path(spark, "token-ids")
+    idblocks.write_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, path)
+    return idblocks.read_ids(spark, path).select(F.col("name").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_ALL = (
+    op1_mixture, op2_likelihood, op3_main_text, op4_linked_vectors, op5_token_totals, op6_near_duplicates, op7_languages, op8_pieces, op9_neighbours,
+    op10_repeats, op11_hard_negatives, op12_whitened, op13_token_files,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op5_token_totals": OP5_SQL, "op11_hard_negatives": OP11_SQL}
