@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.parsing import present
 from pricetide.operators import summary
-from pricetide.operators.stats import Quantile, quantiles, ranked
+from pricetide.operators.stats import Quantile, order_statistics, quantiles, ranked
 
 
 @dataclass(frozen=True)
@@ -99,13 +99,80 @@ def numbered(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str],
     return ranked(df, [*columns, *[F.col(t).asc_nulls_last() for t in tie]], out, "total")
 
 
+# Rows that are ordered as they are, without narrowing them down first.
+SMALL = 10_000
+
+
+def _place(rows: DataFrame, column: str, direction: str, place: int) -> tuple[DataFrame, int]:
+    """Rows that share ``column``'s value at a place of its order, and the place among them.
+
+    Numbers and dates are found by histograms, text character by character; unknown values come last.
+    """
+    kind = dict(rows.dtypes)[column]
+    value = F.col(column)
+    if kind in ("float", "double"):
+        value = F.when(~F.isnan(column), value)
+    known = rows.where(value.isNotNull())
+    n = known.count()
+    if place > n:
+        return rows.where(value.isNull()), place - n
+    sign = -1 if direction == "desc" else 1
+    if kind == "string":
+        prefix = ""
+        while True:
+            step = F.substring(value, len(prefix) + 1, 1)
+            heads = known.groupBy(step.alias("c")).agg(F.count("*").alias("n")).collect()  # one row per character
+            for c, size in sorted(((r["c"], r["n"]) for r in heads), reverse=sign < 0):
+                if place <= size:
+                    break
+                place -= size
+            known = known.where(step == c)
+            prefix += c
+            if c == "" or size <= SMALL:
+                return known, place
+    number = (F.unix_date(value) if kind == "date" else F.unix_micros(value) if kind.startswith("timestamp") else value.cast("int") if kind == "boolean" else value) * sign
+    found = order_statistics(known.withColumn("_g", F.lit(0)), ["_g"], number, {"v": ("one", lambda total: F.lit(place))}).first()["v"]
+    before = known.where(number.cast("double") < found).count()
+    return known.where(number.cast("double") == found), place - before
+
+
 def paginate(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str], page: int = 1, size: int = 50) -> DataFrame:
-    """Rows of one page with page, page_count and total; the page number is clamped into range."""
-    rows = numbered(df, keys, tie)
-    count = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
-    rows = rows.withColumns({"page_count": count, "page": F.greatest(F.lit(1), F.least(count, F.lit(page)))})
-    inside = (F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size)
-    return rows.where(inside)
+    """Rows of one page with position, page, page_count and total; the page number is clamped into range.
+
+    The page's first row is selected key by key: histograms tell which value
+    stands at its place, and only rows with that value are looked at for the
+    next key.  The page is then the ``size`` smallest rows from there on, which
+    needs no order of the table and no row numbers.  ``tie`` makes the order total.
+    """
+    order = [*keys, *[(t, "asc") for t in tie]]
+    total = df.count()
+    count = max(1, -(-total // size))
+    page = max(1, min(count, page))
+    first = (page - 1) * size + 1
+    columns = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in order]
+    beyond = F.lit(True)
+    if first > 1:
+        rows, place, left = df, first, total
+        for c, d in order:
+            if left <= SMALL:
+                break
+            rows, place = _place(rows, c, d, place)
+            left = rows.count()
+        # At most SMALL rows, or rows that are all equal, from here on.
+        w = Window.partitionBy(F.lit(0)).orderBy(*columns)
+        start = rows.select(*[c for c, _ in order]).orderBy(*columns).limit(place).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == place).first()
+        for c, d in reversed(order):
+            value = start[c]
+            if value is None:  # Unknown values are last: nothing comes after them.
+                after, same = F.lit(False), F.col(c).isNull()
+            else:
+                after = (F.col(c) < F.lit(value)) if d == "desc" else (F.col(c) > F.lit(value))
+                after, same = F.coalesce(after, F.lit(True)), F.coalesce(F.col(c) == F.lit(value), F.lit(False))
+            beyond = after | (same & beyond)
+    rows = df.where(beyond).orderBy(*columns).limit(size)
+    # One page of rows is numbered.
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*columns)) + (first - 1)
+    return rows.withColumns({"position": at.cast("long"), "total": F.lit(total).cast("long"), "page_count": F.lit(count).cast("long"), "page": F.lit(page).cast("long")})
 
 
 def page_after(df: DataFrame, after: int, limit: int, budget_bytes: int | None = None, row_no: str = "row_no",
@@ -137,9 +204,13 @@ def best_type(types: DataFrame, scope: Sequence[str] = ("dong", "complex"), scor
     ).select(*scope, "_b.*", "areas")
 
 
+# Name that enters the hash (fixed value).
+HASH_CHOICE = "random_hold_v1"
+
+
 def hash_choice(df: DataFrame, scope: Sequence[str], seed: int, date: Column, key: str) -> DataFrame:
     """Reproducible random pick per scope: the smallest hash of (seed, date, id).  Scores never influence it."""
-    digest = F.sha2(F.concat_ws("|", F.lit("random_hold_v1"), F.lit(str(seed)), date.cast("string"), F.col(key).cast("string")), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(HASH_CHOICE), F.lit(str(seed)), date.cast("string"), F.col(key).cast("string")), 256)
     return df.groupBy(*scope).agg(F.min(F.struct(digest.alias("h"), F.col(key))).alias("_c")).select(*scope, F.col("_c")[key].alias(key))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import calendar as cal
 from pricetide.functions import scores
 from pricetide.functions.parsing import present
-from pricetide.operators.stats import Quantile, average_rank, median, quantiles, ranked_within
+from pricetide.operators.stats import Quantile, WEIGHT, average_rank, median, quantiles, ranked_within
 
 LEVELS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
@@ -185,8 +185,8 @@ def quantile_metrics(df: DataFrame, groups: Mapping[str, Column]) -> DataFrame:
 
 
 def complex_weights(df: DataFrame, keys: Sequence[str] = ("region", "complex"), out: str = "weight") -> DataFrame:
-    """1 / rows of the complex, so every complex weighs the same."""
-    sizes = df.groupBy(*keys).agg((1 / F.count("*")).alias(out))
+    """1 / rows of the complex, so every complex weighs the same; a decimal of 24 places."""
+    sizes = df.groupBy(*keys).agg((F.lit(1).cast(WEIGHT) / F.count("*").cast("decimal(19,0)")).cast(WEIGHT).alias(out))
     return df.join(sizes, list(keys))
 
 

@@ -8,6 +8,7 @@ origins turns the join into a hash aggregate on (origin, key).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
-from pricetide.operators.stats import Quantile, quantiles
+from pricetide.operators.stats import Quantile, crowded, quantiles, quantiles_of, quantiles_with
+from pricetide.session import durable
 
 HALF_LIVES = (30, 60, 90, 180)
 WINDOWS = (30, 90, 180, 365)
 HORIZON_DAYS = 365
-# Recency weights are kept as whole multiples of 1e-9 so that their sums, and
-# with them the "reaches half of the total" test, do not depend on row order.
+# Recency weights are counted in whole units of 1e-9, so their sums, and with
+# them the "reaches half of the total" test, do not depend on row order.
 WEIGHT_UNIT = 1e9
 
 
@@ -67,11 +69,11 @@ def within(days: int) -> Column:
 
 
 def recency_weight(half_life: int) -> Column:
-    return F.round(F.pow(F.lit(2.0), -F.col("age") / half_life) * WEIGHT_UNIT)
+    return F.round(F.pow(F.lit(2.0), -F.col("age") / half_life) * WEIGHT_UNIT).cast("long")
 
 
 def _window_request():
-    weights = {f"n{n}": F.when(within(n), 1.0).otherwise(0.0) for n in WINDOWS}
+    weights = {f"n{n}": F.when(within(n), 1).otherwise(0) for n in WINDOWS}
     return weights, {f"median{n}": Quantile(0.5, f"n{n}") for n in WINDOWS}
 
 
@@ -81,7 +83,7 @@ def _decay_request():
 
 
 def _spread_request():
-    weights = {"n90": F.when(within(90), 1.0).otherwise(0.0)}
+    weights = {"n90": F.when(within(90), 1).otherwise(0)}
     return weights, {"p25": Quantile(0.25, "n90", min_weight=2), "p75": Quantile(0.75, "n90", min_weight=2)}
 
 
@@ -108,6 +110,9 @@ def _evidence_aggregates() -> list[Column]:
     ]
 
 
+EVIDENCE = ("eff90", "mass90", "active_days90")
+
+
 def evidence_stats(served: DataFrame, keys: Sequence[str] = ("origin", "key")) -> DataFrame:
     """Effective sample size, weight mass, active days, inter-quartile spread and median floor."""
     plain = served.groupBy(*keys).agg(*_evidence_aggregates())
@@ -127,20 +132,26 @@ def activity_columns() -> dict[str, Column]:
     }
 
 
+def complete_month(lag: Lag) -> int:
+    """First month of a year by whose first day the whole year before has been published; at most December."""
+    days = lag.uniform if lag.uniform is not None else cal.OLD_LAG
+    return next((m for m in range(3, 12) if (dt.date(2001, m, 1) - dt.date(2000, 12, 31)).days >= days), 12)
+
+
 def prior_annual(trades: DataFrame, lag: Lag) -> DataFrame:
     """Median of the previous calendar year per (key, target_year, stage).
 
-    Stage 3 holds what is visible on 1 March, stage 4 the complete year, which
-    every lag up to 90 days has published by 1 April.
+    A stage is a month from March on, and holds what is visible on its first
+    day.  The stages end with the month by which the year is complete: April
+    for lags up to 90 days.
     """
-    if lag.uniform is not None and lag.uniform > 90:
-        raise ValueError("lags above 90 days are not supported")
-    target = F.year("date") + 1
-    stages = F.when(
-        lag.available(F.col("date")) <= F.make_date(target, F.lit(3), F.lit(1)), F.array(F.lit(3), F.lit(4))
-    ).otherwise(F.array(F.lit(4)))
+    target, last = F.year("date") + 1, complete_month(lag)
+    seen = lag.available(F.col("date"))
+    first = cal.month_index(F.date_sub(seen, 1)) + 1 - target * 12 + 1  # month of the target year that starts at or after it
+    first = F.greatest(first, F.lit(3))
+    stages = F.when(first <= last, F.sequence(first, F.lit(last))).otherwise(F.array().cast("array<int>"))
     rows = trades.select("key", "log_price", target.alias("target_year"), F.explode(stages).alias("stage"))
-    stats = quantiles(rows, ["key", "target_year", "stage"], "log_price", {"prior_annual": Quantile(0.5)})
+    stats = quantiles_of(rows, ["key", "target_year", "stage"], "log_price", {"prior_annual": Quantile(0.5)}, crowd=crowded(trades, ["key"]))
     return stats.select("key", "target_year", "stage", "prior_annual")
 
 
@@ -148,25 +159,30 @@ def annual_activity(trades: DataFrame, served: DataFrame, lag: Lag) -> DataFrame
     """Previous-year median, concentration and activity ratio per (origin, key); origins from March on."""
     counts = served.groupBy("origin", "key").agg(*[F.count_if(within(n)).alias(f"n{n}") for n in (30, 90, 365)])
     counts = counts.where(F.month("origin") >= 3).withColumns(
-        {"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(4)), **activity_columns()}
+        {"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(complete_month(lag))), **activity_columns()}
     )
     joined = counts.join(prior_annual(trades, lag), ["key", "target_year", "stage"], "left")
     return joined.select("origin", "key", "prior_annual", "concentration", "activity_ratio")
 
 
-def pools(served: DataFrame, scopes: Sequence[str] = ("complex", "peer")) -> DataFrame:
+def scoped(trades: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """(scope, id) of each row's pools."""
+    return trades.select(F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("id")) for s in scopes])))
+
+
+def pools(served: DataFrame, scopes: Sequence[str] = ("complex", "peer"), crowd: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """Medians and counts of the surrounding pools, long form (origin, scope, id).
 
-    Pools look back exactly n days: ``age < lag + n``.
+    Pools look back exactly n days: ``age < lag + n``.  ``counted`` says that
+    the pools were counted and ``crowd`` holds the crowded ones.
     """
     pairs = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("id")) for s in scopes])
     rows = served.select("origin", "lag", "age", "log_price", F.inline(pairs)).where(
         F.col("age") < F.col("lag") + HORIZON_DAYS
     )
-    weights = {f"p{n}": F.when(F.col("age") < F.col("lag") + n, 1.0).otherwise(0.0) for n in (90, 365)}
-    stats = quantiles(
-        rows, ["origin", "scope", "id"], "log_price", {f"pool{n}": Quantile(0.5, f"p{n}") for n in (90, 365)}, weights
-    )
+    weights = {f"p{n}": F.when(F.col("age") < F.col("lag") + n, 1).otherwise(0) for n in (90, 365)}
+    groups, wanted = ["origin", "scope", "id"], {f"pool{n}": Quantile(0.5, f"p{n}") for n in (90, 365)}
+    stats = quantiles_of(rows, groups, "log_price", wanted, weights, crowd) if counted else quantiles(rows, groups, "log_price", wanted, weights)
     counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
     return stats.select("origin", "scope", "id", "pool90", "pool365", *counts)
 
@@ -196,11 +212,15 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
     other price levels fall back to it.
     """
     month_first = F.trunc("date", "MM")
+    # Read many times below: the narrow rows are written once.
+    trades = durable(trades.select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "log_price", "price_oku"))
+    keys_crowd, pools_crowd = crowded(trades, ["key"]), crowded(scoped(trades, ("complex", "peer")), ["scope", "id"])
     targets = trades.where(
         (F.month("date") >= 3) & (month_first >= cal.as_date(first)) & (month_first <= cal.as_date(last))
     ).withColumn("origin", month_first)
     wanted_keys = targets.select("origin", "key").distinct()
-    served = history_join(trades, lag, first, last).where(F.month("origin") >= 3)
+    narrow = trades.select("key", "complex", "peer", "floor", "date", "day", "log_price")
+    served = history_join(narrow, lag, first, last).where(F.month("origin") >= 3)
     own = served.join(wanted_keys, ["origin", "key"], "left_semi")
 
     weights, wanted = {}, {}
@@ -208,17 +228,18 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
         weights |= request[0]
         wanted |= request[1]
     keys = ["origin", "key"]
-    history = quantiles(own, keys, "log_price", wanted, weights).select(
+    # Order statistics and evidence come from one shuffle.
+    history = quantiles_with(own, keys, "log_price", wanted, weights, _evidence_aggregates(), ["age", "lag", "day"], keys_crowd).select(
         *keys,
         *[F.col(f"total_n{n}").cast("long").alias(f"n{n}") for n in WINDOWS],
         *[f"median{n}" for n in WINDOWS],
         *[f"ew{h}" for h in HALF_LIVES],
         (F.col("p75") - F.col("p25")).alias("spread90"),
+        *EVIDENCE,
     )
-    plain = own.groupBy(*keys).agg(*_evidence_aggregates())
-    floors = quantiles(own.where(within(90)), keys, "floor", {"hist_floor": Quantile(0.5)}).select(*keys, "hist_floor")
+    floors = quantiles_of(own.where(within(90)), keys, "floor", {"hist_floor": Quantile(0.5)}, crowd=keys_crowd).select(*keys, "hist_floor")
 
-    around = pools(served)
+    around = pools(served, crowd=pools_crowd, counted=True)
     scope = lambda s: around.where(F.col("scope") == s).select(
         "origin",
         F.col("id").alias(s),
@@ -233,10 +254,9 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
     frame = (
         wanted_keys.join(supported, "origin", "left_semi")
         .join(history, keys, "left")
-        .join(plain, keys, "left")
         .join(floors, keys, "left")
         .join(last_trade(trades, wanted_keys, lag), keys, "left")
-        .withColumns({"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(4))})
+        .withColumns({"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(complete_month(lag)))})
         .join(prior_annual(trades, lag), ["key", "target_year", "stage"], "left")
         .drop("target_year", "stage")
     )
@@ -340,11 +360,19 @@ def frozen_features(targets: DataFrame, trades: DataFrame, lag: Lag, first: str,
     block = F.floor((F.month(month) - 3) / span) * span + 3
     keyed = targets.withColumn("refresh", F.make_date(F.year(month), block.cast("int"), F.lit(1)))
     # Only months 3, 3+span, 6+span... are ever refreshed.
-    served = history_join(trades, lag, first, last)
-    served = served.where((F.month("origin") >= 3) & ((F.month("origin") - 3) % span == 0))
+    trades = durable(trades.select("key", "complex", "peer", "date", "log_price"))
+    if 12 % span == 0:
+        # The same months of every year: the other origins are never made.
+        served = history_join(trades, lag, first, last, span, 2 % span).where(F.month("origin") >= 3)
+    else:
+        served = history_join(trades, lag, first, last)
+        served = served.where((F.month("origin") >= 3) & ((F.month("origin") - 3) % span == 0))
     used = keyed.select(F.col("refresh").alias("origin"), "key").distinct()
-    own = ew_medians(served.join(used, ["origin", "key"], "left_semi")).select("origin", "key", "ew90")
-    around = pools(served)
+    own = quantiles_of(
+        served.join(used, ["origin", "key"], "left_semi"), ["origin", "key"], "log_price", {"ew90": Quantile(0.5, "e90", linear=False)},
+        {"e90": recency_weight(90)}, crowded(trades, ["key"]),
+    ).select("origin", "key", "ew90")
+    around = pools(served, crowd=crowded(scoped(trades, ("complex", "peer")), ["scope", "id"]), counted=True)
     scope = lambda s: around.where(F.col("scope") == s).select(
         F.col("origin").alias("refresh"), F.col("id").alias(s), F.col("pool90").alias(f"_{s}90"), F.col("pool365").alias(f"_{s}365")
     )

@@ -36,7 +36,7 @@ def lease_snapshot(leases: DataFrame, origin: str, published: Column | None = No
         rows = distinct_signature(rows)
     rows = rows.withColumn("back", F.datediff(cutoff, "date")).where(F.col("back") < 365)
     is_new = F.col("contract_type") == NEW
-    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    flag = lambda c: F.when(c, 1).otherwise(0)
     back = F.col("back")
     medians = quantiles(
         rows.where(is_new),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
-from pricetide.operators.stats import Quantile, leave_one_out_median, median, quantiles
+from pricetide.operators.stats import Quantile, leave_one_out_median, median, quantiles, ranked_within
 from pricetide.session import durable
 
 MIN_TRADES = 3
@@ -246,23 +246,36 @@ def case_horizons(trades: DataFrame, cases: Column, origins: Sequence[str],
         .join(future, ["origin", "lo", "hi", "key"], "left")
         .withColumn("growth", F.when(F.col("exit_n") >= MIN_TRADES, F.col("exit") - F.col("entry")))
     )
+    base = durable(base)
     studied = base.where(cases)
-    # One benchmark per studied complex and window; the studied list is short.
-    subjects = studied.select("origin", "lo", "peer", F.col("complex").alias("subject")).distinct()
-    others = base.where(F.col("growth").isNotNull()).join(subjects, ["origin", "lo", "peer"])
-    others = others.where(F.col("complex") != F.col("subject"))
-    scope = ["origin", "lo", "peer", "subject"]
-    bench = median(others, scope, "growth", "benchmark").drop("n").join(
-        others.groupBy(*scope).agg(F.count_distinct("complex").alias("peer_complexes")), scope
+    # Every peer group is ordered once.  Leaving a complex out moves a middle
+    # place up by the number of its own types at or below it, so each case
+    # looks up two places, however large its peer group is.
+    scope = ["origin", "lo", "peer"]
+    known = base.where(F.col("growth").isNotNull()).select(*scope, "complex", "key", "growth")
+    placed = durable(ranked_within(known, scope, [F.col("growth").asc(), F.col("key").asc()], "_place"))
+    groups = placed.groupBy(*scope).agg(F.count("*").alias("_n"), F.count_distinct("complex").alias("_complexes"))
+    # A complex has a handful of types in one area band.
+    own = placed.where(cases).groupBy(*scope, "complex").agg(F.array_sort(F.collect_list("_place")).alias("_own"))
+    asked = studied.join(groups, scope, "left").join(own, [*scope, "complex"], "left")
+    asked = asked.withColumn("_own", F.coalesce("_own", F.array().cast("array<long>")))
+    left = F.coalesce("_n", F.lit(0)) - F.size("_own")
+    shifted = lambda place: F.aggregate("_own", place.cast("long"), lambda at, r: F.when(r <= at, at + 1).otherwise(at))
+    asked = asked.withColumns(
+        {
+            "peer_complexes": F.coalesce("_complexes", F.lit(0)) - (F.size("_own") > 0).cast("int"),
+            "_low": F.when(left > 0, shifted(F.floor((left + 1) / 2))),
+            "_high": F.when(left > 0, shifted(F.floor((left + 2) / 2))),
+        }
     )
+    at = lambda place, out: placed.select(*scope, F.col("_place").alias(place), F.col("growth").alias(out))
+    found = asked.join(at("_low", "_a"), [*scope, "_low"], "left").join(at("_high", "_b"), [*scope, "_high"], "left")
+    found = found.withColumn("benchmark", (F.col("_a") + F.col("_b")) / 2)
     enough = F.col("peer_complexes") >= MIN_OTHER_COMPLEXES
     return (
-        studied.withColumn("subject", F.col("complex"))
-        .join(bench, scope, "left")
-        .fillna(0, subset=["peer_complexes"])
-        .withColumn("growth_pct", F.expm1("growth") * 100)
+        found.withColumn("growth_pct", F.expm1("growth") * 100)
         .withColumn("excess_pct", F.when(enough, F.expm1(F.col("growth") - F.col("benchmark")) * 100))
-        .drop("subject")
+        .drop("_n", "_complexes", "_own", "_low", "_high", "_a", "_b")
     )
 
 

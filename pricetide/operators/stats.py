@@ -18,12 +18,18 @@ The bin is a fixed order-preserving function of the value, so a group has at
 most about 26,000 bins, and a bin at most 4,096 parts, whatever its row count.
 The same pass serves any number of statistics and weightings over one value
 column.
+
+Weights are whole numbers or decimals from end to end, never doubles, so sums
+don't depend on the order of rows.  Where a caller has counted its groups,
+:func:`quantiles_of` sends the crowded ones this way and the others, whose rows
+one task may order, through a single shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +38,18 @@ from pricetide.session import durable
 
 BINS_PER_E_FOLD = 256
 PARTS_PER_BIN = 4096
+# Rows that one task may order on behalf of a group.
+CROWD = 1_000_000
+WEIGHT = "decimal(38,24)"
+# Quotients such as 1/3 end at 24 places; sums of them reach a target that they miss by less than this.
+SLACK = Decimal("1e-15")
+
+
+def exact_weight(df: DataFrame, weight: Column) -> Column:
+    """A weight that sums without rounding: whole numbers as long, others as decimals; null counts as 0."""
+    kind = df.select(weight.alias("w")).dtypes[0][1]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(weight.cast("bigint" if whole else WEIGHT), F.lit(0).cast("bigint" if whole else WEIGHT))
 
 
 def value_bin(value: Column) -> Column:
@@ -74,43 +92,64 @@ def _holds(picks: Mapping[str, tuple[str, Target]]) -> Column:
     return found
 
 
+def _weighted(df: DataFrame, groups: Sequence[str], value: str | Column, used: Sequence[str], weights: Mapping[str, Column] | None,
+              extra: Sequence[str] = ()) -> DataFrame:
+    """Groups, ``_v`` and the weights, without rows that count nowhere."""
+    value = F.col(value) if isinstance(value, str) else value
+    weights = {"one": F.lit(1), **(weights or {})}
+    base = df.select(*groups, *extra, value.cast("double").alias("_v"), *[exact_weight(df, weights[w]).alias(f"_w_{w}") for w in used])
+    # Spelling out every null check keeps the two reads of `counted` identical,
+    # so the second one reuses the first one's shuffle.
+    present = F.col("_v").isNotNull() & ~F.isnan("_v")
+    for g in groups:
+        present = present & F.col(g).isNotNull()
+    base = base.where(present)
+    if "one" not in used:
+        some = F.lit(False)
+        for w in used:
+            some = some | (F.col(f"_w_{w}") > 0)
+        base = base.where(some)
+    return base
+
+
+def _reached(picks: Mapping[str, tuple[str, Target]]) -> list[Column]:
+    """Per pick the smallest value whose cumulative weight _c reaches the target of the total _t."""
+    found = []
+    for name, (w, target) in picks.items():
+        total = F.col(f"_t_{w}")
+        found.append(F.min(F.when((total > 0) & (F.col(f"_c_{w}") >= target(total)), F.col("_v"))).alias(name))
+    return found
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str | Column,
     picks: Mapping[str, tuple[str, Target]],
     weights: Mapping[str, Column] | None = None,
+    counted_by: Sequence[str] | None = None,
+    fan: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Groups, ``total_<weight>`` and, per pick, the value reaching its target.
 
     Rows whose group or value is null are left out.  A pick is null where its
-    weight totals 0.
+    weight totals 0.  Rows that belong to several groups are counted once by
+    the finer columns ``counted_by``; ``fan`` then gives a row its groups.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    weights = dict(weights or {})
-    weights.setdefault("one", F.lit(1.0))
     used = sorted({w for w, _ in picks.values()})
     groups = list(groups)
-    base = df.select(
-        *groups,
-        value.cast("double").alias("_v"),
-        value_bin(value.cast("double")).alias("_bin"),
-        *[F.coalesce(weights[w].cast("double"), F.lit(0.0)).alias(f"_w_{w}") for w in used],
-    )
-    # Spelling out every null check keeps the two reads of `counted` identical,
-    # so the second one reuses the first one's shuffle.
-    present = F.col("_bin").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")
-    for g in groups:
-        present = present & F.col(g).isNotNull()
-    base = base.where(present)
-    if used != ["one"]:
-        base = base.where(F.greatest(*[F.col(f"_w_{w}") for w in used], F.lit(0.0)) > 0)
-    counted = base.groupBy(*groups, "_bin", "_v").agg(
-        *[F.sum(f"_w_{w}").alias(f"_w_{w}") for w in used]
-    )
-    histogram = counted.groupBy(*groups, "_bin").agg(
-        *[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used], F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    finer = groups if counted_by is None else list(counted_by)
+    base = _weighted(df, finer, value, used, weights).withColumn("_bin", value_bin(F.col("_v")))
+    zero = {w: F.lit(0).cast(base.schema[f"_w_{w}"].dataType) for w in used}
+    counted = base.groupBy(*finer, "_bin", "_v").agg(
+        *[F.sum(f"_w_{w}").cast(base.schema[f"_w_{w}"].dataType).alias(f"_w_{w}") for w in used]
     )
+    slices = [*[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used], F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    histogram = counted.groupBy(*finer, "_bin").agg(*slices)
+    if counted_by is not None:
+        merged = [*[F.sum(f"_h_{w}").alias(f"_h_{w}") for w in used], F.min("_low").alias("_low"), F.max("_high").alias("_high")]
+        histogram = fan(histogram).groupBy(*groups, "_bin").agg(*merged)
+        counted = fan(counted)
     below = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     bins = histogram.select(
@@ -118,7 +157,7 @@ def order_statistics(
         "_bin",
         "_low",
         "_high",
-        *[F.coalesce(F.sum(f"_h_{w}").over(below), F.lit(0.0)).alias(f"_o_{w}") for w in used],
+        *[F.coalesce(F.sum(f"_h_{w}").over(below), zero[w]).alias(f"_o_{w}") for w in used],
         *[F.sum(f"_h_{w}").over(whole).alias(f"_t_{w}") for w in used],
         *[f"_h_{w}" for w in used],
     )
@@ -129,7 +168,7 @@ def order_statistics(
         *[F.max(f"_{x}_{w}").alias(f"_{x}_{w}") for w in used for x in "ot"],
     )
     before = Window.partitionBy(*groups, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = slim.withColumns({f"_o_{w}": F.col(f"_o_{w}") + F.coalesce(F.sum(f"_h_{w}").over(before), F.lit(0.0)) for w in used})
+    parts = slim.withColumns({f"_o_{w}": F.col(f"_o_{w}") + F.coalesce(F.sum(f"_h_{w}").over(before), zero[w]) for w in used})
     parts = parts.where(_holds(picks)).drop(*[f"_h_{w}" for w in used])
     last = Window.partitionBy(*groups, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     chosen = inside.select(*groups, "_bin", "_part", "_v", *[f"_w_{w}" for w in used]).join(parts, [*groups, "_bin", "_part"])
@@ -139,31 +178,43 @@ def order_statistics(
         *[(F.col(f"_o_{w}") + F.sum(f"_w_{w}").over(last)).alias(f"_c_{w}") for w in used],
         *[f"_t_{w}" for w in used],
     )
-    found = []
-    for name, (w, target) in picks.items():
-        total = F.col(f"_t_{w}")
-        hit = (total > 0) & (F.col(f"_c_{w}") >= target(total))
-        found.append(F.min(F.when(hit, F.col("_v"))).alias(name))
-    totals = [F.max(f"_t_{w}").alias(f"total_{w}") for w in used]
-    return cumulative.groupBy(*groups).agg(*totals, *found)
+    return cumulative.groupBy(*groups).agg(*[F.max(f"_t_{w}").alias(f"total_{w}") for w in used], *_reached(picks))
 
 
-def quantiles(
+def ordered_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str | Column,
-    wanted: Mapping[str, Quantile],
+    picks: Mapping[str, tuple[str, Target]],
     weights: Mapping[str, Column] | None = None,
+    also: Sequence[Column] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact grouped quantiles; see :class:`Quantile`.  Keeps ``total_*``."""
+    """:func:`order_statistics` for groups that one task may order: one shuffle by group, one sort, running sums.
+
+    ``also`` are further aggregates, which may read the ``extra`` columns.
+    """
+    used = sorted({w for w, _ in picks.values()})
+    base = _weighted(df, groups, value, used, weights, extra)
+    whole = Window.partitionBy(*groups)
+    # Equal values need no common rank: the smallest value that reaches the target is the same.
+    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"_c_{w}": F.sum(f"_w_{w}").over(upto) for w in used} | {f"_t_{w}": F.sum(f"_w_{w}").over(whole) for w in used}
+    return base.withColumns(sums).groupBy(*groups).agg(*[F.max(f"_t_{w}").alias(f"total_{w}") for w in used], *_reached(picks), *also)
+
+
+def _picks(wanted: Mapping[str, Quantile]) -> dict[str, tuple[str, Target]]:
     picks: dict[str, tuple[str, Target]] = {}
     for name, spec in wanted.items():
         if spec.linear:
             picks[f"_lo_{name}"] = (spec.weight, lambda n, q=spec.q: F.floor((n - 1) * q) + 1)
             picks[f"_hi_{name}"] = (spec.weight, lambda n, q=spec.q: F.ceil((n - 1) * q) + 1)
         else:
-            picks[name] = (spec.weight, lambda n, q=spec.q: n * q)
-    stats = order_statistics(df, groups, value, picks, weights)
+            picks[name] = (spec.weight, lambda n, q=spec.q: n * F.lit(Decimal(str(q))) - F.lit(SLACK))
+    return picks
+
+
+def _between(stats: DataFrame, groups: Sequence[str], wanted: Mapping[str, Quantile], more: Sequence[str] = ()) -> DataFrame:
     columns: list[Column] = [F.col(g) for g in groups]
     columns += [F.col(c) for c in stats.columns if c.startswith("total_")]
     for name, spec in wanted.items():
@@ -177,7 +228,72 @@ def quantiles(
         if spec.min_weight > 0:
             result = F.when(total >= spec.min_weight, result)
         columns.append(result.alias(name))
-    return stats.select(*columns)
+    return stats.select(*columns, *more)
+
+
+def quantiles(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str | Column,
+    wanted: Mapping[str, Quantile],
+    weights: Mapping[str, Column] | None = None,
+    counted_by: Sequence[str] | None = None,
+    fan: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """Exact grouped quantiles; see :class:`Quantile`.  Keeps ``total_*``."""
+    return _between(order_statistics(df, groups, value, _picks(wanted), weights, counted_by, fan), groups, wanted)
+
+
+def crowded(df: DataFrame, by: Sequence[str], most: int = CROWD) -> DataFrame | None:
+    """The values of ``by`` that more than ``most`` rows have, or None without any.
+
+    A table of rows / ``most`` rows at most.
+    """
+    found = durable(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by))
+    return None if found.isEmpty() else found
+
+
+def quantiles_of(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str | Column,
+    wanted: Mapping[str, Quantile],
+    weights: Mapping[str, Column] | None = None,
+    crowd: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`quantiles` where the rows of ``crowd`` name the groups, by some of their columns, that no task may order.
+
+    All other groups take one shuffle.
+    """
+    return quantiles_with(df, groups, value, wanted, weights, (), (), crowd)
+
+
+def quantiles_with(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str | Column,
+    wanted: Mapping[str, Quantile],
+    weights: Mapping[str, Column] | None = None,
+    also: Sequence[Column] = (),
+    extra: Sequence[str] = (),
+    crowd: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`quantiles_of` with further aggregates ``also`` over the ``extra`` columns of the rows with a value."""
+    groups = list(groups)
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        stats = ordered_statistics(rows, groups, value, _picks(wanted), weights, also, extra)
+        known = {*groups, *(c for c in stats.columns if c.startswith("total_")), *_picks(wanted)}
+        return _between(stats, groups, wanted, [c for c in stats.columns if c not in known])
+
+    if crowd is None:
+        return ordered(df)
+    by = crowd.columns
+    hot = df.join(crowd, by, "left_semi")
+    many = quantiles(hot, groups, value, wanted, weights)
+    if also:
+        many = many.join(hot.where((F.col(value) if isinstance(value, str) else value).isNotNull()).groupBy(*groups).agg(*also), groups)
+    return ordered(df.join(crowd, by, "left_anti")).unionByName(many)
 
 
 def median(df: DataFrame, groups: Sequence[str], value: str | Column, out: str = "median") -> DataFrame:
@@ -217,7 +333,7 @@ def leave_one_out_median(
         .when(even, F.when(v <= a, b).otherwise(a))
         .otherwise((F.when(v <= a, b).otherwise(a) + F.when(v <= b, c).otherwise(b)) / 2)
     )
-    left = F.coalesce(n, F.lit(0.0)) - F.when(v.isNull(), 0).otherwise(1)
+    left = F.coalesce(n, F.lit(0)) - F.when(v.isNull(), 0).otherwise(1)
     joined = df.join(pool, list(group), "left")
     return joined.withColumn(out, F.when(left >= min_others, others)).drop("_n", "_a", "_b", "_c")
 

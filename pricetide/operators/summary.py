@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.operators.stats import Quantile, median, quantiles
+from pricetide.operators.stats import Quantile, quantiles
 
 SQM_PER_PYEONG = 3.3058
 
@@ -46,72 +47,111 @@ def with_buckets(df: DataFrame, year: str = "year") -> DataFrame:
     return df.withColumn("bucket", F.explode(F.array(F.col(year).cast("string"), F.lit("all"))))
 
 
-def metric_summary(df: DataFrame, groups: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Long form: groups, metric, n, avg, median, min, max."""
+def _to_buckets(counted: DataFrame) -> DataFrame:
+    return with_buckets(counted).drop("year")
+
+
+def metric_summary(df: DataFrame, region: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Long form: region, bucket, metric, n, avg, median, min, max.
+
+    Everything is counted once per region, year and value; ``all`` adds up the years.
+    """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
-    long = df.select(*groups, F.inline(pairs)).where(F.col("value").isNotNull())
-    keys = [*groups, "metric"]
-    plain = long.groupBy(*keys).agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return plain.join(median(long, keys, "value"), keys)
+    long = df.select(*region, "year", F.inline(pairs)).where(F.col("value").isNotNull())
+    finer, keys = [*region, "year", "metric"], [*region, "bucket", "metric"]
+    years = long.groupBy(*finer).agg(F.sum("value").alias("_s"), F.count("*").alias("_c"), F.min("value").alias("min"), F.max("value").alias("max"))
+    plain = _to_buckets(years).groupBy(*keys).agg((F.sum("_s") / F.sum("_c")).alias("avg"), F.min("min").alias("min"), F.max("max").alias("max"))
+    mids = quantiles(long, keys, "value", {"median": Quantile(0.5)}, counted_by=finer, fan=_to_buckets)
+    return plain.join(mids.select(*keys, F.col("total_one").alias("n"), "median"), keys)
 
 
 def region_summary(trades: DataFrame, region: Sequence[str] = ("sido", "gu", "dong")) -> DataFrame:
     """Count and avg/median/min/max of the three price metrics per region and bucket."""
-    return metric_summary(with_buckets(price_metrics(trades)), [*region, "bucket"])
+    return metric_summary(price_metrics(trades), region)
+
+
+@dataclass(frozen=True)
+class Attributes:
+    """How observations of one type merge; every rule is a minimum or maximum of a state, so parts merge in any order.
+
+    ``nearest`` maps a distance to the columns that the smallest one carries,
+    ``largest`` an amount to those of the largest; ties go to the first row.
+    ``smallest`` are distances alone.  ``first_known`` are taken from the first
+    row that has them, empty text being unknown.  ``order`` says what is first.
+    """
+
+    order: Sequence[str] = ("date", "price", "floor")
+    nearest: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    largest: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    smallest: Sequence[str] = ()
+    any_true: Sequence[str] = ()
+    first_known: Sequence[str] = ("built",)
+
+    def states(self, kinds: Mapping[str, str]) -> dict[str, Column]:
+        """Aggregates over rows."""
+        position = F.struct(*self.order)
+        known = lambda c: F.col(c).isNotNull() & ((F.trim(c) != "") if kinds[c] == "string" else F.lit(True))
+        held = lambda cols: F.struct(*[F.col(c) for c in cols]) if cols else F.lit(0)
+        out = {}
+        for c, carried in self.nearest.items():
+            out[f"_near_{c}"] = F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), position.alias("p"), held(carried).alias("c"))))
+        for c, carried in self.largest.items():
+            out[f"_most_{c}"] = F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("v"), position.alias("p"), held(carried).alias("c"))))
+        out |= {f"_least_{c}": F.min(c) for c in self.smallest}
+        out |= {f"_any_{c}": F.max(F.col(c)) for c in self.any_true}
+        out |= {f"_first_{c}": F.min(F.when(known(c), F.struct(position.alias("p"), F.col(c).alias("v")))) for c in self.first_known}
+        return out
+
+    def merged(self) -> dict[str, Column]:
+        """The same aggregates over states."""
+        low = [*[f"_near_{c}" for c in self.nearest], *[f"_most_{c}" for c in self.largest], *[f"_least_{c}" for c in self.smallest], *[f"_first_{c}" for c in self.first_known]]
+        return {c: F.min(c) for c in low} | {f"_any_{c}": F.max(f"_any_{c}") for c in self.any_true}
+
+    def values(self) -> dict[str, Column]:
+        """The attributes that states stand for."""
+        out = {}
+        for c, carried in self.nearest.items():
+            out |= {c: F.col(f"_near_{c}")["v"]} | {x: F.col(f"_near_{c}")["c"][x] for x in carried}
+        for c, carried in self.largest.items():
+            out |= {c: -F.col(f"_most_{c}")["v"]} | {x: F.col(f"_most_{c}")["c"][x] for x in carried}
+        out |= {c: F.col(f"_least_{c}") for c in self.smallest} | {c: F.col(f"_any_{c}") for c in self.any_true}
+        return out | {c: F.col(f"_first_{c}")["v"] for c in self.first_known}
+
+
+def merge_attributes(rows: DataFrame, keys: Sequence[str], rules: Attributes) -> DataFrame:
+    """Attribute merge over duplicate observations of one type."""
+    states = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in rules.states(dict(rows.dtypes)).items()])
+    return states.select(*keys, *[c.alias(n) for n, c in rules.values().items()])
 
 
-def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong")) -> DataFrame:
+def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong"), attributes: Attributes = Attributes()) -> DataFrame:
     """One row per region, bucket and type: counts, price and floor statistics, merged attributes.
 
-    Attributes follow the merge rules of the product: the first known built
-    year (input order is replaced by date, then the full row), any-true flags,
-    the smallest distance together with its name, the largest facility count.
+    Counts and attribute states are kept per year and merged into ``all``.
     """
-    keys = [*region, "bucket", "key"]
-    rows = with_buckets(price_metrics(trades))
-    known = F.col("built").isNotNull()
-    first = F.struct("date", "price", "floor", "built")
-    merged = rows.groupBy(*keys).agg(
-        F.first("complex").alias("complex"),
+    finer, keys = [*region, "year", "key"], [*region, "bucket", "key"]
+    states = attributes.states(dict(trades.dtypes))
+    years = trades.groupBy(*finer).agg(
+        F.min("complex").alias("complex"),
         F.count("*").alias("n"),
-        F.min_by("built", F.when(known, first)).alias("built"),
         F.count("floor").alias("floor_n"),
         F.min("floor").alias("floor_min"),
         F.max("floor").alias("floor_max"),
         F.min("price").alias("price_min"),
         F.max("price").alias("price_max"),
+        *[c.alias(n) for n, c in states.items()],
     )
+    add = {"n": F.sum, "floor_n": F.sum, "complex": F.min, "floor_min": F.min, "floor_max": F.max, "price_min": F.min, "price_max": F.max}
+    merged = _to_buckets(years).groupBy(*keys).agg(*[f(c).alias(c) for c, f in add.items()], *[c.alias(n) for n, c in attributes.merged().items()])
+    merged = merged.select(*keys, *add, *[c.alias(n) for n, c in attributes.values().items()])
     pairs = F.array(
         F.struct(F.lit("price").alias("what"), F.col("price").alias("value")),
         F.struct(F.lit("floor").alias("what"), F.col("floor").alias("value")),
     )
-    medians = quantiles(rows.select(*keys, F.inline(pairs)), [*keys, "what"], "value", {"m": Quantile(0.5)})
+    medians = quantiles(trades.select(*finer, F.inline(pairs)), [*keys, "what"], "value", {"m": Quantile(0.5)}, counted_by=[*finer, "what"], fan=_to_buckets)
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("m"))).alias(f"{what}_median")
-    return merged.join(medians.groupBy(*keys).agg(pick("price"), pick("floor")), keys)
-
-
-def merge_attributes(rows: DataFrame, keys: Sequence[str], nearest: Mapping[str, Sequence[str]],
-                     largest: Mapping[str, Sequence[str]], any_true: Sequence[str], first_known: Sequence[str],
-                     order: Sequence[str]) -> DataFrame:
-    """Attribute merge over duplicate observations of one type.
-
-    ``nearest`` maps a distance column to the columns carried by the smallest
-    distance, ``largest`` does the same for the largest value.
-    """
-    position = F.struct(*order)
-    aggs: list[Column] = []
-    for distance, carried in nearest.items():
-        rank = F.when(F.col(distance).isNotNull(), F.struct(F.col(distance), position))
-        aggs.append(F.min(distance).alias(distance))
-        aggs += [F.min_by(c, rank).alias(c) for c in carried]
-    for amount, carried in largest.items():
-        # The first row reaching the maximum wins, so order runs backwards.
-        aggs.append(F.max(amount).alias(amount))
-        rank = F.when(F.col(amount).isNotNull(), F.struct((-F.col(amount)).alias("a"), position))
-        aggs += [F.min_by(c, rank).alias(c) for c in carried]
-    aggs += [F.max(F.col(c)).alias(c) for c in any_true]
-    aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in first_known]
-    return rows.groupBy(*keys).agg(*aggs)
+    # A type without any known price or floor keeps its row.
+    return merged.join(medians.groupBy(*keys).agg(pick("price"), pick("floor")), keys, "left")
 
 
 def recent(trades: DataFrame, n: int, region: Sequence[str] = ("gu", "dong"), tie: Sequence[str] = ()) -> DataFrame:

@@ -183,15 +183,15 @@ def confidence_stats(spark, sf_dir):
     "ag26_weighted_quantile",
     with_trades(
         PRED
-        + """, v AS (SELECT region, abs(actual - candidate) + linenumber * 0.001 AS e, round(1e9 / count(*) OVER (PARTITION BY region, complex)) AS w FROM pred),
+        + """, v AS (SELECT region, abs(actual - candidate) + linenumber * 0.001 AS e, 1.0::DOUBLE / count(*) OVER (PARTITION BY region, complex) AS w FROM pred),
 c AS (SELECT *, sum(w) OVER (PARTITION BY region ORDER BY e ROWS UNBOUNDED PRECEDING) AS cw, sum(w) OVER (PARTITION BY region) AS tw FROM v)
-SELECT region, round(min(e) FILTER (WHERE cw >= tw * 0.8), 6) AS quantile FROM c GROUP BY region"""
+SELECT region, round(min(e) FILTER (WHERE cw >= tw * 0.8 - 1e-9), 6) AS quantile FROM c GROUP BY region"""
     ),
 )
 def weighted_quantile(spark, sf_dir):
     rows = ops.complex_weights(predictions(spark, sf_dir))
     rows = rows.withColumn("e", F.abs(F.col("actual") - F.col("candidate")) + F.col("linenumber") * 0.001)
-    return tidy(ops.weighted_quantile(rows, ["region"], "e", F.round(F.col("weight") * 1e9)))
+    return tidy(ops.weighted_quantile(rows, ["region"], "e", F.col("weight")))
 
 
 @query(
@@ -201,7 +201,8 @@ def weighted_quantile(spark, sf_dir):
     ),
 )
 def complex_weights(spark, sf_dir):
-    return tidy(ops.complex_weights(predictions(spark, sf_dir)).select("orderkey", "linenumber", "weight"), 8)
+    rows = ops.complex_weights(predictions(spark, sf_dir))
+    return tidy(rows.select("orderkey", "linenumber", F.col("weight").cast("double").alias("weight")), 8)
 
 
 D_AGE = "((2001 * 12 + 11) - (CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) - 1))"

@@ -5,6 +5,9 @@ The files go below the folder of :func:`pricetide.session.scratch_path`.
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import quality
@@ -70,9 +73,10 @@ def ledger_changes(spark, sf_dir):
 
 @query(
     "st3_rejected_polls",
-    """SELECT DISTINCT event_type AS partition, strftime(ts, '%Y-%m-%d') AS observed_at,
-  CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN 'repeated_instant' ELSE 'older_than_latest' END AS reason FROM events
-WHERE ts < TIMESTAMP '2024-01-10' OR (ts < TIMESTAMP '2024-01-11' AND event_type = 'error')""",
+    """WITH d AS (SELECT DISTINCT event_type AS partition, CAST(ts AS DATE) AS day FROM events)
+SELECT partition, strftime(day, '%Y-%m-%d') AS observed_at, CASE WHEN day = DATE '2024-01-10' THEN 'repeated_instant' ELSE 'older_than_latest' END AS reason FROM d
+WHERE day < DATE '2024-01-10' OR (day = DATE '2024-01-10' AND partition = 'error')
+UNION ALL SELECT DISTINCT x.partition, strftime(x.day, '%Y-%m-%d'), 'older_than_latest' FROM d x JOIN d y ON x.partition = y.partition AND y.day > x.day AND y.day <= DATE '2024-01-14' AND x.day > DATE '2024-01-10'""",
 )
 def rejected_polls(spark, sf_dir):
     root = scratch_path(spark, "late")
@@ -81,9 +85,12 @@ def rejected_polls(spark, sf_dir):
     ledger.write_polls(rows.where("observed_at = TIMESTAMP '2024-01-10'"), f"{root}/polls")
     stream = ledger.read_polls(spark, f"{root}/polls")
     book.run(stream, f"{root}/checkpoint")
-    # The other partitions' last polls come once more unchanged, which is no fault.
+    # The other partitions' last polls come once more unchanged, which is no fault; four later days come in one batch, the newest first.
     again = F.when(F.expr("partition = 'error' AND observed_at = TIMESTAMP '2024-01-10'"), F.concat("row", F.lit("!"))).otherwise(F.col("row"))
-    ledger.write_polls(rows.where("observed_at <= TIMESTAMP '2024-01-10'").withColumn("row", again), f"{root}/polls")
+    old = rows.where("observed_at <= TIMESTAMP '2024-01-10'").withColumn("row", again).withColumn("delivered_at", F.col("observed_at"))
+    backwards = rows.where("observed_at > TIMESTAMP '2024-01-10' AND observed_at <= TIMESTAMP '2024-01-14'")
+    backwards = backwards.withColumn("delivered_at", F.expr("TIMESTAMP '2024-03-01' - (observed_at - TIMESTAMP '2024-01-01')"))
+    ledger.write_polls(old.unionByName(backwards), f"{root}/polls")
     book.run(stream, f"{root}/checkpoint")
     return _text(book.rejected().select("partition", "observed_at", "reason"))
 
@@ -93,8 +100,14 @@ def rejected_polls(spark, sf_dir):
     POLLS + "SELECT partition, row, n FROM g WHERE observed_at = TIMESTAMP '2024-01-17' AND n > 0",
 )
 def rows_as_observed(spark, sf_dir):
-    book = run_ledger(spark, sf_dir, "observed")
-    rows = ledger.rows_as_observed(book.changes(), book.polls(), "2024-01-17 12:00:00")
+    root = scratch_path(spark, "observed")
+    polls = poll_rows(spark, sf_dir)
+    book = ledger.Ledger(spark, f"{root}/ledger", compact_every=1)
+    # Two batches, a generation after each: the answer comes from the first generation and the changes after it.
+    for part in ("observed_at < TIMESTAMP '2024-01-16'", "observed_at >= TIMESTAMP '2024-01-16'"):
+        ledger.write_polls(polls.where(part), f"{root}/polls")
+        book.run(ledger.read_polls(spark, f"{root}/polls"), f"{root}/checkpoint")
+    rows = book.rows_as_observed("2024-01-17 12:00:00")
     return rows.groupBy("partition", "row").agg(F.count("*").alias("n"))
 
 
@@ -294,12 +307,13 @@ def write_exports(spark, sf_dir, path):
     have = set(rows.columns)
     quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
     line = F.concat_ws(",", *[quoted(F.col(n) if n in have and n != "road" else F.lit("")) for n in SALE_HEADERS.values()])
-    body = rows.select("source_id", F.col("contract_month").alias("_m"), line.alias("value"))
+    body = rows.select("source_id", F.col("contract_month").alias("part"), F.lit(len(PREAMBLE) + 2).alias("_o"), line.alias("value"))
     header = ",".join(f'"{h}"' for h in SALE_HEADERS)
-    # A file's text is assembled per (region, month): what one delivered file holds.
-    files = body.groupBy("source_id", "_m").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("rows"))
-    text = F.concat_ws("\n", *[F.concat(F.lit('"'), F.regexp_replace(F.lit(p), r"\{sido\}", F.col("source_id")), F.lit('"')) for p in PREAMBLE], F.lit(header), F.lit(",,"), F.col("rows"))
-    files.select("source_id", F.col("_m").alias("part"), text.alias("value")).repartition("source_id", "part").write.partitionBy("source_id", "part").text(path)
+    # One delivered file per (region, month): its preamble and header lines are rows too, and the writer keeps the order of the sort.
+    top = [F.concat(F.lit('"'), F.regexp_replace(F.lit(p), r"\{sido\}", F.col("source_id")), F.lit('"')) for p in PREAMBLE] + [F.lit(header), F.lit("," * (len(SALE_HEADERS) - 1))]
+    heads = body.select("source_id", "part").distinct().select("source_id", "part", F.posexplode(F.array(*top)).alias("_o", "value"))
+    files = heads.unionByName(body).repartition("source_id", "part").sortWithinPartitions("source_id", "part", "_o", "value")
+    files.select("source_id", "part", "value").write.partitionBy("source_id", "part").text(path)
 
 
 @query(
@@ -392,6 +406,18 @@ def unpivot_index(spark, sf_dir):
     return tidy(readers.read_index(spark, path, areas, "sale"), 10)
 
 
+def documents(rows, part, element, start, end, path):
+    """One JSON document per part, written line by line in sorted partitions: an opening line, an element a line, a closing line."""
+    key = F.col(part).alias("part")
+    lines = rows.select(key, F.lit(1).alias("_o"), element.alias("value"))
+    ends = lines.select("part").distinct().select("part", F.inline(F.array(F.struct(F.lit(0).alias("_o"), F.lit(start).alias("value")), F.struct(F.lit(2).alias("_o"), F.lit(end).alias("value")))))
+    files = lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "_o", "value")
+    # A comma before each element but the first.
+    after = F.lag("_o").over(Window.partitionBy("part").orderBy("_o", "value")) == 1
+    comma = F.when((F.col("_o") == 1) & after, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value"))
+    files.select("part", "_o", F.col("value").alias("_v"), comma.alias("value")).sortWithinPartitions("part", "_o", "_v").select("part", "value").write.partitionBy("part").text(path)
+
+
 @query(
     "src7_read_rows",
     "SELECT f.fmt, c_nationkey, count(*) AS n, max(c_name) AS last FROM customer CROSS JOIN (VALUES ('csv'), ('jsonl'), ('json')) f(fmt) GROUP BY ALL",
@@ -402,9 +428,8 @@ def read_rows(spark, sf_dir):
     schema = "c_custkey long, c_name string, c_nationkey int"
     rows.write.option("header", True).option("compression", "gzip").csv(f"{path}/csv")
     rows.write.option("compression", "gzip").json(f"{path}/jsonl")
-    # JSON arrays, one document per nation: arrays cannot be split, so each stays small.
-    arrays = rows.groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    arrays.select(F.col("c_nationkey").alias("part"), "value").write.partitionBy("part").text(f"{path}/json")
+    # JSON arrays, one document per nation and thousand keys: arrays cannot be split, so each stays small.
+    documents(rows.withColumn("part", F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / 1000))), "part", F.to_json(F.struct(*rows.columns)), "[", "]", f"{path}/json")
     parts = [readers.read_rows(spark, p, fmt, schema).withColumn("fmt", F.lit(fmt)) for p, fmt in
              ((f"{path}/csv", "csv"), (f"{path}/jsonl", "jsonl"), (f"{path}/json/*", "json"))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -422,9 +447,9 @@ def read_register(spark, sf_dir):
         F.struct(F.col("c_custkey").cast("string").alias("apt_cd"), F.col("c_name").alias("apt_nm"), F.col("c_mktsegment").alias("apt_rdn_addr"),
                  F.col("c_nationkey").cast("string").alias("tnohsh"), F.lit("1").alias("whol_dong_cnt"), F.lit("1700000000000").alias("mdfcn_ymd")).alias("r"),
     )
-    description = F.struct(*[F.lit(v).alias(k) for k, v in zip(("TNOHSH", "WHOL_DONG_CNT"), readers.REGISTER_DESCRIPTION)])
-    docs = rows.groupBy("c_nationkey").agg(F.collect_list("r").alias("DATA")).select("c_nationkey", F.to_json(F.struct(description.alias("DESCRIPTION"), "DATA")).alias("value"))
-    docs.write.partitionBy("c_nationkey").text(path)
+    told = json.dumps(dict(zip(("TNOHSH", "WHOL_DONG_CNT"), readers.REGISTER_DESCRIPTION)), ensure_ascii=False)
+    part = F.concat_ws("-", "c_nationkey", F.floor(F.col("r.apt_cd").cast("long") / 1000))
+    documents(rows.withColumn("part", part), "part", F.to_json("r"), f'{{"DESCRIPTION": {told}, "DATA": [', "]}", path)
     return readers.read_register(spark, f"{path}/*").select("apt_cd", "apt_nm", "tnohsh")
 
 

@@ -27,6 +27,8 @@ def build_session(app: str = "pricetide", cores: str | int = "*", **conf: str) -
         .config("spark.driver.memory", "12g")
         # Small local files: let every core get a share of the scan.
         .config("spark.sql.files.openCostInBytes", "131072")
+        # The publisher's older exports are in a Java charset.
+        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -151,3 +151,72 @@ def test_refresh_that_does_not_reconcile_leaves_the_table(spark):
     assert all(r["matches"] for r in refresh.apply_refresh(spark, path, new, ["k"]).collect())
     spark.catalog.clearCache()
     assert rows() == [("", 8), ("a", 9), ("b", 3)]
+
+
+def recorded(spark, rows, day):
+    df = polls(spark, [r for r in rows if r[1] == at(day)])
+    n = df.groupBy("partition", "observed_at").agg(F.count("row").alias("poll_rows"))
+    return df.join(n, ["partition", "observed_at"]).select("partition", "observed_at", "poll_rows", "row")
+
+
+def batches_of(df, name):
+    return {int(f.split(f"/{name}/batch_id=")[1].split("/")[0]) for f in df.inputFiles() if f"/{name}/" in f}
+
+
+def test_a_batch_reads_nothing_older_than_the_last_generation(spark):
+    rows = random_polls(5, range(1, 11))
+    rows += [("c", at(2), "once"), ("c", at(9), "once"), ("c", at(9), "twice")]
+    book = ledger.Ledger(spark, scratch_path(spark, "test-generations"), compact_every=3)
+    for batch, d in enumerate(range(1, 11)):
+        book.apply(recorded(spark, rows, d), batch)
+        last = max(book.generations(batch + 1), default=-1)
+        known, touched = book.state(batch + 1), spark.createDataFrame([("a",)], "partition string")
+        if last >= 0:
+            assert last == (batch + 1) // 3 * 3 - 1
+            assert batches_of(known, "changes") <= set(range(last + 1, batch + 1))
+            assert batches_of(book.heads(batch + 1), "polls") <= set(range(last + 1, batch + 1))
+            # One partition's counts are in one bucket of one generation.
+            assert len({f.split("/counts/")[1].rsplit("/", 1)[0] for f in book.state(batch + 1, touched).inputFiles() if "/counts/" in f}) == 1
+    assert changes_of(book) == replay(rows)
+    # "c" was not polled between the second and the third generation: its bucket stayed where it was.
+    assert set(book._manifest(8).values()) == {8} and set(book._manifest(5).values()) == {2, 5}
+    for d in (2, 4, 6, 7, 9, 10):
+        seen = book.rows_as_observed(str(at(d, 12))).collect()
+        latest = {p: max(t for q, t, _ in rows if q == p and t <= at(d)) for p in "abc"}
+        assert Counter((r["partition"], r["row"]) for r in seen) == Counter((p, r) for p, t, r in rows if t == latest[p] and r is not None)
+    changes, _ = book.known_at(str(at(8, 12)))
+    assert batches_of(changes, "changes") == {6, 7, 8, 9}
+    with pytest.raises(ValueError, match="no archived observation"):
+        book.rows_as_observed(str(at(1, 12)))
+
+
+def test_a_retried_batch_after_its_generation_changes_nothing(spark):
+    rows = random_polls(6, range(1, 6))
+    book = ledger.Ledger(spark, scratch_path(spark, "test-retry-generation"), compact_every=2)
+    for batch, d in enumerate(range(1, 5)):
+        book.apply(recorded(spark, rows, d), batch)
+    before = book.state(4).drop("observed_at").collect()
+    book.apply(recorded(spark, rows, 4), 3)
+    assert sorted(map(str, book.state(4).drop("observed_at").collect())) == sorted(map(str, before))
+    book.apply(recorded(spark, rows, 5), 4)
+    assert changes_of(book) == replay(rows)
+
+
+def test_polls_of_one_batch_are_judged_in_the_order_of_delivery(spark):
+    schema = "partition string, observed_at timestamp, row string, delivered_at timestamp"
+    rows = [("a", at(3), "x", at(3)), ("a", at(5), "y", at(5)), ("a", at(4), "z", at(6)), ("a", at(5), "y", at(7)), ("a", at(5), "other", at(8)), ("a", at(6), "w", at(9)), ("b", at(4), "z", at(6))]
+    root = scratch_path(spark, "test-delivery")
+    book = ledger.Ledger(spark, f"{root}/ledger")
+    ledger.write_polls(spark.createDataFrame(rows, schema), f"{root}/polls")
+    book.run(ledger.read_polls(spark, f"{root}/polls"), f"{root}/cp")
+    assert sorted((r["observed_at"], r["reason"]) for r in book.rejected().collect()) == [(at(4), "older_than_latest"), (at(5), "repeated_instant")]
+    assert changes_of(book) == [("a", "w", at(6), 1), ("a", "x", at(3), 1), ("a", "x", at(5), 0), ("a", "y", at(5), 1), ("a", "y", at(6), 0), ("b", "z", at(4), 1)]
+
+
+def test_closed_partitions_leave_the_state(spark):
+    book = ledger.Ledger(spark, scratch_path(spark, "test-closed"), compact_every=1, close_after=dt.timedelta(days=5))
+    for batch, rows in enumerate([[("a", at(1), "x"), ("b", at(1), "x")], [("b", at(9), "y")], [("a", at(10), "z"), ("b", at(10), "y")]]):
+        book.apply(recorded(spark, rows, rows[0][1].day), batch)
+    assert [(r["partition"], r["observed_at"], r["reason"]) for r in book.rejected().collect()] == [("a", at(10), "partition_closed")]
+    assert {r["partition"] for r in book.state(3).collect()} == {"b"}
+    assert Counter((r["partition"], r["row"]) for r in book.rows_as_observed(str(at(1, 12))).collect()) == Counter([("a", "x"), ("b", "x")])

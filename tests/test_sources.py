@@ -1,3 +1,4 @@
+import csv
 import os
 
 import pytest
@@ -125,3 +126,76 @@ def test_sinks_refuse_existing_output_and_keep_every_row(spark):
         sinks.export_months(rows, path + "-b", max_rows=9)
     catalog, facts = sinks.publish_bundle(rows.withColumn("n", F.lit(1)), ["month"], ["v", "n"], "month")
     assert catalog.count() == 3 and sinks.decode_bundle(catalog, facts.drop("month")).count() == 30
+
+
+def export_of(folder, lines, name="a.csv"):
+    header = ",".join(f'"{h}"' for h in normalise.SALE_HEADERS)
+    with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+        f.write("\n".join([f'"{p}"' for p in PREAMBLE] + [header, *lines]) + "\n")
+
+
+def cells(**changes):
+    return ",".join(f'"{ {**SALE, **changes}.get(n, "")}"' for n in normalise.SALE_HEADERS.values())
+
+
+@pytest.mark.parametrize("line", [cells() + ',"more"', cells().rsplit(",", 1)[0], '"only one"'])
+def test_export_record_of_another_width_raises(spark, folder, line):
+    export_of(folder, [cells(), line, cells()])
+    with pytest.raises(Exception, match="width differs"):
+        readers.read_export(spark, folder, "sale").collect()
+
+
+def test_export_header_with_a_repeated_name_raises(spark, folder):
+    with open(os.path.join(folder, "a.csv"), "w", encoding="utf-8") as f:
+        f.write(",".join(f'"{h}"' for h in [*normalise.SALE_HEADERS, "계약일"]) + "\n" + cells() + ',"8"\n')
+    with pytest.raises(Exception, match="duplicate column names"):
+        readers.read_export(spark, folder, "sale").collect()
+
+
+@pytest.mark.parametrize("text,message", [(cells(agent='a" b'), "never closed"), (cells(agent='a" b "c'), "text around"), (cells() + "x", "text around")])
+def test_export_with_stray_quotes_raises(spark, folder, text, message):
+    export_of(folder, [cells(), text])
+    with pytest.raises(Exception, match=message):
+        readers.read_export(spark, folder, "sale").collect()
+
+
+def test_undecodable_export_raises(spark, folder):
+    export_of(folder, [cells()])
+    with open(os.path.join(folder, "a.csv"), "ab") as f:
+        f.write(b'"\xff\xfe"\n')
+    with pytest.raises(Exception, match="(?i)utf-?8"):
+        readers.read_export(spark, folder, "sale").collect()
+
+
+@pytest.mark.parametrize("size", ["64", "300", "100000"])
+def test_quoted_breaks_and_quotes_are_joined_across_splits(spark, folder, size):
+    """However a file is cut into splits, its records are those of the standard reader."""
+    agents = ["plain", "two\nlines", 'with ""quotes""', "a\n\n\nb,c\r\n", ' "" \n "" ', "x" * 500 + "\n" + "y" * 500, "", "\n"]
+    body = [cells(no=str(k), agent=agents[k % len(agents)]) for k in range(40)]
+    body.insert(7, "")
+    body.insert(20, "," * (len(normalise.SALE_HEADERS) - 1))
+    export_of(folder, body)
+    with open(os.path.join(folder, "a.csv"), encoding="utf-8", newline="") as f:
+        rows = [r for r in csv.reader(f, strict=True)][len(PREAMBLE) + 1 :]
+    names = list(normalise.SALE_HEADERS)
+    want = [dict(zip(names, r, strict=True)) for r in rows if any(c.strip() for c in r)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = readers.read_export(spark, folder, "sale").orderBy("row_number").collect()
+        scope = readers.proven_scope(readers.export_scope(spark, folder, "sale"), "sale").first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["row_number"] for r in got] == list(range(1, 41))
+    assert [r["raw"] for r in got] == want
+    assert scope["proven"] and scope["sido"] == "경기도"
+
+
+def test_other_charsets_need_a_session_that_allows_them(spark, folder):
+    export_of(folder, [cells()])
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    try:
+        with pytest.raises(ValueError, match="javaCharsets"):
+            readers.read_export(spark, folder, "sale", "x-windows-949")
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")

@@ -100,3 +100,37 @@ def test_hot_bin_is_cut_into_small_parts(spark):
     assert abs(got["m"] - (7.0 + (n - 1) / 2 / n * 0.07)) < 1e-12 and got["p"] == 7.0 + (n * 0.9 - 1) / n * 0.07
     ranks = stats.average_rank(df, ["g"], "v", "r").select("r", F.row_number().over(Window.orderBy("v")).alias("k"))
     assert ranks.where("r <> k").count() == 0
+
+
+def test_complex_weights_are_exact_for_huge_groups(spark):
+    """Counted rows stand for many: ten complexes, one of 3e9 rows, one of three; the target falls on a complex's end."""
+    from pricetide.operators import evaluation
+
+    sizes = [3_000_000_000, 3, 7, 11, 13, 17, 19, 23, 29, 10_000_000]
+    rows = [("g", c, float(2 * c + h), n) for c, size in enumerate(sizes) for h, n in enumerate((size // 3, size - size // 3))]
+    df = frame(spark, rows, "g string, c int, v double, n long")
+    size = df.groupBy("c").agg(F.sum("n").alias("size"))
+    weight = (F.lit(1).cast(stats.WEIGHT) / F.col("size").cast("decimal(19,0)")).cast(stats.WEIGHT) * F.col("n").cast("decimal(12,0)")
+    weighed = df.join(size, "c").withColumn("w", weight)
+    for q, want in ((0.8, 15.0), (0.1, 1.0), (0.5, 9.0), (0.85, 17.0), (0.03, 0.0), (1.0, 19.0)):
+        assert stats.quantiles(weighed, ["g"], "v", {"m": stats.Quantile(q, "w", linear=False)}, {"w": F.col("w")}).first()["m"] == want, q
+        assert stats.quantiles_of(weighed, ["g"], "v", {"m": stats.Quantile(q, "w", linear=False)}, {"w": F.col("w")}).first()["m"] == want, q
+    full = frame(spark, [("g", 1.0, 4_999_999), ("g", 2.0, 1), ("g", 3.0, 5_000_000)], "g string, v double, n long")
+    assert stats.quantiles(full, ["g"], "v", {"m": stats.Quantile(0.5, "n", linear=False)}, {"n": F.col("n")}).first()["m"] == 2.0
+    small = evaluation.complex_weights(frame(spark, [("r", "c", 1.0)] * 3, "region string, complex string, v double"))
+    assert small.dtypes[-1][1] == stats.WEIGHT and abs(float(small.first()["weight"]) - 1 / 3) < 1e-15
+
+
+def test_crowded_groups_and_the_others_give_the_same(spark):
+    rng = random.Random(8)
+    rows = [(f"g{i % 5 if i % 3 else 0}", rng.choice([rng.gauss(0, 9), 1.5]), rng.randint(0, 3)) for i in range(3000)] + [("none", None, 1), (None, 1.0, 1)]
+    df = frame(spark, rows, "g string, v double, w int")
+    wanted = {"m": stats.Quantile(0.5), "p": stats.Quantile(0.9, "w"), "d": stats.Quantile(0.3, "w", linear=False)}
+    crowd = stats.crowded(df.where("g IS NOT NULL"), ["g"], 900)
+    assert [r["g"] for r in crowd.collect()] == ["g0"] and stats.crowded(df, ["g"], 5000) is None
+    want = sorted(map(tuple, stats.quantiles(df, ["g"], "v", wanted, {"w": F.col("w")}).collect()))
+    for c in (None, crowd):
+        assert sorted(map(tuple, stats.quantiles_of(df, ["g"], "v", wanted, {"w": F.col("w")}, c).collect())) == want
+    also = [F.sum("x").alias("x"), F.count_distinct("x").alias("d2")]
+    got = [sorted(map(tuple, stats.quantiles_with(df.withColumn("x", F.col("w") + 1), ["g"], "v", wanted, {"w": F.col("w")}, also, ["x"], c).collect())) for c in (None, crowd)]
+    assert got[0] == got[1] and len(got[0]) == 5
