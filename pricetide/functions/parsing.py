@@ -26,20 +26,28 @@ def present(*flags: Column) -> Column:
     return F.array_remove(F.array(*[F.coalesce(f, F.lit("")) for f in flags]), "")
 
 
+DIGITS = "0123456789"
+
+
 def strip_zeros(c: Column) -> Column:
     """Digits without leading zeros; a bare zero stays."""
-    return F.regexp_replace(c, r"^0+(?=\d)", "")
+    return F.when(c.startswith("0"), F.regexp_replace(c, r"^0+(?=\d)", "")).otherwise(c)
 
 
 def is_digits(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^\d+$"), F.lit(False))
+    return F.coalesce((c != "") & (F.translate(c, DIGITS, "") == ""), F.lit(False))
 
 
 def decimal_text(c: Column, field: str, minimum: float | None = None, positive: bool = False) -> tuple[Column, Column]:
     """(exact decimal text, flag).  All published decimal places survive; no binary float is the result."""
-    text = F.regexp_replace(cleaned(c), ",", "")
-    valid = text.rlike(r"^[+-]?\d+(\.\d+)?$")
-    plain = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    text = F.replace(cleaned(c), F.lit(","), F.lit(""))
+    # The shape is read off what is left without digits; patterns are for the rare texts with zeros in front.
+    rest = F.translate(text, DIGITS, "")
+    signed = rest.isin("-", "-.", "+", "+.") & F.substring(text, 1, 1).isin("-", "+") & (F.substring(text, 2, 1) != ".")
+    valid = (rest.isin("", ".") | signed) & (F.length(text) > F.length(rest)) & ~text.startswith(".") & ~text.endswith(".")
+    bare = F.when(text.startswith("+"), F.substr(text, F.lit(2))).otherwise(text)
+    padded = bare.startswith("0") | bare.startswith("-0")
+    plain = F.when(padded, F.regexp_replace(bare, r"^(-?)0+(?=\d)", "$1")).otherwise(bare)
     number = plain.try_cast("double")
     out = F.lit(False)
     if positive:
@@ -57,8 +65,10 @@ def decimal_text(c: Column, field: str, minimum: float | None = None, positive:
 def contract_date(month: Column, day: Column) -> tuple[Column, Column]:
     """(date, flag) from ``YYYYMM`` and a one- or two-digit day."""
     ym, d = cleaned(month), cleaned(day)
-    shaped = ym.rlike(r"^\d{6}$") & d.rlike(r"^\d{1,2}$")
-    date = F.when(shaped, F.try_to_date(F.concat(ym, F.lpad(d, 2, "0")), "yyyyMMdd"))
+    shaped = is_digits(ym) & (F.length(ym) == 6) & is_digits(d) & (F.length(d) <= 2)
+    year, m, n = F.substring(ym, 1, 4).try_cast("int"), F.substring(ym, 5, 2).try_cast("int"), d.try_cast("int")
+    first = F.when(shaped & (year >= 1) & m.between(1, 12), F.make_date(year, m, F.lit(1)))
+    date = F.when((n >= 1) & (n <= F.dayofmonth(F.last_day(first))), F.date_add(first, n - 1))
     return date, F.when(date.isNull(), "contract_date_invalid")
 
 
@@ -75,10 +85,10 @@ def normalize_lot(main: Column, sub: Column, published: Column) -> tuple[Column,
     """
     m, s, p = cleaned(main), cleaned(sub), cleaned(published)
     numeric = is_digits(m) & is_digits(s)
-    tail = F.regexp_replace(s, "^0+", "")
+    tail = F.ltrim(s, F.lit("0"))
     lot = F.when(numeric, F.concat(strip_zeros(m), F.when(tail != "", F.concat(F.lit("-"), tail)).otherwise("")))
     pieces = F.split(p, "-", -1)
-    p_tail = F.regexp_replace(F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit("")), "^0+", "")
+    p_tail = F.ltrim(F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit("")), F.lit("0"))
     source = F.when(
         p.rlike(r"^\d+(-\d+)?$"),
         F.concat(strip_zeros(pieces[0]), F.when(p_tail != "", F.concat(F.lit("-"), p_tail)).otherwise("")),
@@ -97,7 +107,7 @@ def export_parcel(published: Column, main: Column, sub: Column) -> tuple[Column,
     numeric = is_digits(m) & is_digits(s)
     shape = r"^산(\d+)(?:-(\d+))?$"
     hill_main, hill_sub = F.regexp_extract(p, shape, 1), F.regexp_extract(p, shape, 2)
-    value = lambda c: F.regexp_replace(c, "^0+", "")
+    value = lambda c: F.ltrim(c, F.lit("0"))
     mountain = numeric & (hill_main != "") & (value(m) == value(hill_main)) & (value(s) == value(hill_sub))
     label = F.regexp_extract(p, r"^가-(\d+)$", 1)
     provisional = numeric & (value(s) == "") & (

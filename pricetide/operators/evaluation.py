@@ -27,7 +27,7 @@ def recent_comparison(trades: DataFrame, month: str, days: int = 90) -> DataFram
     month_end = F.last_day(cal.as_date(f"{month}-01"))
     end = trades.where(F.col("date") <= month_end).agg(F.max("date").alias("end")).first()["end"]
     if end is None:
-        raise ValueError("no dated contracts within the valuation period")
+        raise ValueError("nothing was traded up to the end of the month")
     last = F.lit(end)
     window = trades.where(F.col("date").between(F.date_sub(last, days - 1), last))
     plain = window.groupBy("key").agg(F.min("date").alias("first_contract_date"), F.max("date").alias("last_contract_date"))

@@ -63,8 +63,8 @@ def observable(df: DataFrame, as_of: str | Column) -> DataFrame:
     """Rows already published at ``as_of``; a row without ``available_at`` raises."""
     as_of = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
     if "available_at" not in df.columns:
-        raise ValueError("available_at is required; contract dates are not publication dates")
-    known = F.when(F.col("available_at").isNull(), F.raise_error(F.lit("missing availability timestamp")).cast("boolean"))
+        raise ValueError("the rows say when they were agreed, not when they became public: available_at is needed")
+    known = F.when(F.col("available_at").isNull(), F.raise_error(F.lit("a row does not say when it became public")).cast("boolean"))
     return df.where(known.otherwise(F.col("available_at") <= as_of))
 
 

@@ -91,7 +91,7 @@ def _raw_map(headers: dict[str, str], columns: list[str]) -> Column:
 
 def _common(df: DataFrame, registry: DataFrame, headers: dict[str, str], kind: str) -> tuple[DataFrame, list[Column]]:
     raw = _raw_map(headers, df.columns)
-    out = match_address(df.withColumn("raw", raw), registry)
+    out = match_address(df, registry).withColumn("raw", raw)
     date, date_flag = P.contract_date(F.col("contract_month"), F.col("contract_day"))
     area, area_flag = P.decimal_text(F.col("area"), "area", positive=True)
     floor, floor_flag = P.decimal_text(F.col("floor"), "floor")
@@ -243,7 +243,7 @@ def clean_leases(df: DataFrame) -> DataFrame:
         & P.is_digits(t("main"))
         & P.is_digits(t("sub"))
     )
-    tail = F.regexp_replace(t("sub"), "^0+", "")
+    tail = F.ltrim(t("sub"), F.lit("0"))
     lot = F.concat(P.strip_zeros(t("main")), F.when(tail != "", F.concat(F.lit("-"), tail)).otherwise(""))
     complex_ = F.concat_ws(" ", t("district"), t("dong"), lot, t("building"))
     contract = t("contract_type")

@@ -236,13 +236,32 @@ def check_training(frame: DataFrame, through: str, first: str = "2007-01-01") ->
     )
 
 
-def validate_panel(observations: DataFrame, quotes: DataFrame) -> DataFrame:
-    """One row per (source, rule) with the number of violating rows of a decision panel."""
+# What a panel may declare itself to be, by its kind, and the evidence of rows (fixed values).
+AVAILABILITY = {"historical_research": ("strict_observed", "reconstructed_lag_scenario"), "synthetic_fixture": ("synthetic",)}
+SYNTHETIC, ARCHIVED = "synthetic", "observed_archive"
+QUOTE_EVIDENCE = (SYNTHETIC, "archived_offer", "transaction_proxy")
+
+
+def validate_panel(observations: DataFrame, quotes: DataFrame, kind: str = "historical_research", mode: str = "strict_observed") -> DataFrame:
+    """One row per (source, rule) with the number of violating rows of a decision panel.
+
+    ``kind`` and ``mode`` are the panel's declarations: history never claims
+    synthetic availability, and strict history holds archived observations only.
+    """
+    if mode not in AVAILABILITY.get(kind, ()):
+        raise ValueError(f"a panel of kind {kind} cannot have {mode} availability")
+    unknown = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    digest = F.coalesce((F.length("source_sha256") == 64) & (F.translate("source_sha256", "0123456789abcdef", "") == ""), F.lit(False))
+    other = lambda *allowed: ~F.coalesce(F.col("evidence_kind").isin(*allowed), F.lit(False))
+
     def counts(df: DataFrame, name: str, identity: str, extra: Mapping[str, Column]) -> DataFrame:
         rules = {
-            "missing_identity": F.col("asset_id").isNull() | F.col(identity).isNull(),
+            "missing_identity": unknown("asset_id") | unknown(identity),
+            "missing_source": unknown("source_id"),
+            "malformed_source_hash": ~digest,
             "price_not_positive": ~F.coalesce(F.col("price_krw") > 0, F.lit(False)),
-            "observed_after_available": F.col("observed_at") > F.col("available_at"),
+            "observed_after_available": ~F.coalesce(F.col("observed_at") <= F.col("available_at"), F.lit(False)),
+            "synthetic_row_in_history": F.lit(kind == "historical_research") & F.col("evidence_kind").eqNullSafe(F.lit(SYNTHETIC)),
             **extra,
         }
         wide = df.agg(*[F.count_if(c).alias(rule) for rule, c in rules.items()])
@@ -255,13 +274,25 @@ def validate_panel(observations: DataFrame, quotes: DataFrame) -> DataFrame:
 
     score = F.col("score")
     return counts(
-        observations, "observations", "observation_id", {"score_not_finite": score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))}
+        observations,
+        "observations",
+        "observation_id",
+        {
+            "score_not_finite": score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")),
+            "missing_model_version": unknown("model_version"),
+            "missing_feature_time": F.col("max_feature_available_at").isNull() | F.col("max_training_label_available_at").isNull(),
+            "not_archived": F.lit(mode == "strict_observed") & other(ARCHIVED),
+        },
     ).unionByName(
         counts(
             quotes,
             "quotes",
             "quote_id",
-            {"unknown_side": ~F.col("side").isin("buy", "sell"), "expired_before_available": F.col("valid_until") < F.col("available_at")},
+            {
+                "unknown_side": ~F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False)),
+                "expired_before_available": ~F.coalesce(F.col("valid_until") >= F.col("available_at"), F.lit(False)),
+                "undeclared_evidence": other(*QUOTE_EVIDENCE),
+            },
         )
     )
 

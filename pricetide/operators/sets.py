@@ -56,7 +56,7 @@ def document_delta(previous: DataFrame, current: DataFrame, key: str, payload: s
     old = previous.select(key, F.sha2(payload, 256).alias("before_sha256"))
     new = current.select(key, payload, F.sha2(payload, 256).alias("_after"))
     joined = new.join(old, key, "full_outer")
-    kept = F.when(F.col("_after").isNull(), F.raise_error(F.lit("removal requires an explicit archive operation")).cast("boolean"))
+    kept = F.when(F.col("_after").isNull(), F.raise_error(F.lit("a document is gone: archive it before its delta is taken")).cast("boolean"))
     changed = kept.otherwise(F.col("before_sha256").isNull() | (F.col("before_sha256") != F.col("_after")))
     return joined.where(changed).drop("_after")
 

@@ -51,18 +51,24 @@ def _to_buckets(counted: DataFrame) -> DataFrame:
     return with_buckets(counted).drop("year")
 
 
+def _placed(df: DataFrame, region: Sequence[str]) -> DataFrame:
+    """The region's columns as one value, which is known and joins even where a column isn't."""
+    return df.withColumn("_region", F.struct(*region))
+
+
 def metric_summary(df: DataFrame, region: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
     """Long form: region, bucket, metric, n, avg, median, min, max.
 
     Everything is counted once per region, year and value; ``all`` adds up the years.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
-    long = df.select(*region, "year", F.inline(pairs)).where(F.col("value").isNotNull())
-    finer, keys = [*region, "year", "metric"], [*region, "bucket", "metric"]
+    long = _placed(df, region).select("_region", "year", F.inline(pairs)).where(F.col("value").isNotNull())
+    finer, keys = ["_region", "year", "metric"], ["_region", "bucket", "metric"]
     years = long.groupBy(*finer).agg(F.sum("value").alias("_s"), F.count("*").alias("_c"), F.min("value").alias("min"), F.max("value").alias("max"))
     plain = _to_buckets(years).groupBy(*keys).agg((F.sum("_s") / F.sum("_c")).alias("avg"), F.min("min").alias("min"), F.max("max").alias("max"))
     mids = quantiles(long, keys, "value", {"median": Quantile(0.5)}, counted_by=finer, fan=_to_buckets)
-    return plain.join(mids.select(*keys, F.col("total_one").alias("n"), "median"), keys)
+    both = plain.join(mids.select(*keys, F.col("total_one").alias("n"), "median"), keys)
+    return both.select(*[F.col("_region")[c].alias(c) for c in region], *[c for c in both.columns if c != "_region"])
 
 
 def region_summary(trades: DataFrame, region: Sequence[str] = ("sido", "gu", "dong")) -> DataFrame:
@@ -129,7 +135,8 @@ def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong"), attr
 
     Counts and attribute states are kept per year and merged into ``all``.
     """
-    finer, keys = [*region, "year", "key"], [*region, "bucket", "key"]
+    trades = _placed(trades, region)
+    finer, keys = ["_region", "year", "key"], ["_region", "bucket", "key"]
     states = attributes.states(dict(trades.dtypes))
     years = trades.groupBy(*finer).agg(
         F.min("complex").alias("complex"),
@@ -151,7 +158,8 @@ def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong"), attr
     medians = quantiles(trades.select(*finer, F.inline(pairs)), [*keys, "what"], "value", {"m": Quantile(0.5)}, counted_by=[*finer, "what"], fan=_to_buckets)
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("m"))).alias(f"{what}_median")
     # A type without any known price or floor keeps its row.
-    return merged.join(medians.groupBy(*keys).agg(pick("price"), pick("floor")), keys, "left")
+    both = merged.join(medians.groupBy(*keys).agg(pick("price"), pick("floor")), keys, "left")
+    return both.select(*[F.col("_region")[c].alias(c) for c in region], *[c for c in both.columns if c != "_region"])
 
 
 def recent(trades: DataFrame, n: int, region: Sequence[str] = ("gu", "dong"), tie: Sequence[str] = ()) -> DataFrame:

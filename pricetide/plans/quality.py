@@ -282,26 +282,34 @@ def check_training(spark, sf_dir):
     "dq15_validate_panel",
     """WITH p AS (SELECT *, ts AS observed_at, ts + CASE WHEN event_type = 'view' THEN INTERVAL '-1' HOUR ELSE INTERVAL '2' HOUR END AS available_at,
     ts + CASE WHEN event_type = 'click' THEN INTERVAL '1' HOUR ELSE INTERVAL '48' HOUR END AS valid_until, event_id // 2 AS quote_id,
-    CAST(floor(value * 100) AS BIGINT) - 200 AS price_krw, CASE WHEN event_type = 'error' THEN 'hold' ELSE 'buy' END AS side FROM events)
-SELECT 'observations' AS source, rule, rows FROM (SELECT 'missing_identity' AS rule, 0 AS rows
-  UNION ALL SELECT 'price_not_positive', count(*) FILTER (WHERE price_krw <= 0) FROM p
-  UNION ALL SELECT 'observed_after_available', count(*) FILTER (WHERE observed_at > available_at) FROM p
-  UNION ALL SELECT 'score_not_finite', 0 UNION ALL SELECT 'duplicate_id', 0)
-UNION ALL SELECT 'quotes', rule, rows FROM (SELECT 'missing_identity' AS rule, 0 AS rows
-  UNION ALL SELECT 'price_not_positive', count(*) FILTER (WHERE price_krw <= 0) FROM p
-  UNION ALL SELECT 'observed_after_available', count(*) FILTER (WHERE observed_at > available_at) FROM p
-  UNION ALL SELECT 'unknown_side', count(*) FILTER (WHERE side = 'hold') FROM p
-  UNION ALL SELECT 'expired_before_available', count(*) FILTER (WHERE valid_until < available_at) FROM p
-  UNION ALL SELECT 'duplicate_id', count(*) FROM p WHERE quote_id IN (SELECT quote_id FROM p GROUP BY quote_id HAVING count(*) > 1))""",
+    CAST(floor(value * 100) AS BIGINT) - 200 AS price_krw, CASE WHEN event_type = 'error' THEN 'hold' ELSE 'buy' END AS side,
+    CASE WHEN event_id % 7 = 0 THEN 'synthetic' WHEN event_id % 7 = 1 THEN 'archived_offer' WHEN event_id % 7 = 2 THEN 'transaction_proxy'
+      WHEN event_id % 7 < 6 THEN 'observed_archive' END AS evidence_kind FROM events),
+r AS (SELECT count(*) FILTER (WHERE event_id % 11 = 0) AS no_source, count(*) FILTER (WHERE event_id % 13 = 0) AS bad_hash, count(*) FILTER (WHERE price_krw <= 0) AS bad_price,
+  count(*) FILTER (WHERE observed_at > available_at) AS late, count(*) FILTER (WHERE evidence_kind = 'synthetic') AS made,
+  count(*) FILTER (WHERE evidence_kind IS DISTINCT FROM 'observed_archive') AS unarchived, count(*) FILTER (WHERE event_id % 17 = 0) AS no_model,
+  count(*) FILTER (WHERE event_id % 19 = 0 OR event_id % 23 = 0) AS no_time, count(*) FILTER (WHERE side = 'hold') AS hold,
+  count(*) FILTER (WHERE valid_until < available_at) AS expired, count(*) FILTER (WHERE evidence_kind IS NULL OR evidence_kind = 'observed_archive') AS undeclared FROM p),
+d AS (SELECT count(*) AS twice FROM p WHERE quote_id IN (SELECT quote_id FROM p GROUP BY quote_id HAVING count(*) > 1))
+SELECT 'observations' AS source, unnest(['missing_identity', 'missing_source', 'malformed_source_hash', 'price_not_positive', 'observed_after_available', 'synthetic_row_in_history',
+    'score_not_finite', 'missing_model_version', 'missing_feature_time', 'not_archived', 'duplicate_id']) AS rule,
+  unnest([0, no_source, bad_hash, bad_price, late, made, 0, no_model, no_time, unarchived, 0]) AS rows FROM r
+UNION ALL SELECT 'quotes', unnest(['missing_identity', 'missing_source', 'malformed_source_hash', 'price_not_positive', 'observed_after_available', 'synthetic_row_in_history',
+    'unknown_side', 'expired_before_available', 'undeclared_evidence', 'duplicate_id']), unnest([0, no_source, bad_hash, bad_price, late, made, hold, expired, undeclared, twice]) FROM r, d""",
 )
 def validate_panel(spark, sf_dir):
-    e, ts, kind = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), F.col("event_type")
+    e, ts, kind, k = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), F.col("event_type"), F.col("event_id")
     hours = lambda c: F.make_interval(hours=c)
+    digest = F.sha2(k.cast("string"), 256)
+    told = F.when(k % 7 == 0, "synthetic").when(k % 7 == 1, "archived_offer").when(k % 7 == 2, "transaction_proxy").when(k % 7 < 6, "observed_archive")
     panel = e.select(
-        F.col("user_id").cast("string").alias("asset_id"), F.col("event_id").alias("observation_id"),
-        F.floor(F.col("event_id") / 2).alias("quote_id"), (F.floor(F.col("value") * 100) - 200).alias("price_krw"),
+        F.col("user_id").cast("string").alias("asset_id"), k.alias("observation_id"),
+        F.floor(k / 2).alias("quote_id"), (F.floor(F.col("value") * 100) - 200).alias("price_krw"),
         F.col("value").alias("score"), ts.alias("observed_at"), (ts + hours(F.when(kind == "view", -1).otherwise(2))).alias("available_at"),
         (ts + hours(F.when(kind == "click", 1).otherwise(48))).alias("valid_until"), F.when(kind == "error", "hold").otherwise("buy").alias("side"),
+        F.when(k % 11 == 0, " ").otherwise(kind).alias("source_id"), F.when(k % 13 == 0, F.concat(F.lit("x"), F.substring(digest, 2, 63))).otherwise(digest).alias("source_sha256"),
+        told.alias("evidence_kind"), F.when(k % 17 != 0, "v1").alias("model_version"), F.when(k % 19 != 0, ts).alias("max_feature_available_at"),
+        F.when(k % 23 != 0, ts).alias("max_training_label_available_at"),
     )
     return ops.validate_panel(panel, panel)
 

@@ -345,7 +345,7 @@ class Ledger:
         end = max(self._ids("polls"), default=-2) + 1
         heads = self.heads(end)
         if heads is None:
-            raise ValueError("no archived observation exists at this time")
+            raise ValueError("nothing had been observed at this time")
         beyond = (F.col("observed_at") > at) | F.col("closed")
         whole = lambda g: self.spark.read.schema(HEADS).parquet(f"{self.path}/heads/batch_id={g}").where(beyond).isEmpty()
         last = next((g for g in reversed(self.generations(end)) if whole(g)), -2)
@@ -371,7 +371,7 @@ def counts_as_observed(changes: DataFrame, polls: DataFrame, as_of: str) -> Data
     baseline = polls.groupBy("partition").agg(F.min("observed_at").alias("baseline"))
     # Checked on its own: a lazy check would vanish together with an empty result.
     if baseline.where(F.col("baseline") > at).limit(1).count():
-        raise ValueError("no archived observation exists at this time")
+        raise ValueError("nothing had been observed at this time")
     known = changes.where(F.col("observed_at") <= at).groupBy("partition", "row_hash").agg(
         F.max_by(F.struct("row", "count"), "observed_at").alias("_l")
     )

@@ -121,7 +121,7 @@ def test_guards_raise(spark):
     with pytest.raises(ValueError):
         sets.assert_disjoint(df, df, ["k"])
     docs = spark.createDataFrame([("a", "x")], "k string, p string")
-    with pytest.raises(Exception, match="removal"):
+    with pytest.raises(Exception, match="document is gone"):
         sets.document_delta(docs, docs.limit(0), "k", "p").collect()
 
 
@@ -147,3 +147,75 @@ def test_quantile_model_never_crosses_and_calibrates(spark):
     point = models.fit_residual(train, ["x", "z"], trees=3).transform(test, "point")
     kept = models.retain_median(model.transform(point), "point")
     assert kept.where("p50 <> point OR p10 > p50 OR p50 > p90").count() == 0
+
+
+def test_pages_are_selected_key_by_key(spark, monkeypatch):
+    import random
+
+    from pricetide.operators import dashboard
+
+    monkeypatch.setattr(dashboard, "SMALL", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.5, 1.5, -2.0, 7.0, float("nan")]), rng.choice([None, "", "가나", "가", "b" * rng.randint(1, 4)]), k) for k in range(230)]
+    df = spark.createDataFrame(rows, "v double, s string, id int")
+    keys = [("v", "desc"), ("s", "asc")]
+    want = [r["id"] for r in dashboard.ordered(df.where("v IS NULL OR NOT isnan(v)"), keys, ["id"]).collect()]
+    clean = df.where("v IS NULL OR NOT isnan(v)")
+    pages = -(-len(want) // 20)
+    for page in (0, 1, 2, pages // 2, pages - 1, pages, 99):
+        got = dashboard.paginate(clean, keys, ["id"], page, 20).orderBy("position").collect()
+        at = max(1, min(pages, page))
+        assert [r["id"] for r in got] == want[(at - 1) * 20 : at * 20], page
+        assert {(r["page"], r["page_count"], r["total"]) for r in got} == {(at, pages, len(want))} and got[0]["position"] == (at - 1) * 20 + 1
+    assert dashboard.paginate(clean.limit(0), keys, ["id"]).count() == 0
+
+
+def test_case_benchmark_leaves_the_whole_complex_out(spark):
+    import random
+    import statistics
+
+    from pricetide.operators import snapshot
+
+    rng = random.Random(5)
+    rows = []
+    for c in range(9):
+        for area in (31, 35, 41):  # two types of one complex share an area band
+            for k in range(8):
+                day = dt.date(1997, 8, 1) + dt.timedelta(days=rng.randint(0, 100)) if k < 4 else dt.date(1998, 8, 1) + dt.timedelta(days=rng.randint(0, 120))
+                rows.append((f"{c}|{area}", f"c{c}", "g", float(area), day, rng.randint(1, 9) * 1.0, 5.0, rng.choice([0.1, 0.2, rng.random()])))
+    df = spark.createDataFrame(rows, "key string, complex string, gu string, area double, date date, price double, floor double, log_price double")
+    cases = F.col("complex").isin("c0", "c4")
+    got = snapshot.case_horizons(df, cases, ["1998-01-01"]).collect()
+    every = {(r["key"], r["lo"]): r for r in snapshot.case_horizons(df, F.lit(True), ["1998-01-01"]).collect()}
+    assert got
+    for r in got:
+        others = [o["growth"] for o in every.values() if (o["lo"], o["peer"]) == (r["lo"], r["peer"]) and o["complex"] != r["complex"] and o["growth"] is not None]
+        assert r["benchmark"] is None if not others else abs(r["benchmark"] - statistics.median(others)) < 1e-12
+        assert r["peer_complexes"] == len({o["complex"] for o in every.values() if (o["lo"], o["peer"]) == (r["lo"], r["peer"]) and o["complex"] != r["complex"] and o["growth"] is not None})
+
+
+def test_attributes_merge_in_any_order_and_over_years(spark):
+    from pricetide.operators import summary
+
+    rows = [
+        ("k", "c", 1999, "1999-01-02", 5.0, 3.0, None, "far", None, False, "", 2), ("k", "c", 1999, "1999-01-01", 5.0, 3.0, 700, "near", 4, None, None, None),
+        ("k", "c", 2000, "2000-01-01", 6.0, None, 700, "later", 9, True, "line 2", 7), ("k", "c", 2000, "2000-01-03", 6.0, 1.0, 900, "x", 9, False, "line 3", None),
+        ("l", "c", 2000, "2000-01-03", None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "key string, complex string, year int, date string, price double, floor double, m int, name string, edu int, near boolean, line string, built int")
+    df = df.withColumns({"gu": F.lit("g"), "dong": F.lit("d")})
+    rules = summary.Attributes(nearest={"m": ["name"]}, largest={"edu": []}, any_true=["near"], first_known=["line", "built"])
+    for shuffled in (df, df.orderBy(F.desc("date")).repartition(3)):
+        got = {(r["key"], r["bucket"]): r for r in summary.type_summary(shuffled, attributes=rules).collect()}
+        assert len(got) == 5
+        al = got["k", "all"]
+        assert (al["m"], al["name"], al["edu"], al["near"], al["line"], al["built"], al["floor_n"], al["price_median"], al["n"]) == (700, "near", 9, True, "line 2", 2, 3, 5.5, 4)
+        assert (got["k", "1999"]["name"], got["k", "2000"]["name"], got["k", "1999"]["line"], got["k", "2000"]["built"]) == ("near", "later", None, 7)
+        assert got["l", "all"]["n"] == 1 and got["l", "all"]["price_median"] is None and got["l", "2000"]["name"] is None
+    # An unknown region is a region of its own.
+    nowhere = df.withColumn("dong", F.lit(None).cast("string"))
+    assert summary.type_summary(nowhere, attributes=rules).count() == 5
+    regions = {(r["dong"], r["bucket"], r["metric"]): r["n"] for r in summary.region_summary(nowhere.withColumns({"sido": F.lit("s"), "area": F.lit(10.0)})).collect()}
+    assert regions[None, "all", "price_billion"] == 4 and regions[None, "1999", "area_pyeong"] == 2
+    merged = summary.merge_attributes(df.where("key = 'k'"), ["key"], rules).first()
+    assert (merged["name"], merged["edu"], merged["line"]) == ("near", 9, "line 2")

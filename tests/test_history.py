@@ -123,7 +123,7 @@ def test_leases_respect_receipt_year_and_signatures(spark):
 
 def test_missing_availability_raises(spark):
     df = spark.createDataFrame([("s", None, 1.0)], "series_id string, available_at timestamp, value double")
-    with pytest.raises(Exception, match="missing availability"):
+    with pytest.raises(Exception, match="when it became public"):
         leases.observable(df, "2024-01-01").collect()
 
 
