@@ -79,7 +79,9 @@ def features(text: pa.Array) -> Words:
     place = np.arange(int(size.sum()))
     padded[np.repeat(at[:-1] + 1 - step, size) + place] = data[np.repeat(start - step, size) + place]
     left = np.repeat(at[1:], size + 2) - np.arange(n)  # bytes up to the word's end
-    total = np.r_[0, np.cumsum(((data >= 97) & (data <= 122)) | (data >= 0xC3))]
+    # Letters: a to z, and all beyond ASCII but the signs of the first 64 places, of which three are letters.
+    after = np.r_[0, data[:-1]][: len(data)] == 0xC2
+    total = np.r_[0, np.cumsum(((data >= 97) & (data <= 122)) | (data >= 0xC3) | (after & ((data == 0xAA) | (data == 0xB5) | (data == 0xBA))))]
     grams = np.empty((3, n), np.int32)
     code = padded[:n]
     for k in (2, 3, 4):
@@ -110,7 +112,13 @@ def emissions(m: Model, w: Words) -> np.ndarray:
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Forward-backward over all texts at once, in step; texts that are over fall out of the arrays."""
+    """Marginals of the words' labels."""
+    return forward_backward(emit, first, moves)[0]
+
+
+def forward_backward(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, forward and backward messages of all texts at once, in step; texts that are over fall out of the arrays.  A message is
+    scaled to sum 1; the forward one holds its own word's emission, the backward one doesn't."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     size, start = size[order], first[:-1][order]
@@ -126,16 +134,24 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndar
         state /= state.sum(1, keepdims=True)
         ahead[at] = state
     back = np.ones((0, emit.shape[1]))
-    out = np.empty_like(emit)
+    out, behind = np.empty_like(emit), np.empty_like(emit)
     for t in range(steps - 1, -1, -1):
         at = start[: live[t]] + t
         if len(back) < live[t]:
             back = np.vstack([back, np.ones((live[t] - len(back), emit.shape[1]))])
+        behind[at] = back
         both = ahead[at] * back
         out[at] = both / both.sum(1, keepdims=True)
         back = (back * power[at]) @ trans.T
         back /= back.sum(1, keepdims=True)
-    return out
+    return out, ahead, behind
+
+
+def pair_marginals(emit: np.ndarray, ahead: np.ndarray, behind: np.ndarray, moves: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Marginals of the labels of the words before `inner` and at it: (words, label before, label)."""
+    here = np.exp(emit[inner] - emit[inner].max(1, keepdims=True)) * behind[inner]
+    pair = ahead[inner - 1][:, :, None] * np.exp(moves)[None] * here[:, None, :]
+    return pair / pair.sum((1, 2), keepdims=True)
 
 
 def train(texts: list[str], labels: list[str], *, lexicon: int = 20_000, epochs: int = 4, piece: int = 12, chain: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -165,7 +181,7 @@ def train(texts: list[str], labels: list[str], *, lexicon: int = 20_000, epochs:
             cut = np.cumsum([0, *[sum(map(len, use[k : k + chain])) for k in range(0, len(use), chain)]])
             own = known.take(pick)
             emit = emissions(m, own)
-            p = marginals(emit, cut, m.moves)
+            p, ahead, behind = forward_backward(emit, cut, m.moves)
             gold = np.eye(n)[label[pick]]
             g = (gold - p) * own.letters[:, None]
             per = np.repeat(np.arange(len(pick)), np.diff(own.at))
@@ -175,10 +191,7 @@ def train(texts: list[str], labels: list[str], *, lexicon: int = 20_000, epochs:
             listed = lexical[pick] >= 0
             np.add.at(g_lex, lexical[pick][listed], g[listed])
             inner = np.setdiff1d(np.arange(1, len(pick)), cut)
-            # Expected moves from the marginals of pairs, recovered from one step of the chain.
-            pair = p[inner - 1][:, :, None] * np.exp(m.moves)[None] * np.exp(emit[inner] - emit[inner].max(1, keepdims=True))[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            g_move = gold[inner - 1].T @ gold[inner] - pair.sum(0)
+            g_move = gold[inner - 1].T @ gold[inner] - pair_marginals(emit, ahead, behind, m.moves, inner).sum(0)
             for w, s, grad in ((m.grams, sums[0], g_grams[:TABLE]), (m.lexical, sums[1], g_lex), (m.moves, sums[2], g_move / 10)):
                 grad = grad / len(batch) - decay * w
                 s += grad * grad
@@ -190,15 +203,18 @@ def sample(labelled: DataFrame, per_language: int, most_chars: int) -> tuple[lis
     """Texts and labels to learn from: of each language the `per_language` smallest hashes of id and text.
 
     Two passes, whatever the number of languages: one estimates how many different rows each has, one takes the rows below the hash that so many
-    lie under with a margin.  About 1.2 * per_language + 60 texts of at most most_chars characters of each language reach the driver.
+    lie under with a margin.  About 1.2 * per_language + 60 texts of each language reach the driver, of a longer text most_chars characters from a
+    place that its hash names.
     """
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars)).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    over = F.greatest(F.length("text") - most_chars, F.lit(0)) + 1
+    cut = F.substring(F.col("text"), (F.pmod("h", over) + 1).cast("int"), F.lit(most_chars))
     wanted = F.lit(False)
     for lang, n in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect():
         share = (1.2 * per_language + 60) / max(n, 1)
         wanted |= (F.col("lang") == lang) & (F.lit(True) if share >= 1 else F.col("h") < int(share * 2**64) - 2**63)
     # Repeated rows collapse before they are sent.
-    got = sorted(known.filter(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"]))
+    got = sorted(known.filter(wanted).select("lang", "h", cut.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"]))
     kept = [r for k, r in enumerate(got) if k < per_language or got[k - per_language]["lang"] != r["lang"]]
     return [r["text"] for r in kept], [r["lang"] for r in kept]
 
@@ -214,10 +230,11 @@ def label_words(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     return marginals(emissions(m, w), w.first, m.moves.astype(np.float32)), w.first, w.letters
 
 
-def identify(df: DataFrame, m: Model, *, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the language and score of each text."""
-    df = df.drop(lang, score)
-    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+def identify(df: DataFrame, m: Model, *, text: str = "text", lang: str = "lang_pred", score: str = "score", told: str = "told") -> DataFrame:
+    """df with the language of each text, its score (the language's mean share of the words), and how well its words are told apart
+    (the mean of each word's own largest share, high for text in several languages too)."""
+    df = df.drop(lang, score, told)
+    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(told, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +243,7 @@ def identify(df: DataFrame, m: Model, *, text: str = "text", lang: str = "lang_p
         for part in slices(batches, text, SLICE):
             column = part.column(part.schema.get_field_index(text))
             known = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best, value = np.full(part.num_rows, -1), np.zeros(part.num_rows)
+            best, value, apart = np.full(part.num_rows, -1), np.zeros(part.num_rows), np.zeros(part.num_rows)
             if m.languages:
                 p, first, letters = label_words(m, column)
                 which = positions(first)[letters]
@@ -235,6 +252,7 @@ def identify(df: DataFrame, m: Model, *, text: str = "text", lang: str = "lang_p
                 known &= words > 0
                 best[known] = total[known].argmax(1)
                 value[known] = np.minimum(total[known].max(1) / words[known], 1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(value)], names=[*part.schema.names, lang, score])
+                apart[known] = np.minimum(np.bincount(which, p[letters].max(1), part.num_rows)[known] / words[known], 1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(value), pa.array(apart)], names=[*part.schema.names, lang, score, told])
 
     return df.mapInArrow(run, schema)

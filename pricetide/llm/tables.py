@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame
 from pricetide.session import scratch_path
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that isn't among columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again.
 
