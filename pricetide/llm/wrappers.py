@@ -6,11 +6,14 @@ the slots of its texts, and the pages of each slot and text are counted.  A text
 half of a host's pages hold in the same slot is template; what varies is content.  Partial templates are made where the pages lie and merged in
 two steps, and counts are sums, so a host with very many pages is no single task's work.  What a template has no room for is counted by its path.
 Slots are then read by role: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, told by element, role or class, hold no main text; if a page marks its article, only that does.
-A page whose content would all be template (copies of one article) keeps it.
+adverts, forms, scripts, styles and reader comments, told by element or role, hold no main text; if a page marks its article, only that does.
+Class names are evidence only: a name counts if it is such a word, or made of such words and words of layout alone (site-footer, but not no-sidebar
+or share-price), and never for an element that holds more than half of the page's text.
+A page whose content would all be template (copies of one article) keeps it, and so does a marked article that would lose most of its text.
 
 Defined results: null and empty pages, and pages without content, give the empty text; a null or unreadable address is a host of its own;
-repeated rows give equal texts; other columns pass through.  Hosts with fewer than `least` pages have no template texts.
+repeated rows give equal texts; other columns pass through, but a column of the text's name is replaced.  Hosts with fewer than `least` pages have no
+template texts.  Elements nested deeper than DEEPEST hang in the tree at that depth, as in browsers; their texts stay in place.
 """
 
 from __future__ import annotations
@@ -41,8 +44,15 @@ ENDS_P = BLOCKS - {"option", "select", "button", "html", "body", "head", "td", "
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ELEMENTS = set("nav footer aside form head menu select button input dialog search fieldset label".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: Words of class names that tell what holds no main text (fixed values).
 NAMES = re.compile(r"^(?:ads?|advert.*|adsense|adbox|banner|sponsor.*|promo.*|sidebar|side|aside|menu|navbar|nav|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend.*|comments?|commentlist|disqus|replies|reply|respond|footer|foot|masthead|widget|toolbar|pagination|pager|hidden|copyright|legal|disclaimer|login|signup|search|searchbox)$")
 HEADERS = re.compile(r"^(?:header|head|topbar|masthead)$")
+#: Words of layout that may stand beside them in a name, and words about an article that are no evidence inside one (fixed values).
+LAYOUT = re.compile(r"^(?:[0-9]+|area|bar|block|bottom|box|btn|button|buttons|col|column|container|content|fixed|float|form|global|group|icon|icons|inner|item|items|l|left|link|links|list|main|mobile|outer|page|pane|panel|post|posts|primary|r|right|row|secondary|section|site|slot|sticky|text|title|top|unit|wrap|wrapper|zone)$")
+ABOUT = re.compile(r"^(?:legal|disclaimer|copyright|notice|alert)$")
+PART = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+#: Depth of a tree.
+DEEPEST = 256
 REGIONS = {"article", "main"}
 #: Bound of a template's nodes.
 NODES = 400
@@ -57,23 +67,36 @@ class Node:
         self.label, self.tag, self.drop, self.children, self.texts, self.pages = label, tag, drop, [], set(), 1
 
 
-def _told(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The element's label, and whether it holds no main text."""
+def telling(names: str, inside: bool) -> bool:
+    """Whether one of the class names or ids says that an element holds no main text."""
+    for name in names.split():
+        parts = [x for x in PART.split(name) if x]
+        parts = [x.lower() for x in parts]
+        whole = "".join(parts)
+        told = [bool(NAMES.match(x) or (not inside and HEADERS.match(x))) and not (inside and ABOUT.match(x)) for x in parts]
+        if (any(told) and all(t or LAYOUT.match(x) for t, x in zip(told, parts, strict=True))) or (NAMES.match(whole) and not (inside and ABOUT.match(whole))):
+            return True
+    return False
+
+
+def _told(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """The element's label, whether it holds no main text, and whether its names say so."""
     named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and attributes.strip() else {}
     drop = tag in ELEMENTS or (tag == "header" and not inside) or named.get("role", "").lower() in ROLES
+    said = False
     if named or attributes:
-        words = re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower())
         if tag not in ("html", "body", "main") and not (tag == "article" and not inside):
-            drop |= any(NAMES.match(w) for w in words) or (not inside and any(HEADERS.match(w) for w in words))
+            said = telling(f"{named.get('class', '')} {named.get('id', '')}", inside)
         drop |= named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower() or bool(BARE_HIDDEN.search(attributes) and "hidden" not in named.get("class", ""))
-    return (f"{tag}.{named.get('class', '')}" if named.get("class") else tag), drop
+    return (f"{tag}.{named.get('class', '')}" if named.get("class") else tag), drop, said and not drop
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, bool]]]:
     """The page's tree, and its blocks in order: element, text, whether inside an article, whether kept by role."""
     root = Node("#", "#", False)
-    stack: list[tuple[Node, bool, bool]] = [(root, False, True)]  # element, inside an article, main text so far
-    blocks: list[tuple[Node, str, bool, bool]] = []
+    stack: list[tuple[Node, bool, bool, int]] = [(root, False, True, -1)]  # element, inside an article, main text so far, nearest telling name
+    blocks: list[tuple[Node, str, bool, bool, int]] = []
+    above: list[int] = []  # of each element with a telling name, the one around it
     run: list[str] = []
     at, end = 0, len(page)
 
@@ -83,7 +106,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, bool]]]:
                 k = len(stack) - 1
                 while k and stack[k][0].tag not in BLOCKS:
                     k -= 1
-                blocks.append((stack[k][0], text, *stack[-1][1:]))
+                blocks.append((stack[min(k, DEEPEST)][0], text, *stack[-1][1:]))
             run.clear()
 
     def pop_to(k: int) -> None:
@@ -148,16 +171,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, bool]]]:
                 if stack[k][0].tag == "head":
                     pop_to(k)
                     break
-        parent, inside, main = stack[-1]
-        label, drop = _told(tag, attributes, inside)
-        node = Node(label, tag, drop)
-        if drop and main:
+        _, inside, main, name = stack[-1]
+        label, drop, said = _told(tag, attributes, inside)
+        node = Node(label, tag, drop or said)
+        if (drop or said) and main:
             flush()
-        if tag in BLOCKS or drop:
-            parent.children.append(node)
-        stack.append((node, inside or (tag in REGIONS and main and not drop), main and not drop))
+        if tag in BLOCKS or drop or said:
+            stack[min(len(stack) - 1, DEEPEST)][0].children.append(node)
+        if said:
+            above.append(name)
+            name = len(above) - 1
+        stack.append((node, inside or (tag in REGIONS and main and not drop), main and not drop, name))
     pop_to(1)
-    return root, blocks
+    # What a name says is believed unless its element holds most of the text.
+    held = [0] * len(above)
+    for _, text, _, main, name in blocks:
+        if main and name >= 0:
+            held[name] += len(text)
+    for k in range(len(above) - 1, -1, -1):
+        if above[k] >= 0:
+            held[above[k]] += held[k]
+    total = sum(len(text) for _, text, _, main, _ in blocks if main)
+    out = [False] * len(above)
+    for k, parent in enumerate(above):
+        out[k] = 2 * held[k] <= total or (parent >= 0 and out[parent])
+    return root, [(node, text, inside, main and not (name >= 0 and out[name])) for node, text, inside, main, name in blocks]
 
 
 def matched(a: Node, b: Node) -> int:
@@ -301,7 +339,9 @@ def extract(page: str | None, template: set[str]) -> str:
     if template:
         path = _paths(root)
         varying = [(n, text) for n, text in kept if f"{path.get(id(n), '')} {_hash(text)}" not in template]
-        kept = varying or kept
+        size = lambda blocks: sum(len(text) for _, text in blocks)
+        if varying and not (marked and 2 * size(varying) < size(kept)):
+            kept = varying
     return "\n\n".join(text for _, text in kept)
 
 
@@ -366,12 +406,15 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", text: s
     pages = pages.drop(text)
     known = settled(templates(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), least).filter(F.size("template") > 0))
     names = pages.columns
-    both = pages.select(*names, host_of(F.col(url)).alias("_host")).join(known.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left").drop("_host")
+    # Names that no column of the caller's has.
+    taken = {n.lower() for n in [*names, text]}
+    host, template = (next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in ("host_", "template_"))
+    both = pages.withColumn(host, host_of(F.col(url))).join(known.select(F.col("host").alias(host), F.col("template").alias(template)), host, "left").select(*names, template)
     schema = T.StructType([*pages.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [extract(p, set(t or ())) for p, t in zip(batch.column(html).to_pylist(), batch.column("_template").to_pylist(), strict=True)]
+            out = [extract(p, set(t or ())) for p, t in zip(batch.column(html).to_pylist(), batch.column(template).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.string())], names=[*names, text])
 
     return both.mapInArrow(run, schema)
