@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.llm.tables import discard, settled
+from pricetide.llm.tables import discard, settled, unused
 from pricetide.llm.words import U, flat, mix, positions, runs, signed, slices, spans, text_words
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
@@ -173,15 +173,16 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, gram: int = 16) -> Data
 
 def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) with the words of found's spans cut out of the texts; the white space after them goes too."""
-    found = found.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
-    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    both = docs.join(found.filter(F.size("_spans") > 0), (digest == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_digest")
     columns = docs.columns
+    own, of, cuts = (unused(columns, n) for n in ("_id", "_digest", "_spans"))
+    found = found.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias(own), F.col("digest").alias(of), F.col("spans").alias(cuts))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    both = docs.join(found.filter(F.size(cuts) > 0), (digest == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own, of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = part.column("text").to_pylist()
-            lists = part.column("_spans").to_pylist()
+            lists = part.column(cuts).to_pylist()
             data, off = flat(part.column("text"))
             start, end, first = spans(data, off)
             for k, cut in enumerate(lists):
