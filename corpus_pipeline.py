@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import bagminhash, crf, mixing, pieces, suffixes
 from pricetide.llm.queries import PIECES
-from pricetide.llm.tables import settled
+from pricetide.llm.tables import settled, unused
 from pricetide.session import scratch_path
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: those without letters, or with no language above the threshold, go."""
+    """Documents whose language is told: those without letters go, and those of which no language has two fifths of the words, unless the words
+    themselves are well told apart, as in text of several languages."""
     test = crf.held_out(F.col("doc_id"), 5)
     model = crf.fit(docs.filter(~test).select("doc_id", "text", "lang"))
-    lang, score = _unused(docs, "lang_pred"), _unused(docs, "lang_score")
-    found = crf.identify(docs, model, lang=lang, score=score)
-    return found.filter((F.col(lang) != "und") & (F.col(score) >= 0.4)).select(*docs.columns)
-
-
-def _unused(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
+    lang, score, told = (unused(docs.columns, n) for n in ("lang_pred", "lang_score", "lang_told"))
+    found = crf.identify(docs, model, lang=lang, score=score, told=told)
+    return found.filter((F.col(lang) != "und") & ((F.col(score) >= 0.4) | (F.col(told) >= 0.8))).select(*docs.columns)
 
 
 def _digest() -> Column:
@@ -32,10 +26,20 @@ def _digest() -> Column:
 
 
 def _matching(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose id and text are among wanted's (doc_id, digest, any more as _ columns), once each, with these columns."""
-    there = wanted.withColumnsRenamed({"doc_id": "_id", "digest": "_d"})
-    both = docs.withColumn("_digest", _digest()).join(there, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_d")))
-    return both.dropDuplicates(["doc_id", "_digest"]).drop("_id", "_d", "_digest")
+    """Rows of docs whose id and text are among wanted's (doc_id, digest, any more), once each, with wanted's further columns.
+
+    Of rows with equal id and text that differ elsewhere, the one whose other columns come first as JSON stays.
+    """
+    columns, more = docs.columns, [c for c in wanted.columns if c not in ("doc_id", "digest")]
+    row, digest, own, of = (unused([*columns, *more], n) for n in ("_row", "_digest", "_id", "_of"))
+    there = wanted.withColumnsRenamed({"doc_id": own, "digest": of})
+    both = docs.select(F.struct(*columns).alias(row), F.col("doc_id").alias(own + "1"), _digest().alias(digest)).join(
+        there, F.col(own + "1").eqNullSafe(F.col(own)) & F.col(digest).eqNullSafe(F.col(of))
+    )
+    rest = [F.col(row)[c].alias(c) for c in columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    once = both.groupBy(own, digest, *more).agg(F.min_by(row, order).alias(row))
+    return once.select(*[F.col(row)[c].alias(c) for c in columns], *more)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +61,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = mixing.size_of(F.col("text"))
     sized = settled(docs.select("doc_id", _digest().alias("digest"), "source", size.alias("size"), mixing.quality_of(F.col("text"), size).alias("quality")))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    mixed = mixing.mix(sized).filter("size > 0").groupBy("doc_id", "digest").agg(F.sum(times).alias("_times")).filter("_times > 0")
-    return _matching(docs, mixed).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+    often = unused(docs.columns, "_times")
+    mixed = mixing.mix(sized).filter("size > 0").groupBy("doc_id", "digest").agg(F.sum(times).alias(often)).filter(F.col(often) > 0)
+    return _matching(docs, mixed).withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often).cast("int")))).drop(often)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
