@@ -133,12 +133,13 @@ def test_frames_round_trip():
         idblocks.File(b"x" * struct.calcsize(idblocks.HEAD))
 
 
-def test_token_files_equal_the_library(spark, monkeypatch):
+@pytest.mark.parametrize("specials", [[], ["<|endoftext|>"]])
+def test_token_files_equal_the_library(spark, monkeypatch, specials):
     monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTES)
-    letters = [*"ab  't\t\n\r1.é中", " ", " ", "　", "\u0085", "\x1f", "\x1c", "<|endoftext|>", "𝄞", "'ll", "don't ", "  ", " word"]
+    letters = [*"ab  't\t\n\r1.é中×&#", "\u00a0", "\u2028", "\u3000", "\u0085", "\x1f", "\x1c", "𝄞", "'ll", "don't ", "  ", " word", "\nÉt", "\n\n", *specials]
     texts = [None, "", " ", "  \n ", "x" * 5000, "long " * 30_000, *("".join(RNG.choice(letters, RNG.integers(1, 200))) for _ in range(300))]
     rows = [(k if k != 8 else None, t, "-") for k, t in enumerate(texts)] + [(9, texts[9], "-"), (9, "other", "-"), (None, None, "-")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

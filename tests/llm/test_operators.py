@@ -241,3 +241,108 @@ def test_likelihood_learns_from_all_training_texts(spark, monkeypatch):
     assert sorted(sum(rounds, [])) == sorted(t for k, t in rows if k is None or k % 10)
     # Texts without an id are in all rounds.
     assert all(any(int(t.split()[1]) % 2 for t in r) for r in rounds) and all(np.isfinite(r["score"]) for r in got)
+
+
+def article(*paragraphs, around="{}"):
+    return "<html><body>" + around.format("".join(f"<p>{p}</p>" for p in paragraphs)) + "</body></html>"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "entry hide-comments", "share-price-table", "contentSidebar wide"])
+def test_main_text_under_names_that_only_sound_like_others(name):
+    assert wrappers.extract(article("T", "Main text here", around=f'<div class="{name}">{{}}</div>'), set()) == "T\n\nMain text here"
+
+
+def test_main_text_without_elements_whose_names_tell():
+    page = '<body><div class="site-footer">foot</div><div id="cookieNotice">we use cookies</div><div class="related-posts">more</div><article><p>One two three four five six seven.</p><section class="legal"><p>Its law.</p></section><div class="share-buttons">share it</div></article></body>'
+    assert wrappers.extract(page, set()) == "One two three four five six seven.\n\nIts law."
+
+
+def test_main_text_of_deep_and_long_pages(spark):
+    deep = "<div>" * 6000 + "<p>at the bottom</p>" + "</div>" * 6000
+    long = article(*[f"paragraph {k} of many" for k in range(20_000)])
+    rows = [(k, "http://h/x", page, "a", "b", 1) for k, page in enumerate([deep, long, deep, None, "", *[deep] * 8])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _template string, host_0 int")
+    got = {r["page_id"]: r for r in wrappers.main_text(df).collect()}
+    assert got[0]["text"] == got[2]["text"] == "at the bottom" and got[3]["text"] == got[4]["text"] == "" and got[0]["_host"] == "a"
+    assert got[1]["text"].count("\n\n") == 19_999
+    assert wrappers.main_text(df.limit(0)).count() == 0
+
+
+def test_main_text_of_near_copies_of_one_article(spark):
+    body = [f"Paragraph {k} of the article, with words enough to count." for k in range(5)]
+    pages = [(k, "http://same/x", article(*body, f"Seen on day {k}", around="<article>{}</article>")) for k in range(12)]
+    for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r["text"] == "\n\n".join([*body, f"Seen on day {r['page_id']}"])
+
+
+def test_pair_marginals_equal_the_sum_over_paths():
+    from itertools import product
+
+    emit, moves = RNG.normal(0, 2, (4, 3)), RNG.normal(0, 1, (3, 3))
+    weight = {path: np.exp(sum(emit[t, k] for t, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False))) for path in product(range(3), repeat=4)}
+    p, ahead, behind = crf.forward_backward(emit, np.array([0, 4]), moves)
+    got = crf.pair_marginals(emit, ahead, behind, moves, np.arange(1, 4))
+    for t in range(3):
+        for a, b in product(range(3), repeat=2):
+            assert abs(got[t, a, b] - sum(w for path, w in weight.items() if path[t : t + 2] == (a, b)) / sum(weight.values())) < 1e-12
+    np.testing.assert_allclose(got.sum(2), p[:-1], rtol=1e-9)
+
+
+def test_languages_of_long_texts_only_and_of_rare_letters(spark):
+    long = [(k, " ".join(RNG.choice(("uno dos tres cuatro" if k % 2 else "eins zwei drei vier").split(), 3000)), "es" if k % 2 else "de") for k in range(20)]
+    model = crf.fit(spark.createDataFrame(long, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "es"]
+    got = crf.identify(spark.createDataFrame([(1, "dos tres"), (2, "ª º"), (3, "µ"), (4, "7 §")], "doc_id long, text string"), model).collect()
+    assert got[0]["lang_pred"] == "es" and got[1]["lang_pred"] != "und" and got[2]["lang_pred"] != "und" and got[3]["lang_pred"] == "und"
+
+
+def test_rollups_compact_what_they_list_and_finish_others_commits(spark):
+    one = lambda n: rollups.inserted(spark.createDataFrame([("s", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
+    rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    total = lambda: (lambda r: (r["documents"], r["tokens"]))(rollup.totals().first())
+    assert rollup.commit("a", one(5))
+    listed = rollup._names
+
+    def and_then(folder):  # another writer commits right after the listing
+        names = listed(folder)
+        if folder == "batches" and "b" not in names:
+            rollups.Rollup(spark, rollup.path).commit("b", one(5))
+        return names
+
+    rollup._names = and_then
+    assert rollup.compact()
+    rollup._names = listed
+    assert total() == (2, 10)
+    assert rollup.compact() and total() == (2, 10) and rollup._names("batches") == ["b"]
+    assert rollup.compact() and rollup._names("batches") == [] and total() == (2, 10)
+    assert not rollup.commit("a", one(5)) and not rollup.commit("b", one(9)) and total() == (2, 10)
+    # A writer that died between its claim and its rename: whoever comes next finishes it.
+    staged = f"{rollup.path}/staged/c-dead"
+    one(7).groupBy(*rollups.GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.parquet(staged)
+    rename, rollup._rename = rollup._rename, lambda a, b: None
+    assert rollup._place(staged, f"{rollup.path}/batches/c", f"{rollup.path}/claims/c")
+    rollup._rename = rename
+    assert total() == (2, 10) and not rollup.commit("c", one(7)) and total() == (3, 17)
+    empty = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    assert empty.totals().count() == 0 and empty.compact() and empty.commit("none", one(1).limit(0)) and empty.totals().count() == 0
+
+
+def test_likelihood_beats_the_counts_on_held_out_texts(spark):
+    """With production parameters, over all given documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = recurrent.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    r = got.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r["n"] > 10_000 and r["s"] > 0.99 * r["b"]
+
+
+def test_weights_of_many_tasks_are_averaged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "FAN_IN", 3)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c a b c a b c d"), F.col("id") % 7).alias("text")).repartition(14)
+    got = recurrent.score(docs, F.lit(False)).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > got["b"]
+
+
+def test_likelihood_of_a_very_long_text_and_of_clashing_columns(spark):
+    rows = [(1, "a b " * 60_000, 1, True), (2, "a b", 2, False)]
+    got = {r["doc_id"]: r for r in recurrent.score(spark.createDataFrame(rows, "doc_id long, text string, row int, held_out boolean"), F.col("doc_id") == 2).collect()}
+    assert got[1]["n_tokens"] == 120_001 and np.isfinite(got[1]["score"]) and got[2]["held_out"]
