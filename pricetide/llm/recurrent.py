@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,17 +142,18 @@ class Network:
         out = (logit[rows, cls] - np.log(s)).astype(np.float64)
         dh = None
         if grads is not None:
-            d = -e / s[:, None]
-            d[rows, cls] += 1
-            grads["cw"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ self.p["cw"].T
-        order = np.argsort(cls, kind="stable")
+            e /= -s[:, None]
+            e[rows, cls] += 1
+            grads["cw"] = h.T @ e
+            grads["cb"] = e.sum(0)
+            dh = e @ self.p["cw"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for k in range(self.classes):
             at = order[cut[k] : cut[k + 1]]
             if len(at):
-                logit = h[at] @ self.p["ww"][k] + self.p["wb"][k]
+                own = h[at]
+                logit = own @ self.p["ww"][k] + self.p["wb"][k]
                 logit -= logit.max(1, keepdims=True)
                 e = np.exp(logit)
                 s = e.sum(1)
@@ -159,55 +161,68 @@ class Network:
                 rows = np.arange(len(at))
                 out[at] += logit[rows, word] - np.log(s)
                 if grads is not None:
-                    d = -e / s[:, None]
-                    d[rows, word] += 1
-                    grads["ww"][k] += h[at].T @ d
-                    grads["wb"][k] += d.sum(0) * (self.p["wb"][k] > -39)
-                    dh[at] += d @ self.p["ww"][k].T
+                    e /= -s[:, None]
+                    e[rows, word] += 1
+                    grads["ww"][k] = own.T @ e
+                    grads["wb"][k] = e.sum(0) * (self.p["wb"][k] > -39)
+                    dh[at] += e @ self.p["ww"][k].T
         return out, dh
 
-    def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 24, rate: float = 0.01) -> None:
+    def train(self, stream: np.ndarray, end: int, lanes: int = 512, window: int = 24, steps: int = 100, rate: float = 0.02) -> None:
         """Truncated backpropagation with Adam over a stream of token numbers, cut into lanes; the state carries over windows and is
-        empty after an end token."""
-        lanes = max(1, min(lanes, len(stream) // window))
+        empty after an end token.  There are as many lanes as leave `steps` windows, up to `lanes`."""
+        lanes = max(1, min(lanes, len(stream) // (window * steps)))
         size = len(stream) // lanes
         if size < 2:
             return
         data = stream[: lanes * size].reshape(lanes, size).T
-        h = np.zeros((lanes, self.hidden), np.float32)
+        n, one = self.hidden, np.float32(1)
+        h = np.zeros((lanes, n), np.float32)
         first = {k: np.zeros_like(a) for k, a in self.p.items()}
         second = {k: np.zeros_like(a) for k, a in self.p.items()}
         for t, at in enumerate(range(0, size - 1, window), 1):
             x, y = data[at : min(at + window, size - 1)], data[at + 1 : at + 1 + min(window, size - 1 - at)]
-            memory, states = [], []
-            for row in x:
-                h = h * (row != end)[:, None]
+            going = (x != end).astype(np.float32)[:, :, None]
+            memory, states = [], np.empty((len(x), lanes, n), np.float32)
+            for k, row in enumerate(x):
+                h = h * going[k]
                 new, *gates = self.step(row, h)
-                memory.append((h, row, *gates))
-                h = new
-                states.append(h)
-            grads = {k: np.zeros_like(a) for k, a in self.p.items()}
-            _, dh_all = self.output(np.concatenate(states), y.ravel(), grads)
-            dh_all = dh_all.reshape(len(x), lanes, -1)
+                memory.append((h, *gates))
+                h = states[k] = new
+            grads = {k: np.zeros_like(a) for k, a in self.p.items() if k != "x"}
+            _, dh_all = self.output(states.reshape(-1, n), y.ravel(), grads)
+            dh_all = dh_all.reshape(len(x), lanes, n)
             back = np.zeros_like(h)
-            n = self.hidden
+            da, dg = np.empty((len(x), lanes, 3 * n), np.float32), np.empty((len(x), lanes, 3 * n), np.float32)
             for k in range(len(x) - 1, -1, -1):
-                prev, row, z, r, c, g = memory[k]
+                prev, z, r, c, g = memory[k]
                 dh = dh_all[k] + back
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (prev - c) * z * (1 - z)
-                dr = dc * g * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], 1)
-                dg = np.concatenate([dz, dr, dc * r], 1)
-                grads["u"] += prev.T @ dg
-                grads["b"] += da.sum(0)
-                np.add.at(grads["x"], row, da)
-                back = (dg @ self.p["u"].T + dh * z) * (row != end)[:, None]
+                dc = dh * (one - z) * (one - c * c)
+                da[k, :, :n] = dh * (prev - c) * z * (one - z)
+                da[k, :, n : 2 * n] = dc * g * r * (one - r)
+                da[k, :, 2 * n :] = dc
+                dg[k, :, : 2 * n] = da[k, :, : 2 * n]
+                dg[k, :, 2 * n :] = dc * r
+                back = (dg[k] @ self.p["u"].T + dh * z) * going[k]
+            grads["u"] = np.concatenate([m[0] for m in memory]).T @ dg.reshape(-1, 3 * n)
+            flat_da = da.reshape(-1, 3 * n)
+            grads["b"] = flat_da.sum(0)
+            # Only the vectors of words in the window have gradients: their sums, by one sort.
+            rows = x.ravel().astype(np.int16 if self.words < 1 << 15 else np.int32)
+            order = np.argsort(rows, kind="stable")
+            sorted_rows = rows[order]
+            starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+            touched = sorted_rows[starts].astype(np.int64)
+            self._adam("x", touched, np.add.reduceat(flat_da[order], starts, axis=0) / y.size, first, second, t, rate)
             for k, g in grads.items():
-                g /= y.size
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                self.p[k] += rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-6)
+                self._adam(k, slice(None), g / y.size, first, second, t, rate)
+
+    def _adam(self, name: str, at, g: np.ndarray, first: dict, second: dict, t: int, rate: float) -> None:
+        g = g.astype(np.float32, copy=False)
+        m = first[name][at] * np.float32(0.9) + np.float32(0.1) * g
+        v = second[name][at] * np.float32(0.99) + np.float32(0.01) * g * g
+        first[name][at], second[name][at] = m, v
+        self.p[name][at] += np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-6))
 
     def score(self, numbers: np.ndarray, first: np.ndarray, end: int, window: int = 64) -> np.ndarray:
         """Natural log-probability of every token, all texts in step."""
@@ -233,10 +248,15 @@ class Network:
         return out
 
 
+#: Weight vectors that one task adds up.
+FAN_IN = 32
+
+
 def _trained(docs: DataFrame, v: Vocabulary, net: Network, pick: Column) -> Network:
-    """One round: every task trains on its picked texts; weights are averaged by tokens, first in groups, then over the groups."""
+    """One round: every task trains on its picked texts; weights are averaged by tokens, in a tree whose groups hold FAN_IN of them."""
     shared = docs.sparkSession.sparkContext.broadcast((v, net))
     names = list(net.p)
+    schema = "part int, n long, weights binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shared.value
@@ -247,20 +267,27 @@ def _trained(docs: DataFrame, v: Vocabulary, net: Network, pick: Column) -> Netw
             own = Network.__new__(Network)
             own.__dict__.update(net.__dict__, p={k: a.copy() for k, a in net.p.items()})
             own.train(stream, end)
-            flat_ = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * len(stream)
-            yield pa.RecordBatch.from_arrays([pa.array([int(len(stream)) % 16], pa.int32()), pa.array([len(stream)]), pa.array([flat_.astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "weights"])
+            flat_ = np.concatenate([own.p[k].ravel() for k in names])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(stream)]), pa.array([flat_.tobytes()], pa.binary())], names=["part", "n", "weights"])
 
     def add(key, group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w, np.float32).astype(np.float64) for w in group["weights"])
-        return pd.DataFrame({"part": [int(key[0])], "n": [int(group["n"].sum())], "weights": [total.astype(np.float32).tobytes()]})
-
-    schema = "part int, n long, weights binary"
-    got = docs.filter(pick).select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(add, schema).collect()
+        n = group["n"].to_numpy()
+        mean = sum(np.frombuffer(w, np.float32).astype(np.float64) * (k / n.sum()) for w, k in zip(group["weights"], n, strict=True))
+        return pd.DataFrame({"part": [int(key[0])], "n": [int(n.sum())], "weights": [mean.astype(np.float32).tobytes()]})
+
+    rows = settled(docs.filter(pick).select("text").mapInArrow(run, schema))
+    tasks = rows.agg(F.max("part")).first()[0]
+    while tasks is not None and tasks > 0:
+        merged = settled(rows.groupBy(F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).applyInPandas(add, schema))
+        discard(rows)
+        rows, tasks = merged, tasks // FAN_IN
+    got = rows.collect()  # one row, or none
+    discard(rows)
     if got:
-        mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in got) / sum(r["n"] for r in got)
+        mean = np.frombuffer(got[0]["weights"], np.float32)
         at = 0
         for k in names:
-            net.p[k] = mean[at : at + net.p[k].size].reshape(net.p[k].shape).astype(np.float32)
+            net.p[k] = mean[at : at + net.p[k].size].reshape(net.p[k].shape).copy()
             at += net.p[k].size
     return net
 
