@@ -122,24 +122,40 @@ class Network:
         }
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """a: the inputs' vectors, with the bias."""
         n = self.hidden
-        a = self.p["x"][x] + self.p["b"]
         g = h @ self.p["u"]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
+        gates = a[:, : 2 * n] + g[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
+        c = r * g[:, 2 * n :]
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
         return c + z * (h - c), z, r, c, g[:, 2 * n :]
 
+    def _small(self) -> bool:
+        """Whether no output can be large: states lie between -1 and 1, so a logit is at most its bias and the sum of its weights."""
+        classes = np.abs(self.p["cb"]) + np.abs(self.p["cw"]).sum(0)
+        words = np.abs(self.p["wb"]) + np.abs(self.p["ww"]).sum(1)
+        return max(float(classes.max(initial=0)), float(words.max(initial=0))) < 60
+
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the next tokens (of the rare class for rare words), and the gradient with respect to h."""
         cls = np.where(y < self.words, y // self.width, self.classes)
-        logit = h @ self.p["cw"] + self.p["cb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        s = e.sum(1)
+        small = self._small()
+        logit = h @ self.p["cw"]
+        logit += self.p["cb"]
+        if not small:
+            logit -= logit.max(1, keepdims=True)
         rows = np.arange(len(y))
-        out = (logit[rows, cls] - np.log(s)).astype(np.float64)
+        own = logit[rows, cls]
+        e = np.exp(logit, out=logit)
+        s = e.sum(1)
+        out = (own - np.log(s)).astype(np.float64)
         dh = None
         if grads is not None:
             e /= -s[:, None]
@@ -147,25 +163,33 @@ class Network:
             grads["cw"] = h.T @ e
             grads["cb"] = e.sum(0)
             dh = e @ self.p["cw"].T
+        # Words of a class lie together: one product a class, all else in one go.
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                own = h[at]
-                logit = own @ self.p["ww"][k] + self.p["wb"][k]
-                logit -= logit.max(1, keepdims=True)
-                e = np.exp(logit)
-                s = e.sum(1)
-                word = y[at] - k * self.width
-                rows = np.arange(len(at))
-                out[at] += logit[rows, word] - np.log(s)
-                if grads is not None:
-                    e /= -s[:, None]
-                    e[rows, word] += 1
-                    grads["ww"][k] = own.T @ e
-                    grads["wb"][k] = e.sum(0) * (self.p["wb"][k] > -39)
-                    dh[at] += e @ self.p["ww"][k].T
+        order = order[: cut[-1]]
+        near, mine, word = h[order], cls[order], y[order] - cls[order] * self.width
+        logit = np.empty((len(order), self.width), np.float32)
+        used = np.flatnonzero(np.diff(cut)).tolist()
+        for k in used:
+            np.matmul(near[cut[k] : cut[k + 1]], self.p["ww"][k], out=logit[cut[k] : cut[k + 1]])
+        logit += self.p["wb"][mine]
+        if not small:
+            logit -= logit.max(1, keepdims=True)
+        rows = np.arange(len(order))
+        own = logit[rows, word]
+        e = np.exp(logit, out=logit)
+        s = e.sum(1)
+        out[order] += own - np.log(s)
+        if grads is not None:
+            e /= -s[:, None]
+            e[rows, word] += 1
+            back = np.empty_like(near)
+            for k in used:
+                at = slice(cut[k], cut[k + 1])
+                grads["ww"][k] = near[at].T @ e[at]
+                grads["wb"][k] = e[at].sum(0) * (self.p["wb"][k] > -39)
+                np.matmul(e[at], self.p["ww"][k].T, out=back[at])
+            dh[order] += back
         return out, dh
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 512, window: int = 24, steps: int = 100, rate: float = 0.02) -> None:
@@ -184,9 +208,10 @@ class Network:
             x, y = data[at : min(at + window, size - 1)], data[at + 1 : at + 1 + min(window, size - 1 - at)]
             going = (x != end).astype(np.float32)[:, :, None]
             memory, states = [], np.empty((len(x), lanes, n), np.float32)
-            for k, row in enumerate(x):
+            given = self.p["x"][x] + self.p["b"]
+            for k in range(len(x)):
                 h = h * going[k]
-                new, *gates = self.step(row, h)
+                new, *gates = self.step(given[k], h)
                 memory.append((h, *gates))
                 h = states[k] = new
             grads = {k: np.zeros_like(a) for k, a in self.p.items() if k != "x"}
@@ -224,8 +249,8 @@ class Network:
         first[name][at], second[name][at] = m, v
         self.p[name][at] += np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-6))
 
-    def score(self, numbers: np.ndarray, first: np.ndarray, end: int, window: int = 64) -> np.ndarray:
-        """Natural log-probability of every token, all texts in step."""
+    def score(self, numbers: np.ndarray, first: np.ndarray, end: int, together: int = 8192) -> np.ndarray:
+        """Natural log-probability of every token, all texts in step; outputs are computed for about `together` tokens at a time."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         start, size = first[:-1][order], size[order]
@@ -234,17 +259,21 @@ class Network:
         live = np.searchsorted(-size, -np.arange(steps), side="left")
         h = np.zeros((len(size), self.hidden), np.float32)
         x = np.full(len(size), end)
-        for at in range(0, steps, window):
+        vectors = self.p["x"] + self.p["b"]
+        at = 0
+        while at < steps:
+            upto = min(steps, at + max(8, min(512, together // int(live[at]))))
             states, places = [], []
-            for t in range(at, min(at + window, steps)):
+            for t in range(at, upto):
                 m = live[t]
                 place = start[:m] + t
-                h = self.step(x[:m], h[:m])[0]
+                h = self.step(vectors[x[:m]], h[:m])[0]
                 states.append(h)
                 places.append(place)
                 x = numbers[place]
             place = np.concatenate(places)
             out[place] = self.output(np.concatenate(states), numbers[place])[0]
+            at = upto
         return out
 
 
@@ -292,6 +321,36 @@ def _trained(docs: DataFrame, v: Vocabulary, net: Network, pick: Column) -> Netw
     return net
 
 
+def _by_length(batches: Iterator[pa.RecordBatch], long: int = 2048, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of rows with their tokens and where each text starts.  Texts of more than `long` tokens wait until there are `most` tokens of them,
+    as few texts in step cost as many steps as many do."""
+    rows: list[pa.RecordBatch] = []
+    waiting: list[np.ndarray] = []
+
+    def long_ones() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        return table, np.concatenate(waiting), np.r_[0, np.cumsum([len(w) for w in waiting])]
+
+    for part in slices(batches, "text", 12 << 20):
+        word, first = tokens(part.column("text"))
+        part = part.drop_columns(["text"])
+        over = np.diff(first) > long
+        if not over.any():
+            yield part, word, first
+            continue
+        keep = np.repeat(~over, np.diff(first))
+        if not over.all():
+            yield part.filter(pa.array(~over)), word[keep], np.r_[0, np.cumsum(np.diff(first)[~over])]
+        for k in np.flatnonzero(over).tolist():
+            rows.append(part.slice(k, 1))
+            waiting.append(word[first[k] : first[k + 1]].copy())
+            if sum(map(len, waiting)) >= most:
+                yield long_ones()
+                rows, waiting = [], []
+    if rows:
+        yield long_ones()
+
+
 def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: int = 2048, width: int = 32, hidden: int = 24, rounds: int = 3, share: float | None = None) -> DataFrame:
     """docs: doc_id, text.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     share: of the training texts in each round; all texts are in one of the rounds if it isn't given."""
@@ -309,9 +368,8 @@ def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shared.value
         end = int(v.number(np.array([END]))[0])
-        for part in slices(batches, "text", 6 << 20):
+        for part, word, first in _by_length(batches):
             n = part.num_rows
-            word, first = tokens(part.column("text"))
             owner, number, c = positions(first), v.number(word), v.known(word)
             total = lambda x: np.bincount(owner, x, n)
             log_c = np.log10(np.maximum(c, 0) + 1.0)
