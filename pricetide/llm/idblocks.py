@@ -12,9 +12,9 @@ tokenizer and writes them to files of whole documents, about `most` ids each.  A
 A block's width is the smallest that holds `percentile` of its offsets; what doesn't fit is an exception: its lower bits stay in the frame, the rest
 is patched in.  The block starts give any run of ids by reading its blocks alone.
 
-Spark writes the files, so any store that Spark reaches will do, and a lost task's files are never seen.  Encoding remembers, per task, the ids of runs of
-spaces and the word after them: both the pre-tokenizer's pattern and special strings never reach across a change from a word to a space, so such runs
-are encoded alone, by the library.  Runs of at most 64 bytes are told apart by 64-bit hashes; longer ones are encoded each time.
+Spark writes the files, so any store that Spark reaches will do, and a lost task's files are never seen.  Encoding remembers, per task, the ids of
+runs such as a space and the word after it, cut where neither the pre-tokenizer's pattern nor special strings ever reach across, so each run is encoded
+alone, by the library.  Runs of at most 64 bytes are told apart by 64-bit hashes; longer ones are encoded each time.
 
 Defined results: a null or empty text is the end id alone; null ids come first; repeated rows are written each; an empty table has no files, which read
 as no rows.  Very long texts are one document of one file, however long.
@@ -26,6 +26,7 @@ import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,22 @@ BLOCK = 256
 REMEMBERED = 64
 
 
+def _cell(width: int) -> str:
+    return "<u2" if width <= 16 else "<u4"
+
+
 def _wide(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of numbers as bytes, `width` bits each."""
-    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    kind = np.dtype(_cell(width))
+    bits = np.unpackbits(values.astype(kind).view(np.uint8), axis=1, bitorder="little").reshape(len(values), BLOCK, 8 * kind.itemsize)
+    return np.packbits(bits[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _narrow(rows: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    kind = np.dtype(_cell(width))
+    bits = np.zeros((len(rows), BLOCK, 8 * kind.itemsize), np.uint8)
+    bits[:, :, :width] = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view(kind)
 
 
 def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -148,19 +156,34 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+SPECIAL = b"<|endoftext|>"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, bool)  # ASCII that is no space, letter, digit, control or apostrophe
+_SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = True
+
+
 def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of runs of spaces with the word after them, and the number of the first of each text (with the end).
+    """Starts of runs that the pre-tokenizer never joins, and the number of the first of each text (with the end).
 
-    A run starts at each text and at an ASCII space after a byte that ends a word for certain: one that is no space, no control, and can't be the
-    end of a space beyond ASCII.
+    A run starts at each text, and
+    - at an ASCII space after a byte that ends a word for certain: one that is no space, no control, and can't be the end of a space beyond ASCII;
+    - after a single line feed or tab that such a run starts with, before an ASCII byte or a Latin letter;
+    - at a sign after a letter or digit, unless a special string is about (it mixes both).
     """
     head = np.zeros(len(data) + 1, bool)
-    if len(data):
+    if len(data) > 1:
         space = SPACES[data]
-        b1, b2 = data[:-1], np.r_[0, data[:-2]]
-        b3 = np.r_[0, 0, data[:-3]][: len(b1)]
+        b1, b2 = data[:-1], np.r_[np.uint8(0), data[:-2]]
+        b3 = np.r_[np.uint8(0), np.uint8(0), data[:-3]][: len(b1)]
         far = (b1 >= 0x80) & (((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE1) & (b2 == 0x9A)) | ((b3 == 0xE2) & (b2 <= 0x81)) | ((b3 == 0xE3) & (b2 == 0x80)))
-        head[1:-1] = space[1:] & ~space[:-1] & (b1 > 0x20) & (b1 != 0x7F) & ~far
+        opens = space[1:] & ~space[:-1] & (b1 > 0x20) & (b1 != 0x7F) & ~far
+        head[1:-1] = opens
+        plain = (data > 0x20) & (data < 0x7F) | (data == 0xC3)
+        head[2:-1] |= opens[:-1] & (data[1:-1] != 0x20) & plain[2:]
+        if data.tobytes().find(SPECIAL) < 0:
+            latin = (b2 == 0xC3) & (b1 >= 0x80) & (b1 != 0x97) & (b1 != 0xB7)
+            head[1:-1] |= _SIGN[data[1:]] & (_LETTER[b1] | ((b1 >= 0x30) & (b1 <= 0x39)) | latin)
     head[off] = True
     head[-1] = False
     start = np.flatnonzero(head)
@@ -168,28 +191,31 @@ def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts, remembering a bounded number of runs by their hashes."""
+    """Encodes texts, remembering a bounded number of runs by their hashes: when there are too many, those met again since the last time stay."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 400_000):
         self.t, self.most = _tokenizer(path), remember
-        self.forget()
+        self.known, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.at, self.size, self.again = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
 
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def _forget(self) -> None:
+        keep = self.again if 2 * self.again.sum() <= self.most else np.zeros(len(self.known), bool)
+        at, size = self.at[keep], self.size[keep]
+        self.known, self.size, self.again = self.known[keep], size, np.zeros(len(size), bool)
+        self.ids = self.ids[_places(at, size)]
+        self.at = np.cumsum(size, dtype=np.int64) - size
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.t.encode(t, add_special_tokens=False).ids for t in texts]
+        return [x.ids for k in range(0, len(texts), 4096) for x in self.t.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
 
     def _learn(self, new: np.ndarray, texts: list[str]) -> None:
         got = self._encode(texts)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *(np.array(g, np.uint32) for g in got)])
-        known = np.r_[self.known, new]
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], np.r_[self.at, at][order], np.r_[self.size, size][order]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        at = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        place = np.searchsorted(self.known, new)
+        self.known, self.at, self.size = np.insert(self.known, place, new), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.again = np.insert(self.again, place, False)
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's ids stop."""
@@ -199,26 +225,35 @@ class Encoder:
         raw = data.tobytes()
         short = end - start <= REMEMBERED
         if len(self.known) > self.most:
-            self.forget()
+            self._forget()
         key = hashes(data, start, end)
         here, where = np.unique(key[short], return_index=True)
-        new = here[~np.isin(here, self.known, assume_unique=True)]
+        place = np.minimum(np.searchsorted(self.known, here), max(len(self.known) - 1, 0))
+        met = self.known[place] == here if len(self.known) else np.zeros(len(here), bool)
+        self.again[place[met]] = True
+        new = here[~met]
         if len(new):
             where = np.flatnonzero(short)[where[np.searchsorted(here, new)]]
             self._learn(new, [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
         place = np.minimum(np.searchsorted(self.known, key), max(len(self.known) - 1, 0))
-        at, size = (self.at[place], self.size[place]) if len(self.known) else (np.zeros(len(key), np.int64), np.zeros(len(key), np.int64))
+        at, size = (self.at[place], self.size[place].astype(np.int64)) if len(self.known) else (np.zeros(len(key), np.int64), np.zeros(len(key), np.int64))
         ids = self.ids
         if not short.all():
             long = np.flatnonzero(~short)
             got = self._encode([raw[a:b].decode() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
             size[long] = [len(g) for g in got]
             at[long] = len(ids) + np.cumsum(size[long]) - size[long]
-            ids = np.concatenate([ids, *(np.array(g, np.uint32) for g in got)])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size[long].sum()))])
         stops = np.r_[0, np.cumsum(size)]
         return ids[_places(at, size)], stops[first][1:]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks that a worker process runs one after another: what is remembered never changes a result."""
+    return Encoder(path)
+
+
 def write_ids(df: DataFrame, tokenizer_path: str, path: str, name: str = "doc_id", text: str = "text", end: int = 0, most: int = 1 << 20, percentile: float = 0.9) -> None:
     """Write the ids of every text, each followed by the end id, to files below a new path, in the order of name.  Other columns aren't written."""
     # The place tells repeated rows apart, so that a group of any size spreads over ranges.
@@ -226,7 +261,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, name: str = "doc_id
     ordered = rows.repartitionByRange(F.col("name").asc_nulls_first(), "hash", "place").sortWithinPartitions(F.col("name").asc_nulls_first(), "hash", "place").select("name", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, number = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         runs: list[np.ndarray] = []
 
@@ -234,7 +269,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, name: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array([file_of(part, number, names, runs, percentile)], pa.binary())], names=["content"])
 
         held = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             ids, stops = encoder.batch(batch.column(batch.schema.get_field_index("text")))
             for key, a, b in zip(batch.column(0).to_pylist(), np.r_[0, stops[:-1]].tolist(), stops.tolist(), strict=True):
                 names.append(key)
