@@ -47,6 +47,8 @@ class Vocabulary:
     def __post_init__(self):
         order = np.argsort(self.model, kind="stable")
         self.model_sorted, self.model_rank = self.model[order], order
+        # The number of each held word's vector, so that one look-up tells count and number; all modelled words are held.
+        self.numbers = self.number(self.hashes)
         self.rare_tokens = self.tokens - int(self.model_counts.sum())
         self.rare_distinct = self.distinct - len(self.model)
 
@@ -54,6 +56,14 @@ class Vocabulary:
         """Count of each word, -1 if it isn't held."""
         return _look(self.hashes, self.counts, h)
 
+    def both(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """known and number."""
+        if not len(self.hashes):
+            return np.full(len(h), -1), np.full(len(h), len(self.model))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        return np.where(hit, self.counts[at], -1), np.where(hit, self.numbers[at], len(self.model))
+
     def number(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's vector; len(model) for all others."""
         got = _look(self.model_sorted, self.model_rank, h)
@@ -218,7 +228,8 @@ class Network:
             _, dh_all = self.output(states.reshape(-1, n), y.ravel(), grads)
             dh_all = dh_all.reshape(len(x), lanes, n)
             back = np.zeros_like(h)
-            da, dg = np.empty((len(x), lanes, 3 * n), np.float32), np.empty((len(x), lanes, 3 * n), np.float32)
+            da, dg = np.empty((len(x), lanes, 3 * n), np.float32), np.empty((len(x), lanes, n), np.float32)
+            turned = np.ascontiguousarray(self.p["u"].T)
             for k in range(len(x) - 1, -1, -1):
                 prev, z, r, c, g = memory[k]
                 dh = dh_all[k] + back
@@ -226,11 +237,10 @@ class Network:
                 da[k, :, :n] = dh * (prev - c) * z * (one - z)
                 da[k, :, n : 2 * n] = dc * g * r * (one - r)
                 da[k, :, 2 * n :] = dc
-                dg[k, :, : 2 * n] = da[k, :, : 2 * n]
-                dg[k, :, 2 * n :] = dc * r
-                back = (dg[k] @ self.p["u"].T + dh * z) * going[k]
-            grads["u"] = np.concatenate([m[0] for m in memory]).T @ dg.reshape(-1, 3 * n)
-            flat_da = da.reshape(-1, 3 * n)
+                np.multiply(dc, r, out=dg[k])
+                back = (da[k, :, : 2 * n] @ turned[: 2 * n] + dg[k] @ turned[2 * n :] + dh * z) * going[k]
+            flat_da, before = da.reshape(-1, 3 * n), np.concatenate([m[0] for m in memory]).T
+            grads["u"] = np.concatenate([before @ flat_da[:, : 2 * n], before @ dg.reshape(-1, n)], axis=1)
             grads["b"] = flat_da.sum(0)
             # Only the vectors of words in the window have gradients: their sums, by one sort.
             rows = x.ravel().astype(np.int16 if self.words < 1 << 15 else np.int32)
@@ -249,7 +259,7 @@ class Network:
         first[name][at], second[name][at] = m, v
         self.p[name][at] += np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-6))
 
-    def score(self, numbers: np.ndarray, first: np.ndarray, end: int, together: int = 8192) -> np.ndarray:
+    def score(self, numbers: np.ndarray, first: np.ndarray, end: int, together: int = 16_384) -> np.ndarray:
         """Natural log-probability of every token, all texts in step; outputs are computed for about `together` tokens at a time."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
@@ -370,7 +380,7 @@ def score(docs: DataFrame, held_out: Column, *, held: int = 1 << 18, modelled: i
         end = int(v.number(np.array([END]))[0])
         for part, word, first in _by_length(batches):
             n = part.num_rows
-            owner, number, c = positions(first), v.number(word), v.known(word)
+            owner, (c, number) = positions(first), v.both(word)
             total = lambda x: np.bincount(owner, x, n)
             log_c = np.log10(np.maximum(c, 0) + 1.0)
             rare, tail = number == len(v.model), c < 0
