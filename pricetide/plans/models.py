@@ -238,7 +238,8 @@ def growth_support(spark, sf_dir):
             except ValueError:
                 continue
             parts.append(ops.growth_support(split).withColumns({"ask": F.lit(ask), "horizon_months": F.lit(horizon)}))
-    return tidy(ops.union(parts))
+    none = spark.createDataFrame([], "part string, rows long, origins long, ask string, horizon_months int")
+    return tidy(ops.union([none, *parts]))
 
 
 @query("ml7_fit_growth")
@@ -254,8 +255,12 @@ def fit_growth(spark, sf_dir):
         now = snap.where(F.col("origin") == origin).withColumn("horizon_months", F.lit(horizon))
         return durable(evaluation.rank_candidates(model.transform(now), ["origin", "horizon_months"], "p50"))
 
-    found = [r for r in ops.at_once(ranked, [(o, h) for o in GROWTH_ORIGINS for h in HORIZONS]) if r is not None]
-    return tidy(ops.union(found).select("origin", "horizon_months", "key", "p10", "p50", "p90", "rank", "top_percent"))
+    names = ["origin", "horizon_months", "key", "p10", "p50", "p90", "rank", "top_percent"]
+    found = [r.select(*names) for r in ops.at_once(ranked, [(o, h) for o in GROWTH_ORIGINS for h in HORIZONS]) if r is not None]
+    if not found:
+        kinds = "origin date, horizon_months int, key string, p10 double, p50 double, p90 double, rank long, top_percent double"
+        return tidy(spark.createDataFrame([], kinds))
+    return tidy(ops.union(found))
 
 
 # Regions are blocks; their neighbours are those next to them in this order.
@@ -305,8 +310,9 @@ def origin_grid(spark, sf_dir):
 @query("ml8_evaluate_origins")
 def evaluate_origins(spark, sf_dir):
     panel = durable(label_panel(spark, sf_dir))
-    results, _ = ops.evaluate_origins(panel, AS_OF, neighbours(spark), min_rows=MIN_ROWS, trees=REPEATED)
-    return tidy(results)
+    results, grid = ops.evaluate_origins(panel, AS_OF, neighbours(spark), min_rows=MIN_ROWS, trees=REPEATED)
+    # Without any cell to fit, the grid with its reasons is what there is to tell.
+    return tidy(grid if results is None else results)
 
 
 GROUPS = {"price_history": ["prior_price", "last_price"], "siblings": ["sibling_price"], "peers": ["matched_peer", "prior_peer"]}
