@@ -69,16 +69,21 @@ def observable(df: DataFrame, as_of: str | Column) -> DataFrame:
 
 
 def latest_vintage(df: DataFrame, as_of: str, keys: Sequence[str] = ("series_id", "period"),
-                   tie: Sequence[str] = ("value",)) -> DataFrame:
+                   tie: Sequence[str] = ("value",), levels: bool = True) -> DataFrame:
     """The newest published value of each series and period at ``as_of``.
 
     Equal publication instants are resolved by the largest tie columns.
+    ``levels`` says that values are index levels, which must be positive;
+    otherwise any number counts, and a missing one is not published.
     """
     seen = observable(df, as_of)
     positive = F.when(F.col("value") > 0, F.col("value")).otherwise(
         F.raise_error(F.lit("index levels must be positive")).cast("double")
     )
-    newest = F.max(F.struct("available_at", *tie, *[c for c in df.columns if c not in (*keys, "available_at", *tie)]))
+    row = F.struct("available_at", *tie, *[c for c in df.columns if c not in (*keys, "available_at", *tie)])
+    if not levels:
+        return seen.groupBy(*keys).agg(F.max(F.when(F.col("value").isNotNull(), row)).alias("_n")).select(*keys, "_n.*")
+    newest = F.max(row)
     return seen.withColumn("value", positive).groupBy(*keys).agg(newest.alias("_n")).select(*keys, "_n.*")
 
 
