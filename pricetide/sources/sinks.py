@@ -14,14 +14,14 @@ ROWS_PER_FILE = 100_000
 
 
 def write_canonical(canonical: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Canonical JSON records by kind, province and contract year; a hot partition becomes many files, not one task.
+    """Canonical JSON records, gzipped, by kind, province and contract year; a hot partition becomes many files, not one task.
 
     Records without a province or date land in their own partitions.
     """
     keyed = canonical.withColumns(
         {"sido": F.coalesce("address.sido", F.lit("unresolved")), "year": F.coalesce(F.year("contract_date").cast("string"), F.lit("unknown"))}
     )
-    keyed.write.mode("errorifexists").partitionBy("kind", "sido", "year").option("maxRecordsPerFile", rows_per_file).json(path)
+    keyed.write.mode("errorifexists").partitionBy("kind", "sido", "year").option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").json(path)
 
 
 def write_trades(dashboard: DataFrame, path: str) -> None:
