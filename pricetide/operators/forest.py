@@ -13,58 +13,62 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil, log2
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from pricetide.session import durable
 
 
 @dataclass
 class QuantileForest:
-    """``edges``: ends of the cells; ``shares``: one row, shares[tree][leaf][cell] = part of the leaf's rows up to the cell's end."""
+    """``edges``: ends of the cells; leaf_shares[tree][leaf][cell] = part of the leaf's rows up to the cell's end."""
 
     forest: RandomForestRegressionModel
     edges: list[float]
-    shares: DataFrame
+    leaf_shares: list[list[list[float]]]
 
     def transform(self, df: DataFrame, levels: Mapping[str, float], prefix: str = "_q_") -> DataFrame:
-        """One column per level.  Levels never cross: all are read off the same rising curve."""
-        cells = len(self.edges) - 1
-        rows = self.forest.transform(df).withColumn("_leaves", vector_to_array("_leaf")).withColumn("_one", F.lit(1))
-        # One row of trees × leaves × cells numbers.
-        rows = rows.join(F.broadcast(self.shares), "_one").drop("_one", "_leaf", "_f")
-        of_leaf = F.zip_with("_leaves", "_shares", lambda leaf, tree: tree[leaf.cast("int")])
-        rows = rows.withColumn("_curves", of_leaf).drop("_leaves", "_shares")
-        edge = lambda i: F.array(*[F.lit(e) for e in self.edges])[i]
-        trees = self.forest.getNumTrees
-
-        def share(cell: Column) -> Column:
-            return F.aggregate("_curves", F.lit(0.0), lambda s, c: s + c[cell]) / trees
-
-        steps = F.sequence(F.lit(1), F.lit(max(1, ceil(log2(max(cells, 2))))))
-        def halved(q: float) -> Column:
-            """The first cell whose share reaches q."""
-            def step(s: Column, _: Column) -> Column:
-                middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-                lower = F.struct(s["low"].alias("low"), middle.alias("high"))
-                upper = F.struct(F.least(middle + 1, s["high"]).alias("low"), s["high"].alias("high"))
-                return F.when(share(middle) >= q - 1e-9, lower).otherwise(upper)
-
-            return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(cells - 1).alias("high")), step)["high"]
-
-        for name, q in levels.items():
-            rows = rows.withColumn("_cell", halved(q))
-            below = F.when(F.col("_cell") > 0, share(F.col("_cell") - 1)).otherwise(0.0)
-            rows = rows.withColumns({"_below": below, "_upto": share(F.col("_cell"))})
-            part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.lit(q) - F.col("_below"), F.col("_upto") - F.col("_below")), F.lit(0.0))))
-            rows = rows.withColumn(f"{prefix}{name}", edge(F.col("_cell")) + part * (edge(F.col("_cell") + 1) - edge(F.col("_cell"))))
-            rows = rows.drop("_cell", "_below", "_upto")
-        return rows.drop("_curves")
+        """One column per level.  Levels never cross: all are read off the same rising curve.
+
+        Rows are scored in Arrow batches against one copy of the shares a worker; a row carries its leaf numbers only.
+        """
+        edges, top = np.array(self.edges), max(len(tree) for tree in self.leaf_shares)
+        cells, trees = len(edges) - 1, len(self.leaf_shares)
+        shares = np.zeros((trees, top, cells))
+        for k, tree in enumerate(self.leaf_shares):
+            shares[k, : len(tree)] = tree
+        asked = list(levels.values())
+
+        def read_off(leaves):
+            import pandas as pd
+
+            parts = []
+            for start in range(0, len(leaves), 2000):
+                leaf = np.stack(leaves.iloc[start : start + 2000]).astype(np.int64)
+                curve = np.zeros((len(leaf), cells))
+                for k in range(trees):
+                    curve += shares[k][leaf[:, k]]
+                curve /= trees
+                at, found = np.arange(len(leaf)), []
+                for q in asked:
+                    reached = curve >= q - 1e-9
+                    cell = np.where(reached.any(1), reached.argmax(1), cells - 1)
+                    below = np.where(cell > 0, curve[at, cell - 1], 0.0)
+                    step = curve[at, cell] - below
+                    part = np.clip(np.divide(q - below, step, out=np.zeros(len(leaf)), where=step != 0), 0.0, 1.0)
+                    found.append(edges[cell] + part * (edges[cell + 1] - edges[cell]))
+                parts.extend(np.stack(found, 1).tolist())
+            return pd.Series(parts, dtype=object)
+
+        quantiles = F.pandas_udf(read_off, "array<double>", PandasUDFType.SCALAR)
+        rows = self.forest.transform(df).withColumn("_found", quantiles(vector_to_array("_leaf"))).drop("_leaf", "_f")
+        return rows.withColumns({f"{prefix}{name}": F.col("_found")[i] for i, name in enumerate(levels)}).drop("_found")
 
 
 def _grid(rows: DataFrame, cells: int) -> list[float]:
@@ -100,5 +104,5 @@ def fit(rows: DataFrame, trees: int = 120, depth: int = 5, min_rows: int = 100,
     # Leaves are numbered from 0; a number without training rows shares nothing.
     none = F.array_repeat(F.lit(0.0), n)
     tree = tree.select("tree", F.transform(F.sequence(F.lit(0), F.col("_top")), lambda k: F.coalesce(F.col("_l")[k], none)).alias("leaves"))
-    shares = tree.agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "leaves"))), lambda t: t["leaves"]).alias("_shares"))
-    return QuantileForest(forest, edges, durable(shares.withColumn("_one", F.lit(1))))
+    # Model parameters: trees × leaves × cells numbers, whatever the number of rows.
+    return QuantileForest(forest, edges, [r["leaves"] for r in tree.orderBy("tree").collect()])

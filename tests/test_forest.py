@@ -78,3 +78,10 @@ def test_halves_hold_whole_groups_and_radii_come_from_the_other(rows):
     errors = np.sort([abs(r["target"] - r["prediction"]) / np.sqrt(1 + 2 / 5) for r in calibration.collect()])
     n = len(errors)
     assert radius["n"] == n and abs(radius["radius"] - errors[int(np.ceil((n + 1) * 0.8)) - 1]) < 1e-9
+
+
+def test_rows_are_scored_without_the_shares_beside_them(rows):
+    """Trees × leaves × cells numbers once joined every scored row."""
+    inputs = VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(rows).withColumn("_y", F.col("actual"))
+    out = forest.fit(inputs, trees=3, depth=3, min_rows=40).transform(inputs, LEVELS)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
