@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
-from pricetide.operators.stats import Quantile, leave_one_out_median, median, quantiles, ranked_within
-from pricetide.session import durable
+from pricetide.operators.stats import Quantile, crowded, leave_one_out_median, median, median_of, quantiles_of, ranked_within
+from pricetide.session import durable, stored
 
 MIN_TRADES = 3
 MIN_OTHER_COMPLEXES = 5
@@ -43,17 +43,19 @@ def lookback(trades: DataFrame, law: str | None, first: str, last: str, every: i
 def price_snapshot(trades: DataFrame, law: str | None, first: str, last: str, regime: str = "historical_policy",
                    window: int = 180, every: int = 6, phase: int = 0) -> DataFrame:
     """Types with at least 3 visible trades in the entry window of each origin, and their signals."""
+    crowd = crowded(trades, ["key"])
     rows = lookback(trades, law, first, last, every, phase)
     keys = ["origin", "key"]
-    entry = (F.col("back") < window).cast("double")
-    half = (F.col("back") < 180).cast("double")
-    prior = F.col("back").between(180, 359).cast("double")
-    levels = quantiles(
+    entry = (F.col("back") < window).cast("int")
+    half = (F.col("back") < 180).cast("int")
+    prior = F.col("back").between(180, 359).cast("int")
+    levels = quantiles_of(
         rows,
         keys,
         "log_price",
         {"entry": Quantile(0.5, "entry"), "_half": Quantile(0.5, "half"), "_prior": Quantile(0.5, "prior")},
         {"entry": entry, "half": half, "prior": prior},
+        crowd,
     ).where(F.col("total_entry") >= MIN_TRADES)
     counts = rows.groupBy(*keys).agg(
         F.first("cutoff").alias("cutoff"),
@@ -84,7 +86,7 @@ def price_snapshot(trades: DataFrame, law: str | None, first: str, last: str, re
         .drop("_half", "_prior", "_last")
     )
     # One row per origin and type, read several times below and by callers.
-    return peer_relative(durable(snap))
+    return peer_relative(stored(snap))
 
 
 def peer_relative(snap: DataFrame, scope: Sequence[str] = ("origin", "peer")) -> DataFrame:
@@ -110,9 +112,10 @@ def dispersion(trades: DataFrame, snap: DataFrame, law: str | None, first: str,
     """Adds lower/upper spread, active days and median floor of the 180-day entry window."""
     rows = lookback(trades, law, first, last, every).where(F.col("back") < 180)
     keys = ["origin", "key"]
-    tails = quantiles(rows, keys, "log_price", {"_p10": Quantile(0.1), "_p90": Quantile(0.9)}).select(*keys, "_p10", "_p90")
+    crowd = crowded(trades, ["key"])
+    tails = quantiles_of(rows, keys, "log_price", {"_p10": Quantile(0.1), "_p90": Quantile(0.9)}, crowd=crowd).select(*keys, "_p10", "_p90")
     days = rows.groupBy(*keys).agg(F.count_distinct("date").alias("active_days"))
-    floors = median(rows, keys, "floor", "median_floor").select(*keys, "median_floor")
+    floors = median_of(rows, keys, "floor", "median_floor", crowd).select(*keys, "median_floor")
     return (
         snap.join(tails, keys, "left")
         .join(days, keys, "left")
@@ -153,7 +156,8 @@ def loo_benchmark(panel: DataFrame, scope: Sequence[str] = ("origin", "horizon_m
     leave-one-out median is read off three order statistics of the peer group.
     """
     scope = list(scope)
-    measured = median(panel, [*scope, "complex"], value, "_growth").select(*scope, "complex", "_growth")
+    panel = stored(panel)
+    measured = median_of(panel, [*scope, "complex"], value, "_growth", crowded(panel, ["complex"])).select(*scope, "complex", "_growth")
     complexes = panel.select(*scope, "complex").distinct().join(measured, [*scope, "complex"], "left")
     bench = leave_one_out_median(complexes, scope, "_growth", out, MIN_OTHER_COMPLEXES)
     return panel.join(bench.select(*scope, "complex", out), [*scope, "complex"], "left")
@@ -162,11 +166,12 @@ def loo_benchmark(panel: DataFrame, scope: Sequence[str] = ("origin", "horizon_m
 def _outcomes(trades, snap, horizons, window_months, start_inclusive, law, first, last, every, phase):
     keys = ["origin", "horizon_months", "key"]
     exit_rows = exits(trades, horizons, window_months, start_inclusive, first, last, every, phase)
-    values = median(exit_rows, keys, "log_price", "exit").withColumnRenamed("n", "exit_n")
+    # A type's trades serve several windows of several horizons, but each window once.
+    values = median_of(exit_rows, keys, "log_price", "exit", crowded(trades, ["key"])).withColumnRenamed("n", "exit_n")
     panel = snap.withColumn("horizon_months", F.explode(F.array(*[F.lit(h) for h in horizons])))
     panel = panel.join(values, keys, "left").fillna(0, subset=["exit_n"])
     panel = panel.withColumn("growth", F.when(F.col("exit_n") >= MIN_TRADES, F.col("exit") - F.col("entry")))
-    panel = loo_benchmark(durable(panel)).withColumn("target", F.col("growth") - F.col("benchmark"))
+    panel = loo_benchmark(panel).withColumn("target", F.col("growth") - F.col("benchmark"))
     end = F.add_months("origin", F.col("horizon_months"))
     start = F.add_months(end, -window_months)
     opening = start if start_inclusive else F.date_add(start, 1)

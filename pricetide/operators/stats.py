@@ -302,6 +302,12 @@ def median(df: DataFrame, groups: Sequence[str], value: str | Column, out: str =
     return stats.select(*groups, F.col("total_one").cast("long").alias("n"), out)
 
 
+def median_of(df: DataFrame, groups: Sequence[str], value: str | Column, out: str, crowd: DataFrame | None) -> DataFrame:
+    """:func:`median` where ``crowd`` names the groups that no task may order; see :func:`quantiles_of`."""
+    stats = quantiles_of(df, groups, value, {out: Quantile(0.5)}, crowd=crowd)
+    return stats.select(*groups, F.col("total_one").cast("long").alias("n"), out)
+
+
 def leave_one_out_median(
     df: DataFrame, group: Sequence[str], value: str, out: str, min_others: int = 1
 ) -> DataFrame:

@@ -229,7 +229,7 @@ SELECT CAST(ask AS VARCHAR) AS ask, CAST(horizon_months AS BIGINT) AS horizon_mo
     ),
 )
 def growth_support(spark, sf_dir):
-    panel = durable(label_panel(spark, sf_dir))
+    panel = label_panel(spark, sf_dir)
     parts = []
     for ask in GROWTH_ORIGINS:
         for horizon in HORIZONS:
@@ -244,7 +244,7 @@ def growth_support(spark, sf_dir):
 
 @query("ml7_fit_growth")
 def fit_growth(spark, sf_dir):
-    panel, snap = durable(label_panel(spark, sf_dir)), durable(snapshot(spark, sf_dir))
+    panel, snap = label_panel(spark, sf_dir), durable(snapshot(spark, sf_dir))
 
     def ranked(cell):
         origin, horizon = cell
@@ -309,7 +309,7 @@ def origin_grid(spark, sf_dir):
 
 @query("ml8_evaluate_origins")
 def evaluate_origins(spark, sf_dir):
-    panel = durable(label_panel(spark, sf_dir))
+    panel = label_panel(spark, sf_dir)
     results, grid = ops.evaluate_origins(panel, AS_OF, neighbours(spark), min_rows=MIN_ROWS, trees=REPEATED)
     # Without any cell to fit, the grid with its reasons is what there is to tell.
     return tidy(grid if results is None else results)

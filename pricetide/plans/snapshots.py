@@ -8,6 +8,7 @@ from pricetide.operators import leases as lease_ops
 from pricetide.operators import snapshot as ops
 from pricetide.plans.history import tidy
 from pricetide.plans.registry import query
+from pricetide.session import stored
 from pricetide.sources.domain import LAW_CHANGE, clean, table, with_trades
 
 FIRST, LAST = "1996-01-01", "2001-07-01"
@@ -36,11 +37,13 @@ snap AS (SELECT s0.*, entry - median(entry) OVER w AS relative_level, median(mom
 
 
 def trades(spark, sf_dir):
-    return clean(spark, sf_dir).where(F.col("floor").between(3, 50))
+    """Read several times by each query: the joins of the tables run once."""
+    rows = clean(spark, sf_dir).where(F.col("floor").between(3, 50))
+    return stored(rows.select("key", "complex", "gu", "area", "built", "peer", "date", "price", "floor", "log_price"))
 
 
-def snapshot(spark, sf_dir):
-    return ops.price_snapshot(trades(spark, sf_dir), LAW_CHANGE, FIRST, LAST)
+def snapshot(spark, sf_dir, rows=None):
+    return ops.price_snapshot(trades(spark, sf_dir) if rows is None else rows, LAW_CHANGE, FIRST, LAST)
 
 
 @query(
@@ -69,7 +72,8 @@ FROM snap JOIN past USING (origin, key) WHERE back < 180 GROUP BY snap.origin, k
     ),
 )
 def dispersion(spark, sf_dir):
-    out = ops.dispersion(trades(spark, sf_dir), snapshot(spark, sf_dir), LAW_CHANGE, FIRST, LAST)
+    rows = trades(spark, sf_dir)
+    out = ops.dispersion(rows, snapshot(spark, sf_dir, rows), LAW_CHANGE, FIRST, LAST)
     return tidy(out.select("origin", "key", "lower_spread", "upper_spread", "active_days", "median_floor"))
 
 
@@ -117,7 +121,8 @@ LABEL_COLUMNS = """CAST(origin AS VARCHAR) AS origin, key, CAST(horizon_months A
 
 
 def label_panel(spark, sf_dir, horizons=HORIZONS):
-    return ops.labels(trades(spark, sf_dir), snapshot(spark, sf_dir), horizons, LAW_CHANGE, FIRST, LAST)
+    rows = trades(spark, sf_dir)
+    return stored(ops.labels(rows, snapshot(spark, sf_dir, rows), horizons, LAW_CHANGE, FIRST, LAST))
 
 
 @query("ag12_exit_labels", with_trades(SNAP + panel_sql(HORIZONS, 6, True) + f"SELECT {LABEL_COLUMNS} FROM panel"))
@@ -138,7 +143,8 @@ def exit_labels(spark, sf_dir):
     ),
 )
 def path_labels(spark, sf_dir):
-    out = ops.path_labels(trades(spark, sf_dir), snapshot(spark, sf_dir), PATH, LAW_CHANGE, FIRST, LAST)
+    rows = trades(spark, sf_dir)
+    out = ops.path_labels(rows, snapshot(spark, sf_dir, rows), PATH, LAW_CHANGE, FIRST, LAST)
     return tidy(
         out.select(
             "origin", "key", "horizon_months", "exit_n", "exit", "growth", "benchmark", "target", "label_available",
@@ -177,7 +183,8 @@ FROM o GROUP BY origin, horizon_months"""
     ),
 )
 def observation_counts(spark, sf_dir):
-    return tidy(ops.observation_counts(trades(spark, sf_dir), snapshot(spark, sf_dir), PATH, FIRST, LAST))
+    rows = trades(spark, sf_dir)
+    return tidy(ops.observation_counts(rows, snapshot(spark, sf_dir, rows), PATH, FIRST, LAST))
 
 
 @query(
@@ -414,7 +421,7 @@ def vintages(spark, sf_dir):
 FROM v WHERE available_at <= TIMESTAMP '2024-01-20' GROUP BY series_id, period""",
 )
 def latest_vintage(spark, sf_dir):
-    out = lease_ops.latest_vintage(vintages(spark, sf_dir), "2024-01-20", tie=("event_id",))
+    out = lease_ops.latest_vintage(vintages(spark, sf_dir), "2024-01-20", tie=("event_id",), levels=False)
     return out.select("series_id", "period", "value")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide.operators import annual, history, leases, snapshot
+from pricetide.operators.stats import median_of
 
 SCHEMA = "key string, complex string, peer string, gu string, area double, built int, floor double, date date, price double"
 
@@ -149,3 +150,26 @@ def test_sibling_anchor_equals_brute_force(spark):
         expected = best[1] if best else None
         value = got[(me[3], me[7])]
         assert (value is None) == (expected is None) and (value is None or abs(value - expected) < 1e-12)
+
+
+def test_newest_values_that_are_no_levels_may_be_zero(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("s", "1", at, 5.0, 1), ("s", "1", at, 0.0, 2), ("s", "1", at, None, 3), ("s", "2", at, None, 4), ("s", "2", dt.datetime(2024, 3, 1), 7.0, 5)]
+    df = spark.createDataFrame(rows, "series_id string, period string, available_at timestamp, value double, event_id long")
+    got = {r["period"]: r["value"] for r in leases.latest_vintage(df, "2024-01-20", tie=("event_id",), levels=False).collect()}
+    assert got == {"1": 0.0, "2": None}
+    with pytest.raises(Exception, match="must be positive"):
+        leases.latest_vintage(df, "2024-01-20", tie=("event_id",)).collect()
+
+
+def test_small_groups_take_one_shuffle(spark):
+    """Levels of the snapshot and outcomes of its types: nothing is counted by value and joined again."""
+    days = [dt.date(2010, 1, 5) + dt.timedelta(d) for d in range(0, 300, 7)]
+    rows = [(f"c{k}|60", f"c{k}", "g", 60.0, 2000.0, d, 100.0 + k, 5.0, 4.0 + 0.01 * k + 0.001 * i) for k in range(4) for i, d in enumerate(days)]
+    t = spark.createDataFrame(rows, "key string, complex string, gu string, area double, built double, date date, price double, floor double, log_price double")
+    exits = snapshot.exits(t, (12,), 6, True, "2009-01-01", "2010-01-01")
+    plan = median_of(exits, ["origin", "horizon_months", "key"], "log_price", "exit", None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    hot = spark.createDataFrame([("c0|60",)], "key string")
+    both = [sorted(map(tuple, median_of(exits, ["origin", "horizon_months", "key"], "log_price", "exit", crowd).collect())) for crowd in (None, hot)]
+    assert both[0] == both[1] and len(both[0]) > 0
