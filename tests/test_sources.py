@@ -199,3 +199,21 @@ def test_other_charsets_need_a_session_that_allows_them(spark, folder):
             readers.read_export(spark, folder, "sale", "x-windows-949")
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def test_lines_of_plain_files_stay_where_they_are(spark, folder):
+    with open(os.path.join(folder, "plain.csv"), "w") as f:
+        f.write('"a","b"\n"1","x ""y"""\n')
+    plain = readers._records(spark, folder, "UTF-8")
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    with open(os.path.join(folder, "several.csv"), "w") as f:
+        f.write('"a","b"\n"1","x\ny"\n"2",""\n')
+    got = [r["cells"] for r in readers._records(spark, folder, "UTF-8").orderBy("file", "_block", "_line").collect()]
+    assert got == [["a", "b"], ["1", 'x "y"'], ["a", "b"], ["1", "x\ny"], ["2", ""]]
+
+
+def test_canonical_records_are_compressed(spark, tmp_path):
+    rows = canonical(spark, [{"lot": "12"}])
+    sinks.write_canonical(rows, str(tmp_path / "out"))
+    files = [f for _, _, fs in os.walk(tmp_path / "out") for f in fs if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
