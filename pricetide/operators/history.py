@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
-from pricetide.operators.stats import Quantile, crowded, quantiles, quantiles_of, quantiles_with
-from pricetide.session import durable
+from pricetide.operators.stats import Quantile, crowded, quantiles, quantiles_of, quantiles_with, value_bin
+from pricetide.session import stored
 
 HALF_LIVES = (30, 60, 90, 180)
 WINDOWS = (30, 90, 180, 365)
@@ -25,6 +25,8 @@ HORIZON_DAYS = 365
 # Recency weights are counted in whole units of 1e-9, so their sums, and with
 # them the "reaches half of the total" test, do not depend on row order.
 WEIGHT_UNIT = 1e9
+# Trades that one task copies to their origins.
+TRADES_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,11 +45,12 @@ class Lag:
         return cal.available_date(date, self.law_change)
 
 
-def history_join(trades: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0) -> DataFrame:
+def history_join(trades: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0, only: Column | None = None) -> DataFrame:
     """Every trade once per origin it can serve, with ``origin``, ``lag`` and ``age`` in days.
 
     Origins are the grid month starts of [first, last].  A trade is visible
     when its availability is not after the origin; ``age <= lag + 365``.
+    ``only`` holds the indexes of the months that a row is asked for.
     """
     longest = lag.uniform if lag.uniform is not None else cal.OLD_LAG
     months = cal.grid_months(
@@ -56,6 +59,7 @@ def history_join(trades: DataFrame, lag: Lag, first: str, last: str, every: int
         every,
         phase,
     )
+    months = months if only is None else F.array_intersect(months, only)
     served = trades.withColumn("origin", F.explode(months)).withColumn("origin", cal.month_start(F.col("origin")))
     served = served.withColumns(
         {"lag": lag.at_origin(F.col("origin")), "age": F.datediff("origin", F.col("date"))}
@@ -165,9 +169,9 @@ def annual_activity(trades: DataFrame, served: DataFrame, lag: Lag) -> DataFrame
     return joined.select("origin", "key", "prior_annual", "concentration", "activity_ratio")
 
 
-def scoped(trades: DataFrame, scopes: Sequence[str]) -> DataFrame:
-    """(scope, id) of each row's pools."""
-    return trades.select(F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("id")) for s in scopes])))
+def scoped(trades: DataFrame, scopes: Sequence[str], *carried: str) -> DataFrame:
+    """(scope, id) of each row's pools, and what is carried along."""
+    return trades.select(*carried, F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("id")) for s in scopes])))
 
 
 def pools(served: DataFrame, scopes: Sequence[str] = ("complex", "peer"), crowd: DataFrame | None = None, counted: bool = False) -> DataFrame:
@@ -187,6 +191,48 @@ def pools(served: DataFrame, scopes: Sequence[str] = ("complex", "peer"), crowd:
     return stats.select("origin", "scope", "id", "pool90", "pool365", *counts)
 
 
+def dealt(trades: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ``by`` before they are copied to origins: what is grouped by origin and ``by`` moves once, uncopied."""
+    return trades.repartition(max(1, trades.count() // TRADES_PER_TASK), *by)
+
+
+def pools_of(trades: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0, scopes: Sequence[str] = ("complex", "peer"),
+             origins: Column | None = None) -> DataFrame:
+    """:func:`pools` of all origins that ``origins`` selects, from the trades themselves.
+
+    A pool's trades meet in one task, those of a crowded pool by value bins.
+    """
+    origins = F.lit(True) if origins is None else origins
+    rows = stored(scoped(trades, scopes, "date", "log_price").where(F.col("id").isNotNull()))
+    crowd = crowded(rows, ["scope", "id"])
+    weights = {f"p{n}": F.when(F.col("age") < F.col("lag") + n, 1).otherwise(0) for n in (90, 365)}
+    groups, wanted = ["origin", "scope", "id"], {f"pool{n}": Quantile(0.5, f"p{n}") for n in (90, 365)}
+
+    def of(part: DataFrame) -> DataFrame:
+        return history_join(part, lag, first, last, every, phase).where(origins & (F.col("age") < F.col("lag") + HORIZON_DAYS))
+
+    few = rows if crowd is None else rows.join(crowd, ["scope", "id"], "left_anti")
+    stats = quantiles_of(of(dealt(few, "id")), groups, "log_price", wanted, weights)
+    if crowd is not None:
+        many = rows.join(crowd, ["scope", "id"], "left_semi").withColumn("_bin", value_bin(F.col("log_price").cast("double")))
+        stats = stats.unionByName(quantiles(of(dealt(many, "id", "_bin")), groups, "log_price", wanted, weights))
+    counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
+    return stats.select("origin", "scope", "id", "pool90", "pool365", *counts)
+
+
+def served_of(trades: DataFrame, wanted: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0) -> DataFrame:
+    """:func:`history_join` of the wanted (origin, key) alone; a key's trades meet in one task before they are copied."""
+    asked = wanted.groupBy("key").agg(F.collect_set(cal.month_index(F.col("origin"))).alias("_asked"))
+    return history_join(dealt(trades, "key").join(asked, "key"), lag, first, last, every, phase, F.col("_asked")).drop("_asked")
+
+
+def own_stats(few: DataFrame, many: DataFrame | None, keys_crowd: DataFrame | None, value: str, wanted, weights=None, also=(), extra=()) -> DataFrame:
+    """Statistics by (origin, key) of the rows of ordinary keys and of those of crowded ones."""
+    keys = ["origin", "key"]
+    stats = quantiles_with(few, keys, value, wanted, weights, also, extra)
+    return stats if many is None else stats.unionByName(quantiles_with(many, keys, value, wanted, weights, also, extra, keys_crowd))
+
+
 def last_trade(trades: DataFrame, targets: DataFrame, lag: Lag) -> DataFrame:
     """Newest visible trade per (key, origin), however old: ``last`` and ``last_age``.
 
@@ -213,15 +259,16 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
     """
     month_first = F.trunc("date", "MM")
     # Read many times below: the narrow rows are written once.
-    trades = durable(trades.select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "log_price", "price_oku"))
-    keys_crowd, pools_crowd = crowded(trades, ["key"]), crowded(scoped(trades, ("complex", "peer")), ["scope", "id"])
+    trades = stored(trades.select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "log_price", "price_oku"))
+    keys_crowd = crowded(trades, ["key"])
     targets = trades.where(
         (F.month("date") >= 3) & (month_first >= cal.as_date(first)) & (month_first <= cal.as_date(last))
     ).withColumn("origin", month_first)
     wanted_keys = targets.select("origin", "key").distinct()
-    narrow = trades.select("key", "complex", "peer", "floor", "date", "day", "log_price")
-    served = history_join(narrow, lag, first, last).where(F.month("origin") >= 3)
-    own = served.join(wanted_keys, ["origin", "key"], "left_semi")
+    narrow = trades.select("key", "floor", "date", "day", "log_price")
+    own, many = served_of(narrow if keys_crowd is None else narrow.join(keys_crowd, "key", "left_anti"), wanted_keys, lag, first, last), None
+    if keys_crowd is not None:
+        many = history_join(narrow.join(keys_crowd, "key", "left_semi"), lag, first, last).join(wanted_keys, ["origin", "key"], "left_semi")
 
     weights, wanted = {}, {}
     for request in (_window_request(), _decay_request(), _spread_request()):
@@ -229,7 +276,7 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
         wanted |= request[1]
     keys = ["origin", "key"]
     # Order statistics and evidence come from one shuffle.
-    history = quantiles_with(own, keys, "log_price", wanted, weights, _evidence_aggregates(), ["age", "lag", "day"], keys_crowd).select(
+    history = own_stats(own, many, keys_crowd, "log_price", wanted, weights, _evidence_aggregates(), ["age", "lag", "day"]).select(
         *keys,
         *[F.col(f"total_n{n}").cast("long").alias(f"n{n}") for n in WINDOWS],
         *[f"median{n}" for n in WINDOWS],
@@ -237,9 +284,11 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
         (F.col("p75") - F.col("p25")).alias("spread90"),
         *EVIDENCE,
     )
-    floors = quantiles_of(own.where(within(90)), keys, "floor", {"hist_floor": Quantile(0.5)}, crowd=keys_crowd).select(*keys, "hist_floor")
+    late = None if many is None else many.where(within(90))
+    floors = own_stats(own.where(within(90)), late, keys_crowd, "floor", {"hist_floor": Quantile(0.5)}).select(*keys, "hist_floor")
 
-    around = pools(served, crowd=pools_crowd, counted=True)
+    # One row per pool and origin, read by every contract of it.
+    around = stored(pools_of(trades, lag, first, last, origins=F.month("origin") >= 3))
     scope = lambda s: around.where(F.col("scope") == s).select(
         "origin",
         F.col("id").alias(s),
@@ -360,19 +409,18 @@ def frozen_features(targets: DataFrame, trades: DataFrame, lag: Lag, first: str,
     block = F.floor((F.month(month) - 3) / span) * span + 3
     keyed = targets.withColumn("refresh", F.make_date(F.year(month), block.cast("int"), F.lit(1)))
     # Only months 3, 3+span, 6+span... are ever refreshed.
-    trades = durable(trades.select("key", "complex", "peer", "date", "log_price"))
-    if 12 % span == 0:
-        # The same months of every year: the other origins are never made.
-        served = history_join(trades, lag, first, last, span, 2 % span).where(F.month("origin") >= 3)
-    else:
-        served = history_join(trades, lag, first, last)
-        served = served.where((F.month("origin") >= 3) & ((F.month("origin") - 3) % span == 0))
+    keyed = stored(keyed)
+    trades = stored(trades.select("key", "complex", "peer", "date", "log_price"))
+    # Where the same months of every year are refreshed, the other origins are never made.
+    grid = (span, 2 % span) if 12 % span == 0 else (1, 0)
+    refreshed = (F.month("origin") >= 3) & ((F.month("origin") - 3) % span == 0)
     used = keyed.select(F.col("refresh").alias("origin"), "key").distinct()
-    own = quantiles_of(
-        served.join(used, ["origin", "key"], "left_semi"), ["origin", "key"], "log_price", {"ew90": Quantile(0.5, "e90", linear=False)},
-        {"e90": recency_weight(90)}, crowded(trades, ["key"]),
-    ).select("origin", "key", "ew90")
-    around = pools(served, crowd=crowded(scoped(trades, ("complex", "peer")), ["scope", "id"]), counted=True)
+    keys_crowd = crowded(trades, ["key"])
+    few, many = served_of(trades if keys_crowd is None else trades.join(keys_crowd, "key", "left_anti"), used, lag, first, last, *grid), None
+    if keys_crowd is not None:
+        many = history_join(trades.join(keys_crowd, "key", "left_semi"), lag, first, last, *grid).join(used, ["origin", "key"], "left_semi")
+    own = own_stats(few, many, keys_crowd, "log_price", {"ew90": Quantile(0.5, "e90", linear=False)}, {"e90": recency_weight(90)}).select("origin", "key", "ew90")
+    around = pools_of(trades, lag, first, last, *grid, origins=refreshed)
     scope = lambda s: around.where(F.col("scope") == s).select(
         F.col("origin").alias("refresh"), F.col("id").alias(s), F.col("pool90").alias(f"_{s}90"), F.col("pool365").alias(f"_{s}365")
     )

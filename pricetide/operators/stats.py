@@ -34,7 +34,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.session import durable
+from pricetide.session import durable, stored
 
 BINS_PER_E_FOLD = 256
 PARTS_PER_BIN = 4096
@@ -139,7 +139,10 @@ def order_statistics(
     used = sorted({w for w, _ in picks.values()})
     groups = list(groups)
     finer = groups if counted_by is None else list(counted_by)
-    base = _weighted(df, finer, value, used, weights).withColumn("_bin", value_bin(F.col("_v")))
+    # Rows may come dealt out by their bins already.
+    dealt = ["_bin"] if "_bin" in df.columns else []
+    base = _weighted(df, finer, value, used, weights, dealt)
+    base = base if dealt else base.withColumn("_bin", value_bin(F.col("_v")))
     zero = {w: F.lit(0).cast(base.schema[f"_w_{w}"].dataType) for w in used}
     counted = base.groupBy(*finer, "_bin", "_v").agg(
         *[F.sum(f"_w_{w}").cast(base.schema[f"_w_{w}"].dataType).alias(f"_w_{w}") for w in used]
@@ -162,7 +165,9 @@ def order_statistics(
         *[f"_h_{w}" for w in used],
     )
     bins = bins.where(_holds(picks)).drop(*[f"_h_{w}" for w in used])
-    inside = counted.join(bins, [*groups, "_bin"]).withColumn("_part", value_part(F.col("_v"), F.col("_low"), F.col("_high")))
+    # Of rows dealt out by bins, only those of wanted bins move again: a few bins for each crowded group.
+    held = F.broadcast(bins) if dealt else bins
+    inside = counted.join(held, [*groups, "_bin"]).withColumn("_part", value_part(F.col("_v"), F.col("_low"), F.col("_high")))
     slim = inside.groupBy(*groups, "_bin", "_part").agg(
         *[F.sum(f"_w_{w}").alias(f"_h_{w}") for w in used],
         *[F.max(f"_{x}_{w}").alias(f"_{x}_{w}") for w in used for x in "ot"],
@@ -249,7 +254,7 @@ def crowded(df: DataFrame, by: Sequence[str], most: int = CROWD) -> DataFrame |
 
     A table of rows / ``most`` rows at most.
     """
-    found = durable(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by))
+    found = stored(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by))
     return None if found.isEmpty() else found
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import annual, history, leases, snapshot
+from pricetide.operators import annual, history, leases, snapshot, stats
 from pricetide.operators.stats import median_of
 
 SCHEMA = "key string, complex string, peer string, gu string, area double, built int, floor double, date date, price double"
@@ -173,3 +173,20 @@ def test_small_groups_take_one_shuffle(spark):
     hot = spark.createDataFrame([("c0|60",)], "key string")
     both = [sorted(map(tuple, median_of(exits, ["origin", "horizon_months", "key"], "log_price", "exit", crowd).collect())) for crowd in (None, hot)]
     assert both[0] == both[1] and len(both[0]) > 0
+
+
+def test_crowded_keys_and_pools_give_the_same_features(spark, monkeypatch):
+    """Also: the history of ordinary keys moves before it is copied to origins, so no plan deals rows out by origin and key to order them."""
+    t = trades(spark, make(random.Random(9), 300, days=500))
+    lag, span = history.Lag(uniform=31), ("2022-02-01", "2022-05-01")
+    plain = lambda df: df.select(*[F.round(c, 9).alias(c) if kind == "double" else c for c, kind in sorted(df.dtypes)])
+    key = lambda df: sorted(map(str, plain(df).collect()))
+    pools = key(history.pools_of(t, lag, *span))
+    assert pools == key(history.pools(history.history_join(t, lag, *span)))
+    features = key(history.monthly_features(t, lag, *span))
+    wanted = t.select(F.lit(dt.date(2022, 3, 1)).alias("origin"), "key").distinct()
+    own = history.own_stats(history.served_of(t, wanted, lag, *span), None, None, "log_price", {"m": history.Quantile(0.5)})
+    assert "Exchange hashpartitioning(origin" not in own._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(history, "crowded", lambda df, by: stats.crowded(df, by, 5))
+    assert pools == key(history.pools_of(t, lag, *span))
+    assert features == key(history.monthly_features(t, lag, *span))
