@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.parsing import present
 from pricetide.operators import summary
 from pricetide.operators.stats import Quantile, order_statistics, quantiles, ranked
+from pricetide.session import stored
 
 
 @dataclass(frozen=True)
@@ -145,6 +146,8 @@ def paginate(df: DataFrame, keys: Sequence[tuple[str, str]], tie: Sequence[str],
     needs no order of the table and no row numbers.  ``tie`` makes the order total.
     """
     order = [*keys, *[(t, "asc") for t in tie]]
+    # Every step below reads the rows again.
+    df = stored(df)
     total = df.count()
     count = max(1, -(-total // size))
     page = max(1, min(count, page))

@@ -300,7 +300,7 @@ SELECT key, n, position, total, CAST(ceil(total / 40.0) AS BIGINT) AS page_count
     ),
 )
 def paginate(spark, sf_dir):
-    out = ops.paginate(types(spark, sf_dir), [("n", "desc")], ["key"], page=9999, size=40)
+    out = ops.paginate(types(spark, sf_dir).select("key", "n"), [("n", "desc")], ["key"], page=9999, size=40)
     return tidy(out.select("key", "n", "position", "total", "page_count", "page"))
 
 
