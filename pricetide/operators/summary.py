@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.operators.stats import Quantile, quantiles
+from pricetide.operators.stats import Quantile, crowded, quantiles, quantiles_of
+from pricetide.session import stored
 
 SQM_PER_PYEONG = 3.3058
 
@@ -108,6 +110,11 @@ class Attributes:
         out |= {f"_first_{c}": F.min(F.when(known(c), F.struct(position.alias("p"), F.col(c).alias("v")))) for c in self.first_known}
         return out
 
+    def columns(self) -> set[str]:
+        """All columns that the rules read."""
+        carried = [c for cols in (*self.nearest.values(), *self.largest.values()) for c in cols]
+        return {*self.order, *self.nearest, *self.largest, *self.smallest, *self.any_true, *self.first_known, *carried}
+
     def merged(self) -> dict[str, Column]:
         """The same aggregates over states."""
         low = [*[f"_near_{c}" for c in self.nearest], *[f"_most_{c}" for c in self.largest], *[f"_least_{c}" for c in self.smallest], *[f"_first_{c}" for c in self.first_known]]
@@ -133,12 +140,21 @@ def merge_attributes(rows: DataFrame, keys: Sequence[str], rules: Attributes) ->
 def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong"), attributes: Attributes = Attributes()) -> DataFrame:
     """One row per region, bucket and type: counts, price and floor statistics, merged attributes.
 
-    Counts and attribute states are kept per year and merged into ``all``.
+    Counts and attribute states are kept per year and merged into ``all``.  Rows are stored once and move to their type before states
+    are made of them, as states are several times as wide; years and buckets of a type then meet where they are.
     """
-    trades = _placed(trades, region)
     finer, keys = ["_region", "year", "key"], ["_region", "bucket", "key"]
+    read = {"year", "key", "complex", "floor", "price", *attributes.columns()}
+    trades = stored(_placed(trades, region).select("_region", *[c for c in trades.columns if c in read]))
     states = attributes.states(dict(trades.dtypes))
-    years = trades.groupBy(*finer).agg(
+    crowd = crowded(trades, ["_region", "key"])
+
+    def to_types(rows: DataFrame) -> DataFrame:
+        return rows.repartition("_region", "key")
+
+    # Rows of a crowded type stay where they are until their states are made.
+    parts = [to_types(trades)] if crowd is None else [to_types(trades.join(crowd, crowd.columns, "left_anti")), trades.join(crowd, crowd.columns, "left_semi")]
+    aggregates = [
         F.min("complex").alias("complex"),
         F.count("*").alias("n"),
         F.count("floor").alias("floor_n"),
@@ -147,15 +163,24 @@ def type_summary(trades: DataFrame, region: Sequence[str] = ("gu", "dong"), attr
         F.min("price").alias("price_min"),
         F.max("price").alias("price_max"),
         *[c.alias(n) for n, c in states.items()],
-    )
+    ]
     add = {"n": F.sum, "floor_n": F.sum, "complex": F.min, "floor_min": F.min, "floor_max": F.max, "price_min": F.min, "price_max": F.max}
-    merged = _to_buckets(years).groupBy(*keys).agg(*[f(c).alias(c) for c, f in add.items()], *[c.alias(n) for n, c in attributes.merged().items()])
+
+    def summed(rows: DataFrame) -> DataFrame:
+        years = rows.groupBy(*finer).agg(*aggregates)
+        return _to_buckets(years).groupBy(*keys).agg(*[f(c).alias(c) for c, f in add.items()], *[c.alias(n) for n, c in attributes.merged().items()])
+
+    merged = reduce(DataFrame.unionByName, map(summed, parts))
     merged = merged.select(*keys, *add, *[c.alias(n) for n, c in attributes.values().items()])
     pairs = F.array(
         F.struct(F.lit("price").alias("what"), F.col("price").alias("value")),
         F.struct(F.lit("floor").alias("what"), F.col("floor").alias("value")),
     )
-    medians = quantiles(trades.select(*finer, F.inline(pairs)), [*keys, "what"], "value", {"m": Quantile(0.5)}, counted_by=[*finer, "what"], fan=_to_buckets)
+    long = [rows.select(*finer, F.inline(pairs)) for rows in (part.select(*finer, "price", "floor") for part in parts)]
+    # Values of an unknown year are in no median, not of ``all`` either.
+    medians = quantiles_of(_to_buckets(long[0].where(F.col("year").isNotNull())), [*keys, "what"], "value", {"m": Quantile(0.5)})
+    if crowd is not None:
+        medians = medians.unionByName(quantiles(long[1], [*keys, "what"], "value", {"m": Quantile(0.5)}, counted_by=[*finer, "what"], fan=_to_buckets))
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("m"))).alias(f"{what}_median")
     # A type without any known price or floor keeps its row.
     both = merged.join(medians.groupBy(*keys).agg(pick("price"), pick("floor")), keys, "left")
