@@ -26,9 +26,15 @@ def present(*flags: Column) -> Column:
     return F.array_remove(F.array(*[F.coalesce(f, F.lit("")) for f in flags]), "")
 
 
+def without_commas(c: Column) -> Column:
+    return F.replace(cleaned(c), F.lit(","), F.lit(""))
+
+
 def strip_zeros(c: Column) -> Column:
     """Digits without leading zeros; a bare zero stays."""
-    return F.regexp_replace(c, r"^0+(?=\d)", "")
+    rest = F.ltrim(c, F.lit("0"))
+    # A text from "0" to below ":" starts with a digit.
+    return F.when((rest >= "0") & (rest < ":"), rest).when(c.startswith("0"), F.concat(F.lit("0"), rest)).otherwise(c)
 
 
 def is_digits(c: Column) -> Column:
@@ -37,35 +43,38 @@ def is_digits(c: Column) -> Column:
 
 def decimal_text(c: Column, field: str, minimum: float | None = None, positive: bool = False) -> tuple[Column, Column]:
     """(exact decimal text, flag).  All published decimal places survive; no binary float is the result."""
-    text = F.regexp_replace(cleaned(c), ",", "")
+    text = without_commas(c)
     valid = text.rlike(r"^[+-]?\d+(\.\d+)?$")
-    plain = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-    number = plain.try_cast("double")
+    # What is valid has one sign at most.
+    plain = F.concat(F.when(text.startswith("-"), "-").otherwise(""), strip_zeros(F.ltrim(text, F.lit("+-"))))
+    number = text.try_cast("double")
     out = F.lit(False)
     if positive:
         out = out | (number <= 0)
     if minimum is not None:
         out = out | (number < minimum)
-    flag = (
-        F.when(text.isin(*MISSING), f"{field}_missing")
-        .when(~valid, f"{field}_invalid")
-        .when(out, f"{field}_out_of_range")
-    )
+    # The pattern comes first: most texts are valid, and filters compute every mention anew.
+    flag = F.when(valid, F.when(out, f"{field}_out_of_range")).when(text.isin(*MISSING), f"{field}_missing").otherwise(f"{field}_invalid")
     return F.when(flag.isNull(), plain), flag
 
 
 def contract_date(month: Column, day: Column) -> tuple[Column, Column]:
     """(date, flag) from ``YYYYMM`` and a one- or two-digit day."""
     ym, d = cleaned(month), cleaned(day)
-    shaped = ym.rlike(r"^\d{6}$") & d.rlike(r"^\d{1,2}$")
-    date = F.when(shaped, F.try_to_date(F.concat(ym, F.lpad(d, 2, "0")), "yyyyMMdd"))
+    shaped = (F.length(ym) == 6) & F.length(d).between(1, 2)
+    date = F.when(shaped, _digits_date(F.concat(ym, F.lpad(d, 2, "0"))))
     return date, F.when(date.isNull(), "contract_date_invalid")
 
 
 def compact_date(c: Column) -> Column:
     """``YYYYMMDD`` text to a date; anything else is null."""
-    text = cleaned(c)
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+    return _digits_date(cleaned(c))
+
+
+def _digits_date(text: Column) -> Column:
+    """Eight digits to a date, by a cast: it makes no formatter and raises nothing inside for days that don't exist."""
+    iso = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    return F.when(text.rlike(r"^\d{8}\z"), iso.try_cast("date"))
 
 
 def normalize_lot(main: Column, sub: Column, published: Column) -> tuple[Column, Column]:
@@ -75,13 +84,12 @@ def normalize_lot(main: Column, sub: Column, published: Column) -> tuple[Column,
     """
     m, s, p = cleaned(main), cleaned(sub), cleaned(published)
     numeric = is_digits(m) & is_digits(s)
-    tail = F.regexp_replace(s, "^0+", "")
+    tail = F.ltrim(s, F.lit("0"))
     lot = F.when(numeric, F.concat(strip_zeros(m), F.when(tail != "", F.concat(F.lit("-"), tail)).otherwise("")))
-    pieces = F.split(p, "-", -1)
-    p_tail = F.regexp_replace(F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit("")), "^0+", "")
+    p_tail = F.when(F.contains(p, F.lit("-")), F.ltrim(F.substring_index(p, "-", -1), F.lit("0"))).otherwise("")
     source = F.when(
         p.rlike(r"^\d+(-\d+)?$"),
-        F.concat(strip_zeros(pieces[0]), F.when(p_tail != "", F.concat(F.lit("-"), p_tail)).otherwise("")),
+        F.concat(strip_zeros(F.substring_index(p, "-", 1)), F.when(p_tail != "", F.concat(F.lit("-"), p_tail)).otherwise("")),
     )
     disagrees = ~p.isin(*MISSING) & ~(source.eqNullSafe(lot))
     flag = F.when(~numeric, "lot_numbers_unresolved").when(disagrees, "lot_source_disagrees")
@@ -126,7 +134,7 @@ def area_text(c: Column) -> Column:
 
 def number_or_null(c: Column) -> Column:
     """Finite number from text with thousands separators; NaN, infinities and words become null."""
-    value = F.regexp_replace(cleaned(c), ",", "").try_cast("double")
+    value = without_commas(c).try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 

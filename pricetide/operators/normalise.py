@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import parsing as P
+from pricetide.session import stored
 
 # Published Korean headers and the column names used here (fixed values).
 SALE_HEADERS = {
@@ -45,7 +46,9 @@ def match_address(df: DataFrame, registry: DataFrame, address: str = "address_te
     ``registry`` has code, sido, district.  Adds district_code, sido, district,
     legal_dong and ``address_match`` (unique / ambiguous / unresolved).  Prefixes
     are generated once per distinct address and meet the registry in an equi
-    join, so the registry is never scanned per row.
+    join, so the registry is never scanned per row.  What is decided is stored:
+    its size is known before the rows meet it, and as long as addresses are few
+    rows don't move to one task per address.
     """
     text = F.trim(F.col(address))
     distinct = df.select(text.alias("_a")).where(F.col("_a").isNotNull()).distinct()
@@ -62,9 +65,11 @@ def match_address(df: DataFrame, registry: DataFrame, address: str = "address_te
         F.count("*").alias("_any"),
     )
     top = found.join(best, "_a").where(F.length("_p") == F.col("_best.len"))
-    decided = top.groupBy("_a").agg(
-        F.count_distinct("code", "sido", "district", "_dong").alias("_n"),
-        F.min(F.struct("code", "sido", "district", "_dong")).alias("_m"),
+    decided = stored(
+        top.groupBy("_a").agg(
+            F.count_distinct("code", "sido", "district", "_dong").alias("_n"),
+            F.min(F.struct("code", "sido", "district", "_dong")).alias("_m"),
+        )
     )
     joined = df.withColumn("_a", text).join(decided, "_a", "left")
     unique = F.col("_n") == 1
@@ -301,9 +306,9 @@ def to_dashboard(canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_identity(df: DataFrame) -> DataFrame:
     """Complex, type key, district, dong and peer of dashboard rows, from exact published text."""
     t = lambda c: P.cleaned(F.col(c))
-    tail = F.regexp_replace(t("SNO"), "^0+", "")
+    tail = F.ltrim(t("SNO"), F.lit("0"))
     lot = F.concat(
-        F.coalesce(F.nullif(F.regexp_replace(t("MNO"), "^0+", ""), F.lit("")), F.lit("0")),
+        F.coalesce(F.nullif(F.ltrim(t("MNO"), F.lit("0")), F.lit("")), F.lit("0")),
         F.when(tail != "", F.concat(F.lit("-"), tail)).otherwise(""),
     )
     area = P.number_or_null(F.col("ARCH_AREA"))

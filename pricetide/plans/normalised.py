@@ -10,7 +10,7 @@ from pricetide.operators import history, normalise, summary
 from pricetide.plans.history import SERVED, UNIFORM, decay_sql, tidy
 from pricetide.plans.registry import query
 from pricetide.sources import domain
-from pricetide.session import durable
+from pricetide.session import stored
 from pricetide.sources.domain import EXPORT_SQL, LAW_CHANGE, LEASE_SQL, clean, table, trades, with_trades
 
 # --- DuckDB spellings of the parsers, used only by the twins ---------------
@@ -304,7 +304,7 @@ dashboard AS (SELECT CAST(year(contract_date) AS VARCHAR) AS "RCPT_YR", district
 
 def dashboard(spark, sf_dir):
     """Accepted rows, kept once because several passes read them."""
-    return durable(normalise.to_dashboard(canonical_sales(spark, sf_dir))[0])
+    return stored(normalise.to_dashboard(canonical_sales(spark, sf_dir))[0], many_expressions=True)
 
 
 @query("prj8_to_dashboard", with_trades(DASHBOARD + "SELECT *, count(*) AS n FROM dashboard GROUP BY ALL"))

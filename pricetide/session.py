@@ -66,11 +66,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table below the shared folder: narrow on disk, read column by column, as often as needed."""
-    path = scratch_path(df.sparkSession, "rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of a Java method that HotSpot compiles at most; longer ones are interpreted.
+_COMPILED = "8000"
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def stored(df: DataFrame, many_expressions: bool = False) -> DataFrame:
+    """The rows as a Parquet table below the shared folder: narrow on disk, read column by column, as often as needed.
+
+    ``many_expressions``: for the write, operators whose generated method is too long for HotSpot run as several short ones.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    before = spark.conf.get(_METHOD_LIMIT)
+    try:
+        if many_expressions:
+            spark.conf.set(_METHOD_LIMIT, _COMPILED)
+        df.write.parquet(path)
+    finally:
+        if many_expressions:
+            spark.conf.set(_METHOD_LIMIT, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
