@@ -89,7 +89,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     """word, n: sums of the tokens of each slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             word, n = np.unique(tokens(part.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
@@ -341,7 +341,7 @@ def _by_length(batches: Iterator[pa.RecordBatch], long: int = 2048, most: int =
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         return table, np.concatenate(waiting), np.r_[0, np.cumsum([len(w) for w in waiting])]
 
-    for part in slices(batches, "text", 12 << 20):
+    for part in slices(batches, "text", 6 << 20):
         word, first = tokens(part.column("text"))
         part = part.drop_columns(["text"])
         over = np.diff(first) > long
