@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,23 +71,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 #: Bytes of a Java method that HotSpot compiles at most; longer ones are interpreted.
 _COMPILED = "8000"
 _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextlib.contextmanager
+def compiled(spark: SparkSession, open_files: int = 0) -> Iterator[None]:
+    """For what runs inside, operators whose generated method is too long for HotSpot run as several short ones.
+
+    A task keeps up to ``open_files`` folders of a partitioned write open, and sorts its rows only where there are more.
+    """
+    held = {_METHOD_LIMIT: _COMPILED} | ({_OPEN_FILES: str(open_files)} if open_files else {})
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, many_expressions: bool = False) -> DataFrame:
     """The rows as a Parquet table below the shared folder: narrow on disk, read column by column, as often as needed.
 
-    ``many_expressions``: for the write, operators whose generated method is too long for HotSpot run as several short ones.
+    ``many_expressions``: the write runs :func:`compiled`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "rows")
-    before = spark.conf.get(_METHOD_LIMIT)
-    try:
-        if many_expressions:
-            spark.conf.set(_METHOD_LIMIT, _COMPILED)
+    with compiled(spark) if many_expressions else contextlib.nullcontext():
         df.write.parquet(path)
-    finally:
-        if many_expressions:
-            spark.conf.set(_METHOD_LIMIT, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,14 @@
 """Steps that grew faster than their input: what moves, what is read again, and equal results."""
 
+import contextlib
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from pricetide.functions import parsing as P
 from pricetide.operators import dashboard, normalise, summary
+from pricetide.sources import sinks
 
 
 def test_rows_meet_decided_addresses_where_they_are(spark):
@@ -74,3 +79,25 @@ def test_type_summary_of_crowded_types(spark, monkeypatch):
     values = [r["price"] for r in df.where("dong = 'd' AND key = 'k1' AND year IS NOT NULL").collect()]
     assert plain["d", "all", "k1"]["price_median"] == statistics.median(values)
     assert plain["d", "all", "k1"]["n"] == df.where("dong = 'd' AND key = 'k1'").count()
+
+
+@pytest.mark.parametrize("open_files", [128, 2])
+def test_canonical_records_are_written_compiled_and_unsorted(spark, tmp_path, monkeypatch, open_files):
+    """Before, the records' parsers ran in methods too long to be compiled, and every task sorted its wide rows by folder."""
+    names = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.maxConcurrentOutputFileWriters")
+    before, inside, real = [spark.conf.get(n) for n in names], [], sinks.compiled
+
+    @contextlib.contextmanager
+    def noted(*args):
+        with real(*args):
+            inside.append([spark.conf.get(n) for n in names])
+            yield
+
+    monkeypatch.setattr(sinks, "compiled", noted)
+    monkeypatch.setattr(sinks, "OPEN_FILES", open_files)
+    rows = [("sale", (f"s{k % 3}" if k % 4 else None,), None if k % 5 == 0 else dt.date(2000 + k % 6, 1, 1), k) for k in range(300)]
+    records = spark.createDataFrame(rows, "kind string, address struct<sido: string>, contract_date date, k long")
+    sinks.write_canonical(records, f"{tmp_path}/out", rows_per_file=4)
+    assert inside == [["8000", str(open_files)]] and [spark.conf.get(n) for n in names] == before
+    back = spark.read.schema("k long, kind string, sido string, year string").json(f"{tmp_path}/out").collect()
+    assert sorted((r["k"], r["sido"], r["year"]) for r in back) == [(k, a[0] or "unresolved", str(d.year) if d else "unknown") for _, a, d, k in rows]
