@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.parsing import present
-from pricetide.operators.stats import median, order_statistics
-from pricetide.session import durable
+from pricetide.operators.stats import crowded, median_of, order_statistics
+from pricetide.session import stored
 
 MAX_GAP = 3
 
@@ -25,8 +25,8 @@ def annual_panel(types: DataFrame) -> DataFrame:
     )
     base = best.select("dong", "key", "year", "_b.*").where((F.col("price") > 0) & (F.col("area") > 0))
     # One row per type and year: small against the trades, and read five times below.
-    base = durable(base)
-    peers = median(base, ["dong", "year"], "price", "_peer").drop("n")
+    base = stored(base)
+    peers = median_of(base, ["dong", "year"], "price", "_peer", crowded(base, ["dong"])).drop("n")
     volume = base.groupBy("dong", "year").agg(F.sum("n").alias("_peer_n"))
     around = peers.join(volume, ["dong", "year"]).select(
         "dong", (F.col("year") + 1).alias("year"), F.ln("_peer").alias("prior_peer"), F.col("_peer_n").alias("peer_count")
@@ -75,8 +75,11 @@ def matched_peer(panel: DataFrame) -> DataFrame:
     """Previous year's median of similar areas: dong from 5, else gu from 10, else sido from 20 types."""
     out = panel
     values, counts = [], []
+    # Pools read these columns only, once for every level.
+    slim = stored(panel.select(*[level for level, _ in PEER_LEVELS], "area_band", "year", "target"))
     for level, minimum in PEER_LEVELS:
-        pool = median(panel, [level, "area_band", "year"], "target", "_m").where(F.col("n") >= minimum)
+        groups = [level, "area_band", "year"]
+        pool = median_of(slim, groups, "target", "_m", crowded(slim, groups)).where(F.col("n") >= minimum)
         pool = pool.select(
             level, "area_band", (F.col("year") + 1).alias("year"), F.col("_m").alias(f"_{level}_m"), F.col("n").alias(f"_{level}_n")
         )
@@ -158,8 +161,8 @@ def reference_anchor(panel: DataFrame, fallback: float | Column | None = None) -
 
 def reference_frame(types: DataFrame) -> DataFrame:
     """Panel with every prior-only anchor candidate and the coalesced anchor."""
-    panel = durable(last_price_asof(annual_panel(types)))
-    return reference_anchor(sibling_anchor(durable(matched_peer(panel))))
+    panel = stored(last_price_asof(annual_panel(types)))
+    return reference_anchor(sibling_anchor(stored(matched_peer(panel))))
 
 
 def sample_scale(n: Column) -> Column:

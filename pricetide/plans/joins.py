@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import annual
 from pricetide.operators import joins as ops
-from pricetide.operators.stats import median
+from pricetide.operators.stats import Quantile, crowded, median, quantiles_with
 from pricetide.plans.history import tidy
 from pricetide.plans.registry import query
-from pricetide.session import durable
+from pricetide.session import durable, stored
 from pricetide.sources.domain import clean, table, trades, with_trades
 
 LEGAL = """
@@ -427,11 +427,13 @@ panel AS (SELECT p2.*, sibling_price, sibling_area_ratio, sibling_count, sibling
 
 
 def annual_types(spark, sf_dir):
+    """Median price per type and year with the type's built year and area: one shuffle of trades that are joined once."""
     rows = clean(spark, sf_dir).withColumn("_p", F.col("price") / (F.col("area") / F.lit(3.3058)))
     keys = ["sido", "gu", "dong", "key", "complex", "year"]
-    price = median(rows, keys, "_p", "price")
-    facts = rows.groupBy(*keys).agg(F.first("built").alias("built"), (F.first("area") / F.lit(3.3058)).alias("area"))
-    return price.join(facts, keys)
+    rows = stored(rows.select(*keys, "built", "area", "_p"))
+    facts = [F.first("built").alias("built"), (F.first("area") / F.lit(3.3058)).alias("area")]
+    found = quantiles_with(rows, keys, "_p", {"price": Quantile(0.5)}, None, facts, ["built", "area"], crowded(rows, ["key"]))
+    return found.select(*keys, F.col("total_one").cast("long").alias("n"), "price", "built", "area")
 
 
 @query(

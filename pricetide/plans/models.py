@@ -11,7 +11,7 @@ from pricetide.plans.history import UNIFORM, tidy
 from pricetide.plans.joins import ANNUAL, LEVELS, annual_types
 from pricetide.plans.registry import query
 from pricetide.plans.snapshots import HORIZONS, SNAP, label_panel, panel_sql, snapshot
-from pricetide.session import durable
+from pricetide.session import durable, stored
 from pricetide.sources.domain import clean, with_trades
 
 INPUTS = ["year", "area", "age", "prior_price", "prior_peer", "momentum", "prior_count", "peer_count", "reference_anchor", "last_price", "history_gap", "matched_peer"]
@@ -22,7 +22,7 @@ REPEATED = 20
 def frame(spark, sf_dir):
     """Annual reference panel in the shape the evaluation operators read."""
     rows = annual.reference_frame(annual_types(spark, sf_dir)).where("reference_anchor IS NOT NULL")
-    return durable(
+    return stored(
         rows.withColumns(
             {"actual": F.col("target"), "anchor": F.col("reference_anchor"), "region": F.col("gu"), "price_oku": F.exp("target") * F.col("area") / 10000,
              "has_prior": F.col("prior_price").isNotNull()}

@@ -101,3 +101,33 @@ def test_canonical_records_are_written_compiled_and_unsorted(spark, tmp_path, mo
     assert inside == [["8000", str(open_files)]] and [spark.conf.get(n) for n in names] == before
     back = spark.read.schema("k long, kind string, sido string, year string").json(f"{tmp_path}/out").collect()
     assert sorted((r["k"], r["sido"], r["year"]) for r in back) == [(k, a[0] or "unresolved", str(d.year) if d else "unknown") for _, a, d, k in rows]
+
+
+def test_annual_types_read_their_trades_once(spark, monkeypatch):
+    """Before, medians and facts each computed the trades.  Crowded keys and pools give the same panel."""
+    import statistics
+
+    from pricetide.operators import annual, stats
+    from pricetide.plans import joins
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("s", "g", f"d{k % 2}", None if k % 31 == 0 else f"k{k % 6}", f"c{k % 3}", 2000 + k % 4, 1990 + k % 3, 15 + 10 * (k % 6), None if k % 17 == 0 else float(k * 37 % 101)) for k in range(400)]
+    df = spark.createDataFrame(rows, "sido string, gu string, dong string, key string, complex string, year int, built int, area int, price double")
+    monkeypatch.setattr(joins, "clean", lambda spark, sf_dir: df.mapInArrow(count, df.schema))
+    pool = lambda: sorted(map(str, annual.matched_peer(annual.annual_panel(joins.annual_types(spark, ""))).collect()))
+    types = {(r["key"], r["year"]): r for r in joins.annual_types(spark, "").collect()}
+    assert seen.value == 400
+    for (key, year), r in types.items():
+        mine = [x for x in rows if x[3] == key and x[5] == year and x[8] is not None]
+        assert r["n"] == len(mine) and r["built"] == mine[0][6] and abs(r["area"] - mine[0][7] / 3.3058) < 1e-12
+        assert abs(r["price"] - statistics.median(x[8] / (x[7] / 3.3058) for x in mine)) < 1e-9
+    plain = pool()
+    for module in (joins, annual):
+        monkeypatch.setattr(module, "crowded", lambda rows, by: stats.crowded(rows, by, 3))
+    assert pool() == plain and plain
