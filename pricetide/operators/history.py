@@ -91,18 +91,26 @@ def _spread_request():
     return weights, {"p25": Quantile(0.25, "n90", min_weight=2), "p75": Quantile(0.75, "n90", min_weight=2)}
 
 
-def window_stats(served: DataFrame, keys: Sequence[str] = ("origin", "key")) -> DataFrame:
-    """Count and median of the trailing 30/90/180/365-day windows."""
+def _stats(rows: DataFrame, groups: Sequence[str], wanted, weights, crowd: DataFrame | None, counted: bool) -> DataFrame:
+    """Quantiles of log prices; groups that were ``counted`` take one shuffle, but for those of ``crowd``."""
+    return quantiles_of(rows, groups, "log_price", wanted, weights, crowd) if counted else quantiles(rows, groups, "log_price", wanted, weights)
+
+
+def window_stats(served: DataFrame, keys: Sequence[str] = ("origin", "key"), crowd: DataFrame | None = None, counted: bool = False) -> DataFrame:
+    """Count and median of the trailing 30/90/180/365-day windows.
+
+    ``counted`` says that the keys were counted and ``crowd`` holds the crowded ones.
+    """
     weights, wanted = _window_request()
-    stats = quantiles(served, keys, "log_price", wanted, weights)
+    stats = _stats(served, keys, wanted, weights, crowd, counted)
     counts = [F.col(f"total_n{n}").cast("long").alias(f"n{n}") for n in WINDOWS]
     return stats.select(*keys, *counts, *wanted)
 
 
-def ew_medians(served: DataFrame, keys: Sequence[str] = ("origin", "key")) -> DataFrame:
-    """Exponentially weighted medians for half-lives of 30, 60, 90 and 180 days."""
+def ew_medians(served: DataFrame, keys: Sequence[str] = ("origin", "key"), crowd: DataFrame | None = None, counted: bool = False) -> DataFrame:
+    """Exponentially weighted medians for half-lives of 30, 60, 90 and 180 days; ``crowd`` and ``counted`` as in :func:`window_stats`."""
     weights, wanted = _decay_request()
-    return quantiles(served, keys, "log_price", wanted, weights).select(*keys, *wanted)
+    return _stats(served, keys, wanted, weights, crowd, counted).select(*keys, *wanted)
 
 
 def _evidence_aggregates() -> list[Column]:
@@ -186,7 +194,7 @@ def pools(served: DataFrame, scopes: Sequence[str] = ("complex", "peer"), crowd:
     )
     weights = {f"p{n}": F.when(F.col("age") < F.col("lag") + n, 1).otherwise(0) for n in (90, 365)}
     groups, wanted = ["origin", "scope", "id"], {f"pool{n}": Quantile(0.5, f"p{n}") for n in (90, 365)}
-    stats = quantiles_of(rows, groups, "log_price", wanted, weights, crowd) if counted else quantiles(rows, groups, "log_price", wanted, weights)
+    stats = _stats(rows, groups, wanted, weights, crowd, counted)
     counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
     return stats.select("origin", "scope", "id", "pool90", "pool365", *counts)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import parsing as P
 from pricetide.functions import scores
 from pricetide.operators import history, normalise, summary
+from pricetide.operators.stats import crowded
 from pricetide.plans.history import SERVED, UNIFORM, decay_sql, tidy
 from pricetide.plans.registry import query
 from pricetide.sources import domain
@@ -562,8 +563,13 @@ SELECT CAST(origin AS VARCHAR) AS origin, key, round(ew30 - ew90, 6) + 0.0 AS ew
     ),
 )
 def relative_inputs(spark, sf_dir):
-    served = history.history_join(clean(spark, sf_dir), UNIFORM, "1995-07-01", "2001-12-01", every=6)
-    frame = history.ew_medians(served).join(history.window_stats(served), ["origin", "key"]).withColumn("anchor", F.col("ew90"))
+    trades = stored(clean(spark, sf_dir).select("key", "date", "log_price"))
+    crowd = crowded(trades, ["key"])
+    # Trades of a type meet once, before they are copied to origins; those of crowded types stay spread.
+    rows = history.dealt(trades, "key") if crowd is None else trades
+    served = history.history_join(rows, UNIFORM, "1995-07-01", "2001-12-01", every=6)
+    ew, windows = (stats(served, crowd=crowd, counted=True) for stats in (history.ew_medians, history.window_stats))
+    frame = ew.join(windows, ["origin", "key"]).withColumn("anchor", F.col("ew90"))
     frame = frame.withColumns({c: F.lit(None).cast("double") for c in history.PRICE_LEVELS if c not in frame.columns})
     return tidy(history.relative_inputs(frame).select("origin", "key", "ew30", "ew180", "median365", "median90"))
 

@@ -131,3 +131,19 @@ def test_annual_types_read_their_trades_once(spark, monkeypatch):
     for module in (joins, annual):
         monkeypatch.setattr(module, "crowded", lambda rows, by: stats.crowded(rows, by, 3))
     assert pool() == plain and plain
+
+
+def test_counted_histories_take_one_shuffle(spark):
+    """Before, either statistic counted its values bin by bin and joined them again; crowded keys still do."""
+    from pricetide.operators import history
+
+    rows = [(f"k{k % 5}", None if k % 41 == 0 else dt.date(2000, 1, 1) + dt.timedelta(k * 7 % 400), None if k % 29 == 0 else float(k * 37 % 101) / 10) for k in range(600)]
+    t = spark.createDataFrame(rows, "key string, date date, log_price double")
+    served = lambda rows: history.history_join(rows, history.Lag(uniform=31), "2000-01-01", "2001-12-01", every=6)
+    hot = spark.createDataFrame([("k1",)], "key string")
+    for stats in (history.ew_medians, history.window_stats):
+        one = stats(served(history.dealt(t, "key")), counted=True)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(origin" not in plan and "Join" not in plan
+        told = lambda df: sorted(map(str, df.collect()))
+        assert told(one) == told(stats(served(t))) == told(stats(served(t), crowd=hot, counted=True)) and one.count() > 10
