@@ -217,3 +217,27 @@ def test_canonical_records_are_compressed(spark, tmp_path):
     sinks.write_canonical(rows, str(tmp_path / "out"))
     files = [f for _, _, fs in os.walk(tmp_path / "out") for f in fs if f.startswith("part-")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+@pytest.mark.parametrize("text,want", [
+    ('"a","b"', ["a", "b"]), ('"a","","b"', ["a", "", "b"]), ('"a",",","b"', ["a", ",", "b"]), ('"","",""', ["", "", ""]), ('""', [""]), ('","', [","]), ('',  [""]), (",,", ["", "", ""]), ("a,b\r", ["a", "b"]),
+    ('"a\r","b"\r', ["a\r", "b"]), ('"a","b""c"', ["a", 'b"c']), ('a,"b"', ["a", "b"]), ('"","a""",""', ["", 'a"', ""]), ('""""', ['"']), ('"",""""', ["", '"']), ('"a""b"', ['a"b']), ('"""",""', ['"', ""]), (None, None),
+    ('"a" ,"b"', "text around"), ('a"","b', "text around"), ('"a"b","c"', "text around"), ('"', "text around"), ('x"a","b"', "text around"),
+])
+def test_records_are_cut_as_the_standard_reader_does(spark, text, want):
+    one = spark.createDataFrame([("f", 0, 0, text)], "file string, _block long, _line long, _text string")
+    if isinstance(want, str):
+        with pytest.raises(Exception, match=want):
+            readers._cells(one).collect()
+    else:
+        assert readers._cells(one).first()["cells"] == want
+        assert text is None or text == "" or "\r" in text or [want] == list(csv.reader([text], strict=True))
+
+
+def test_headers_are_found_without_moving_or_matching_every_record(spark, folder):
+    """Before, all records met their file's header in one task a file, and each was cut into cells twice over."""
+    export_of(folder, [cells(), cells(building='""'), cells(building="", agent=" ")])
+    rows = readers._with_header(readers._records(spark, folder, "UTF-8"))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows.where("cells[0] = '1'").count() == 3
