@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import calendar as cal
+from pricetide.operators import traces
 from pricetide.operators.stats import Quantile, crowded, quantiles, quantiles_of, quantiles_with, value_bin
 from pricetide.session import stored
 
@@ -220,12 +221,18 @@ def pools_of(trades: DataFrame, lag: Lag, first: str, last: str, every: int = 1,
         return history_join(part, lag, first, last, every, phase).where(origins & (F.col("age") < F.col("lag") + HORIZON_DAYS))
 
     few = rows if crowd is None else rows.join(crowd, ["scope", "id"], "left_anti")
-    stats = quantiles_of(of(dealt(few, "id")), groups, "log_price", wanted, weights)
+    few = few.select("scope", F.col("id").cast("string").alias("id"), "date", lag.available(F.col("date")).alias("seen"), F.col("log_price").cast("double").alias("log_price"))
+    few = few.where(F.col("date").isNotNull() & F.col("log_price").isNotNull() & ~F.isnan("log_price"))
+    # The calendar's months, not rows, reach the driver.
+    grid = rows.sparkSession.range(1).select(F.explode(cal.grid_months(cal.as_date(first), cal.as_date(last), every, phase)).alias("origin"))
+    grid = grid.select(cal.month_start(F.col("origin")).alias("origin")).where(origins).select(F.unix_date("origin").alias("origin"), lag.at_origin(F.col("origin")).alias("lag"))
+    at = {r["origin"]: r["lag"] for r in grid.collect()}
+    stats = traces.pools(dealt(few, "id").sortWithinPartitions("scope", "id", "log_price"), at, 90, HORIZON_DAYS)
     if crowd is not None:
         many = rows.join(crowd, ["scope", "id"], "left_semi").withColumn("_bin", value_bin(F.col("log_price").cast("double")))
-        stats = stats.unionByName(quantiles(of(dealt(many, "id", "_bin")), groups, "log_price", wanted, weights))
-    counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
-    return stats.select("origin", "scope", "id", "pool90", "pool365", *counts)
+        counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
+        stats = stats.unionByName(quantiles(of(dealt(many, "id", "_bin")), groups, "log_price", wanted, weights).select(*groups, "pool90", "pool365", *counts))
+    return stats
 
 
 def served_of(trades: DataFrame, wanted: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0) -> DataFrame:
@@ -241,6 +248,56 @@ def own_stats(few: DataFrame, many: DataFrame | None, keys_crowd: DataFrame | No
     return stats if many is None else stats.unionByName(quantiles_with(many, keys, value, wanted, weights, also, extra, keys_crowd))
 
 
+def _age_weights(rows: DataFrame, lag: Lag) -> dict[int, list[int]]:
+    """Recency weights of every age in days by half-life, as the executors compute them."""
+    oldest = HORIZON_DAYS + (lag.uniform if lag.uniform is not None else cal.OLD_LAG)
+    ages = rows.sparkSession.range(oldest + 1).select(F.col("id").alias("age")).select("age", *[recency_weight(h).alias(f"e{h}") for h in HALF_LIVES])
+    found = ages.orderBy("age").collect()
+    return {h: [r[f"e{h}"] for r in found] for h in HALF_LIVES}
+
+
+def histories_of(trades: DataFrame, asked: Column, lag: Lag) -> DataFrame:
+    """History, evidence, floors, newest trade and previous year by (origin, key) of the origins that ``asked`` gives trades.
+
+    A key's trades meet in one task and are never copied: see :mod:`traces`.
+    """
+    rows = dealt(trades.where(F.col("key").isNotNull()).select("key", "date", "log_price", "floor", asked.alias("origin")), "key")
+    stage = F.make_date(F.year("origin"), F.least(F.month("origin"), F.lit(complete_month(lag))), F.lit(1))
+    rows = rows.sortWithinPartitions("key", "date", "log_price").select(
+        "key", "date", lag.available(F.col("date")).alias("seen"), F.col("log_price").cast("double").alias("log_price"), F.col("floor").cast("double").alias("floor"),
+        F.lit(True).alias("is_trade"), "origin", lag.at_origin(F.col("origin")).cast("int").alias("lag"), stage.alias("stage"),
+    )
+    return traces.histories(rows, WINDOWS, _age_weights(trades, lag), HORIZON_DAYS)
+
+
+def crowded_histories(trades: DataFrame, wanted_keys: DataFrame, lag: Lag, first: str, last: str, crowd: DataFrame) -> DataFrame:
+    """:func:`histories_of` for the keys of ``crowd``, whose trades no task may hold."""
+    keys = ["origin", "key"]
+    trades, wanted_keys = (df.join(crowd, "key", "left_semi") for df in (trades, wanted_keys))
+    many = history_join(trades.select("key", "floor", "date", "day", "log_price"), lag, first, last).join(wanted_keys, keys, "left_semi")
+    weights, wanted = {}, {}
+    for request in (_window_request(), _decay_request(), _spread_request()):
+        weights |= request[0]
+        wanted |= request[1]
+    history = quantiles_with(many, keys, "log_price", wanted, weights, _evidence_aggregates(), ["age", "lag", "day"], crowd).select(
+        *keys,
+        *[F.col(f"total_n{n}").cast("long").alias(f"n{n}") for n in WINDOWS],
+        *[f"median{n}" for n in WINDOWS],
+        *[f"ew{h}" for h in HALF_LIVES],
+        (F.col("p75") - F.col("p25")).alias("spread90"),
+        *EVIDENCE,
+    )
+    floors = quantiles_with(many.where(within(90)), keys, "floor", {"hist_floor": Quantile(0.5)}, crowd=crowd).select(*keys, "hist_floor")
+    return (
+        wanted_keys.join(history, keys, "left")
+        .join(floors, keys, "left")
+        .join(last_trade(trades, wanted_keys, lag), keys, "left")
+        .withColumns({"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(complete_month(lag)))})
+        .join(prior_annual(trades, lag), ["key", "target_year", "stage"], "left")
+        .drop("target_year", "stage")
+    )
+
+
 def last_trade(trades: DataFrame, targets: DataFrame, lag: Lag) -> DataFrame:
     """Newest visible trade per (key, origin), however old: ``last`` and ``last_age``.
 
@@ -269,31 +326,13 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
     # Read many times below: the narrow rows are written once.
     trades = stored(trades.select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "log_price", "price_oku"))
     keys_crowd = crowded(trades, ["key"])
-    targets = trades.where(
-        (F.month("date") >= 3) & (month_first >= cal.as_date(first)) & (month_first <= cal.as_date(last))
-    ).withColumn("origin", month_first)
-    wanted_keys = targets.select("origin", "key").distinct()
-    narrow = trades.select("key", "floor", "date", "day", "log_price")
-    own, many = served_of(narrow if keys_crowd is None else narrow.join(keys_crowd, "key", "left_anti"), wanted_keys, lag, first, last), None
-    if keys_crowd is not None:
-        many = history_join(narrow.join(keys_crowd, "key", "left_semi"), lag, first, last).join(wanted_keys, ["origin", "key"], "left_semi")
-
-    weights, wanted = {}, {}
-    for request in (_window_request(), _decay_request(), _spread_request()):
-        weights |= request[0]
-        wanted |= request[1]
+    asks = (F.month("date") >= 3) & (month_first >= cal.as_date(first)) & (month_first <= cal.as_date(last))
+    targets = trades.where(asks).withColumn("origin", month_first)
     keys = ["origin", "key"]
-    # Order statistics and evidence come from one shuffle.
-    history = own_stats(own, many, keys_crowd, "log_price", wanted, weights, _evidence_aggregates(), ["age", "lag", "day"]).select(
-        *keys,
-        *[F.col(f"total_n{n}").cast("long").alias(f"n{n}") for n in WINDOWS],
-        *[f"median{n}" for n in WINDOWS],
-        *[f"ew{h}" for h in HALF_LIVES],
-        (F.col("p75") - F.col("p25")).alias("spread90"),
-        *EVIDENCE,
-    )
-    late = None if many is None else many.where(within(90))
-    floors = own_stats(own.where(within(90)), late, keys_crowd, "floor", {"hist_floor": Quantile(0.5)}).select(*keys, "hist_floor")
+    few = trades if keys_crowd is None else trades.join(keys_crowd, "key", "left_anti")
+    own = histories_of(few, F.when(asks, month_first), lag)
+    if keys_crowd is not None:
+        own = own.unionByName(crowded_histories(trades, targets.select(*keys).distinct(), lag, first, last, keys_crowd))
 
     # One row per pool and origin, read by every contract of it.
     around = stored(pools_of(trades, lag, first, last, origins=F.month("origin") >= 3))
@@ -308,15 +347,7 @@ def monthly_features(trades: DataFrame, lag: Lag, first: str, last: str) -> Data
     # An origin without any visible trade in the year before it is skipped.
     supported = around.select("origin").distinct()
 
-    frame = (
-        wanted_keys.join(supported, "origin", "left_semi")
-        .join(history, keys, "left")
-        .join(floors, keys, "left")
-        .join(last_trade(trades, wanted_keys, lag), keys, "left")
-        .withColumns({"target_year": F.year("origin"), "stage": F.least(F.month("origin"), F.lit(complete_month(lag)))})
-        .join(prior_annual(trades, lag), ["key", "target_year", "stage"], "left")
-        .drop("target_year", "stage")
-    )
+    frame = own.join(supported, "origin", "left_semi")
     carried = ["key", "complex", "peer", "gu", "area", "built", "floor", "date", "log_price", "price_oku", "origin"]
     rows = (
         targets.select(*carried)

@@ -190,3 +190,33 @@ def test_crowded_keys_and_pools_give_the_same_features(spark, monkeypatch):
     monkeypatch.setattr(history, "crowded", lambda df, by: stats.crowded(df, by, 5))
     assert pools == key(history.pools_of(t, lag, *span))
     assert features == key(history.monthly_features(t, lag, *span))
+
+
+def test_histories_in_batches_equal_the_plain_way(spark, monkeypatch):
+    """Odd rows, a law change and groups over several batches; before, every trade was copied to its origins and ordered there."""
+    from pricetide.operators import traces
+
+    rng = random.Random(11)
+    rows = make(rng, 500, days=700)
+    rows += [(*r[:6], None if k % 3 == 0 else r[6], None if k % 4 == 0 else r[7], None if k % 5 == 0 else -1.0 if k % 7 == 0 else r[8]) for k, r in enumerate(make(rng, 200, days=700))]
+    rows += [("alone", "c9", "g:1", "g", 60.0, 2000, None, dt.date(2022, 4, 3), 5.0), ("undated", "c9", "g:1", "g", 60.0, 2000, 1.0, None, 7.0),
+             ("undated", "c9", "g:1", "g", 60.0, 2000, 1.0, dt.date(2022, 4, 3), 9.0), (None, None, None, "g", 60.0, 2000, 1.0, dt.date(2022, 4, 3), 9.0)] + rows[:60]
+    t = trades(spark, rows)
+    lag = history.Lag(law_change="2021-10-15")
+    span = ("2021-11-01", "2022-11-01")
+    features = history.monthly_features(t, lag, *span)
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
+    told = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*sorted(df.columns)).collect())
+    plain = told(features)
+    assert len(plan) and any("undated" in r for r in plain)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(traces, "PAIRS", 50)
+    try:
+        assert told(history.monthly_features(t, lag, *span)) == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(history, "crowded", lambda df, by: stats.crowded(df, by, 0))
+    assert told(history.monthly_features(t, lag, *span)) == plain
+    assert told(history.pools_of(t, lag, *span)) == told(history.pools(history.history_join(t.where("complex IS NOT NULL"), lag, *span)))
