@@ -9,7 +9,7 @@ origins turns the join into a hash aggregate on (origin, key).
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -220,21 +220,53 @@ def pools_of(trades: DataFrame, lag: Lag, first: str, last: str, every: int = 1,
     def of(part: DataFrame) -> DataFrame:
         return history_join(part, lag, first, last, every, phase).where(origins & (F.col("age") < F.col("lag") + HORIZON_DAYS))
 
+    rows = rows.select("scope", F.col("id").cast("string").alias("id"), "date", lag.available(F.col("date")).alias("seen"), F.col("log_price").cast("double").alias("log_price"))
+    rows = rows.where(F.col("date").isNotNull() & F.col("log_price").isNotNull() & ~F.isnan("log_price"))
     few = rows if crowd is None else rows.join(crowd, ["scope", "id"], "left_anti")
-    few = few.select("scope", F.col("id").cast("string").alias("id"), "date", lag.available(F.col("date")).alias("seen"), F.col("log_price").cast("double").alias("log_price"))
-    few = few.where(F.col("date").isNotNull() & F.col("log_price").isNotNull() & ~F.isnan("log_price"))
     # The calendar's months, not rows, reach the driver.
     grid = rows.sparkSession.range(1).select(F.explode(cal.grid_months(cal.as_date(first), cal.as_date(last), every, phase)).alias("origin"))
     grid = grid.select(cal.month_start(F.col("origin")).alias("origin")).where(origins).select(F.unix_date("origin").alias("origin"), lag.at_origin(F.col("origin")).alias("lag"))
     at = {r["origin"]: r["lag"] for r in grid.collect()}
     stats = traces.pools(dealt(few, "id").sortWithinPartitions("scope", "id", "log_price"), at, 90, HORIZON_DAYS)
     if crowd is not None:
-        many = rows.join(crowd, ["scope", "id"], "left_semi").withColumn("_bin", value_bin(F.col("log_price").cast("double")))
-        counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
-        stats = stats.unionByName(quantiles(of(dealt(many, "id", "_bin")), groups, "log_price", wanted, weights).select(*groups, "pool90", "pool365", *counts))
+        many = stored(rows.join(crowd, ["scope", "id"], "left_semi").withColumn("_bin", value_bin(F.col("log_price"))))
+        # Where many rows share a few values, no task may hold a bin either.
+        if crowded(many, ["scope", "id", "_bin"]) is None:
+            stats = stats.unionByName(_crowded_pools(many, at, lag))
+        else:
+            counts = [F.col(f"total_p{n}").cast("long").alias(f"pool_n{n}") for n in (90, 365)]
+            stats = stats.unionByName(quantiles(of(dealt(many, "id", "_bin")), groups, "log_price", wanted, weights).select(*groups, "pool90", "pool365", *counts))
     return stats
 
 
+def _crowded_pools(rows: DataFrame, at: Mapping[int, int], lag: Lag) -> DataFrame:
+    """Pools that no task may hold: bins are counted per origin where they are, only rows of bins that hold a middle are copied and ordered."""
+    groups = ["origin", "scope", "id"]
+    spans = (90, HORIZON_DAYS)
+    histogram = traces.slices(dealt(rows, "id", "_bin").sortWithinPartitions("scope", "id", "_bin").select("scope", "id", "_bin", "date", "seen"), at, *spans)
+    below, whole = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+    bins = histogram.withColumns(
+        {f"_o{n}": F.coalesce(F.sum(f"_h{n}").over(below), F.lit(0)) for n in spans} | {f"_n{n}": F.sum(f"_h{n}").over(whole) for n in spans}
+    )
+    # Ranks of the two middle rows inside the bin, null where it doesn't hold them.
+    middles = {f"_lo{n}": F.floor((F.col(f"_n{n}") - 1) * 0.5) + 1 - F.col(f"_o{n}") for n in spans} | {f"_hi{n}": F.ceil((F.col(f"_n{n}") - 1) * 0.5) + 1 - F.col(f"_o{n}") for n in spans}
+    inside = {c: F.when((F.col(f"_n{c[3:]}") > 0) & (rank >= 1) & (rank <= F.col(f"_h{c[3:]}")), rank) for c, rank in middles.items()}
+    asked = bins.select(*groups, "_bin", *[f"_n{n}" for n in spans], *[v.alias(c) for c, v in inside.items()]).where(F.coalesce(*inside).isNotNull())
+    # A few bins for each crowded pool and origin.
+    asked = stored(asked)
+    age = F.datediff("origin", F.col("date")) - lag.at_origin(F.col("origin"))
+    held = rows.join(F.broadcast(asked), ["scope", "id", "_bin"]).withColumn("_age", age)
+    held = held.where((F.col("seen") <= F.col("origin")) & F.col("_age").between(0, HORIZON_DAYS - 1))
+    upto = Window.partitionBy(*groups, "_bin").orderBy("log_price").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.withColumns({f"_c{n}": F.count_if(F.col("_age") < n).over(upto) for n in spans})
+    found = ranked.groupBy(*groups).agg(
+        *[F.max(f"_n{n}").alias(f"_n{n}") for n in spans], *[F.min(F.when(F.col(f"_c{c[3:]}") >= F.col(c), F.col("log_price"))).alias(c) for c in middles]
+    )
+    place = lambda n: (F.col(f"_n{n}") - 1) * 0.5
+    middle = lambda n: F.col(f"_lo{n}") + (F.col(f"_hi{n}") - F.col(f"_lo{n}")) * (place(n) - F.floor(place(n)))
+    return found.select(*groups, middle(90).alias("pool90"), middle(HORIZON_DAYS).alias("pool365"), F.col("_n90").alias("pool_n90"), F.col(f"_n{HORIZON_DAYS}").alias("pool_n365"))
+
+
 def served_of(trades: DataFrame, wanted: DataFrame, lag: Lag, first: str, last: str, every: int = 1, phase: int = 0) -> DataFrame:
     """:func:`history_join` of the wanted (origin, key) alone; a key's trades meet in one task before they are copied."""
     asked = wanted.groupBy("key").agg(F.collect_set(cal.month_index(F.col("origin"))).alias("_asked"))

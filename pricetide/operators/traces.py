@@ -212,3 +212,33 @@ def pools(rows: DataFrame, origins: Mapping[int, int], short: int, horizon: int)
                 )
 
     return rows.mapInArrow(traced, "origin date, scope string, id string, pool90 double, pool365 double, pool_n90 long, pool_n365 long")
+
+
+def slices(rows: DataFrame, origins: Mapping[int, int], short: int, horizon: int) -> DataFrame:
+    """Rows of the last ``short`` and ``horizon`` days of each slice (scope, id, bin) of a pool at each of the origins; see :func:`pools`."""
+    whole_groups, numbered, pairs, _ = _tools()
+    most = PAIRS
+    grid = np.array(sorted(origins), np.int64)
+    lags = np.array([origins[o] for o in sorted(origins)], np.int64)
+
+    def traced(batches):
+        for table in whole_groups(batches, ["scope", "id", "_bin"]):
+            group = numbered(table, ["scope", "id", "_bin"])
+            day = lambda name: table[name].combine_chunks().cast(pa.int32()).to_numpy(zero_copy_only=False).astype(np.int64)
+            date, seen = day("date"), day("seen")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+            count = np.diff(np.concatenate([first, [len(group)]]))
+            g, at = np.divmod(np.arange(len(first) * len(grid)), max(1, len(grid)))
+            for part, a, t in pairs(first[g], count[g], most):
+                o, wait = grid[at[part]], lags[at[part]]
+                age = o[a] - date[t] - wait[a]
+                served = (seen[t] <= o[a]) & (age >= 0) & (age < horizon)
+                n, few = np.bincount(a[served], minlength=len(o)), np.bincount(a[served & (age < short)], minlength=len(o))
+                keep = np.flatnonzero(n > 0)
+                head = pa.array(first[g[part]][keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(o[keep].astype(np.int32)).cast(pa.date32()), *[table[c].combine_chunks().take(head) for c in ("scope", "id", "_bin")], pa.array(few[keep]), pa.array(n[keep])],
+                    names=["origin", "scope", "id", "_bin", "_h90", "_h365"],
+                )
+
+    return rows.mapInArrow(traced, "origin date, scope string, id string, _bin long, _h90 long, _h365 long")

@@ -8,6 +8,7 @@ from pricetide.operators import history as ops
 from pricetide.operators import summary
 from pricetide.operators.stats import median
 from pricetide.plans.registry import query
+from pricetide.session import stored
 from pricetide.sources.domain import LAW_CHANGE, clean, with_trades
 
 FIRST, LAST = "1995-07-01", "2001-12-01"
@@ -316,7 +317,8 @@ FROM j WHERE anchor IS NOT NULL AND frozen IS NOT NULL GROUP BY year"""
     ),
 )
 def cadence(spark, sf_dir):
-    trades = clean(spark, sf_dir)
+    # Both kinds of inputs read the joined trades.
+    trades = stored(clean(spark, sf_dir).select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "log_price", "price_oku"))
     features = ops.monthly_features(trades, POLICY, F_FIRST, F_LAST).select(
         "key", "complex", "peer", "month", "year", "anchor", "actual"
     )

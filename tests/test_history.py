@@ -220,3 +220,5 @@ def test_histories_in_batches_equal_the_plain_way(spark, monkeypatch):
     monkeypatch.setattr(history, "crowded", lambda df, by: stats.crowded(df, by, 0))
     assert told(history.monthly_features(t, lag, *span)) == plain
     assert told(history.pools_of(t, lag, *span)) == told(history.pools(history.history_join(t.where("complex IS NOT NULL"), lag, *span)))
+    monkeypatch.setattr(history, "crowded", lambda df, by: None if "_bin" in by else stats.crowded(df, by, 0))
+    assert told(history.pools_of(t, lag, *span)) == told(history.pools(history.history_join(t.where("complex IS NOT NULL"), lag, *span)))
