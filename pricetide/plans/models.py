@@ -376,9 +376,10 @@ def current_templates(spark, sf_dir):
 def predict_current(spark, sf_dir):
     from pricetide.operators import history
 
-    trades = clean(spark, sf_dir)
+    # Training, templates and valuation read the joined trades.
+    trades = stored(clean(spark, sf_dir).select("key", "complex", "peer", "gu", "area", "built", "floor", "date", "day", "year", "price", "log_price", "price_oku"))
     inputs = ["area", "age", "anchor", "median365", "ew90", "peer365", "complex365", "n90", "n365", "floor"]
-    train = durable(history.monthly_features(trades, UNIFORM, "1996-03-01", "2000-04-01").where("anchor IS NOT NULL"))
+    train = stored(history.monthly_features(trades, UNIFORM, "1996-03-01", "2000-04-01").where("anchor IS NOT NULL").select(*inputs, "actual"))
     model = ops.fit_residual(train, inputs, trees=REPEATED)
     out = ops.predict_current(trades, trades.where("date < DATE '2000-05-01'"), model, "2000-05")
     return tidy(out.select("key", "month", "feature_cutoff", "floor", "n90", "anchor", "estimated_price_oku"))
