@@ -222,3 +222,24 @@ def test_histories_in_batches_equal_the_plain_way(spark, monkeypatch):
     assert told(history.pools_of(t, lag, *span)) == told(history.pools(history.history_join(t.where("complex IS NOT NULL"), lag, *span)))
     monkeypatch.setattr(history, "crowded", lambda df, by: None if "_bin" in by else stats.crowded(df, by, 0))
     assert told(history.pools_of(t, lag, *span)) == told(history.pools(history.history_join(t.where("complex IS NOT NULL"), lag, *span)))
+
+
+def test_cadence_and_prediction_read_their_trades_once(spark, monkeypatch):
+    """Before, each use of the joined trades computed them again."""
+    from pricetide.plans import history as history_plans
+    from pricetide.plans import models as model_plans
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = trades(spark, make(random.Random(12), 300, start=dt.date(1999, 1, 1), days=800))
+    for module in (history_plans, model_plans):
+        monkeypatch.setattr(module, "clean", lambda spark, sf_dir: df.mapInArrow(count, df.schema))
+    both = history_plans.cadence(spark, "").collect()
+    assert seen.value == 300 and {r["year"] for r in both} >= {2000}
+    priced = model_plans.predict_current(spark, "").collect()
+    assert seen.value == 600 and priced and all(r["estimated_price_oku"] > 0 for r in priced)
