@@ -7,7 +7,7 @@ copies of a few groups at a time.  Sums of weights are whole numbers as in
 :mod:`stats`, so the statistics are the same.  Groups that one task may not
 hold (``stats.crowded``) don't come this way.
 
-What runs on the workers is closed over by value: they need numpy only.
+What runs on the workers is closed over by value: they need numpy and pyarrow only.
 """
 
 from __future__ import annotations
